@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import functions as F
 
-from . import block_max, byte_bpe, multi_index, packing, quality, sharding, simhash
+from . import block_max, byte_bpe, chats, licences, multi_index, packing, quality, sharding, simhash, surrogates
 from .common import read
 
 LLM_QUERIES, LLM_ORACLE = {}, {}
@@ -42,6 +41,35 @@ def op5_quality(spark, sf_dir):
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@_query
+def op6_surrogates(spark, sf_dir):
+    found = surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+    return found.select("doc_id", "text", "n_entities")
+
+
+@_query
+def op7_chats(spark, sf_dir):
+    return chats.collapse(read(spark, sf_dir, "conversations"))
+
+
+LLM_ORACLE["op7_chats"] = """
+WITH d AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), c AS (
+  SELECT conv_id, list(length(role) || chr(1) || role || chr(1) || text ORDER BY turn NULLS FIRST, role, text) AS t,
+         string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS shown
+  FROM d GROUP BY conv_id
+), w AS (
+  SELECT conv_id, t, shown, array_to_string(t, chr(2)) AS whole FROM c
+), p AS (
+  SELECT DISTINCT array_to_string(t[1:i], chr(2)) AS whole FROM (SELECT t, unnest(range(1, len(t))) AS i FROM c)
+), f AS (
+  SELECT whole, min(conv_id) AS conv_id FROM w WHERE whole NOT IN (SELECT whole FROM p) GROUP BY whole
+)
+SELECT w.conv_id, CAST(len(w.t) AS INTEGER) AS n_turns, w.shown AS text FROM w JOIN f ON w.conv_id = f.conv_id
+"""
+
+
 @_query
 def op8_block_max(spark, sf_dir):
     return block_max.top_products(read(spark, sf_dir, "embeddings"))
@@ -64,6 +92,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+@_query
+def op9_licences(spark, sf_dir):
+    return licences.scan(read(spark, sf_dir, "documents"))
+
+
 @_query
 def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
