@@ -41,6 +41,19 @@ _DIGITS = "0123456789"
 ROUNDS = 64
 
 
+#: No entity is without a digit, an @ or one of these: most texts are told clean at once.
+_STEMS = ("Mr", "Ms", "Miss", "Frau", "Madame", "Mme", "Señor", "Sr", "Госпо", "Herr", "Monsieur", "Господин", "sk-", "sk_", "ghp", "gho", "xoxb")
+
+
+def holds_entity(text: Column) -> Column:
+    """Does a text hold an entity? The full pattern runs only where it could match."""
+    may = text.rlike("[0-9@]")
+    for stem in _STEMS:
+        may = may | F.contains(text, F.lit(stem))
+    all_letters = text.rlike("[a-f]{32}|[A-F]{32}")  # a secret may happen to have no digit
+    return F.coalesce((may | all_letters) & text.rlike(PATTERN), F.lit(False))
+
+
 def kind(surface: Column) -> Column:
     """The type of a found entity: the first whose pattern the whole of it matches."""
     out = F.lit("card")
@@ -174,7 +187,7 @@ def replace(docs: DataFrame, key: str = "panelkit", text_col: str = "text", coun
     """``docs`` with every entity replaced; ``count_col`` names an added count of entities."""
     text = F.col(text_col).cast("string")
     columns = [F.col(c) for c in docs.columns if c != text_col]
-    hit = F.coalesce(text.rlike(PATTERN), F.lit(False))
+    hit = holds_entity(text)
     clean, dirty = docs.where(~hit), docs.where(hit)
     spots = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
     mark = F.sha2(F.encode(text, "UTF-8"), 256)
