@@ -33,8 +33,7 @@ CENTROIDS = 64
 #: A query's candidates: this share of all entries, and so many at least.
 SHARE, LEAST = 0.5, 2_000
 CHUNK = 4_096
-QUERIES = 512
-_PICK = 16
+QUERIES = 256
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, nonzero: bool) -> DataFrame:
@@ -137,21 +136,7 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
     for cell, n in index.groupBy("cell").count().collect():  # centroids squared at most
         sizes[cell] = n
     budget = max(least, int(np.ceil(share * count)))
-    shared_sizes = spark.sparkContext.broadcast(sizes)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            q, cell = [], []
-            n1, n2 = halves(matrix(b.column(1), d)) if b.num_rows else ((), ())
-            for i, (a, c) in enumerate(zip(n1, n2)):
-                got = cells_in_order(a, c, shared_sizes.value, budget)
-                q += [i] * len(got)
-                cell += got
-            at = pa.array(q, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell, pa.int32())], ["query_id", "q", "cell"])
-
-    queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct()
-    # Cells are gathered into groups of about a chunk, large ones cut into several, by sizes alone.
+    # Cells are gathered into bundles of about a chunk, large ones cut into several, by sizes alone.
     parts = np.maximum(1, -(-sizes // CHUNK))
     bundle, held, number = np.zeros(size * size, np.int64), 0, 0
     for cell in range(size * size):
@@ -159,9 +144,27 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
             number, held = number + 1, 0
         bundle[cell] = number
         held += int(sizes[cell])
+    shared_sizes = spark.sparkContext.broadcast((sizes, bundle, parts))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, bundle, parts = shared_sizes.value
+        for whole in batches:
+            for b in (whole.slice(i, 32) for i in range(0, whole.num_rows, 32)):
+                q, to, most, cells = [], [], [], []
+                for i, (near1, near2) in enumerate(zip(*halves(matrix(b.column(1), d)))):
+                    got = np.array(cells_in_order(near1, near2, sizes, budget))
+                    for name in np.unique(bundle[got]):
+                        mine = got[bundle[got] == name]
+                        q.append(i)
+                        to.append(int(name))
+                        most.append(int(parts[mine].max()))
+                        cells.append(mine.astype(np.int32))
+                at = pa.array(q, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(to, pa.int64()), pa.array(most, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], ["query_id", "q", "bundle", "parts", "cells"])
+
+    queries = rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q")).distinct()
     table = spark.createDataFrame([(int(c), int(bundle[c]), int(parts[c])) for c in np.flatnonzero(sizes)], "cell int, bundle long, parts int")
-    probes = queries.mapInArrow(walk, "query_id long, q array<double>, cell int").join(F.broadcast(table), "cell")
-    probes = probes.groupBy("query_id", "bundle").agg(F.first("q").alias("q"), F.collect_set("cell").alias("cells"), F.max("parts").alias("parts"))
+    probes = queries.mapInArrow(walk, "query_id long, q array<double>, bundle long, parts int, cells array<int>")
     blocks = max(1, int(np.ceil(queries.count() / QUERIES)))
     probes = probes.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     held_rows = index.join(F.broadcast(table), "cell").withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
