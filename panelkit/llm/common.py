@@ -40,18 +40,22 @@ def utf8_crc32(text: Column) -> Column:
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))
 
 
-def gapless_rank(df: DataFrame, keys: list[str], order: list[str], salts: int, out: str) -> DataFrame:
+def gapless_rank(df: DataFrame, keys: list[str], order: list[str], salts: int, out: str, facts: DataFrame | None = None) -> DataFrame:
     """Number the rows of each key 0, 1, ... without one task per key.
 
     Rows are dealt by (key, salt), ranked there, and shifted by the number of rows
     that the key has under smaller salts. That offset table has at most
     ``salts`` rows a key. ``order`` must identify a row up to repeated rows, which
     may then take either place. ``df`` is read twice: cut it first if it is costly.
+    ``facts``, one row a key at most, reach the rows by way of the offset table, so that
+    a hot key's rows meet them salted; its columns are null where it lacks a key.
     """
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     sizes = salted.groupBy(*keys, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     below = Window.partitionBy(*keys).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(*keys, "_salt", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_below"))
+    if facts is not None:
+        sizes = sizes.join(facts, keys, "left")
     within = Window.partitionBy(*keys, "_salt").orderBy(*order)
     ranked = salted.withColumn("_rank", F.row_number().over(within).cast("long") - 1)
     joined = ranked.join(sizes, [*keys, "_salt"])

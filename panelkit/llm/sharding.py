@@ -1,13 +1,16 @@
 """Sharding by balanced label propagation, at most one row apart (law: rows).
 
 Documents with equal texts are linked. A document begins in the shard of its id's hash. In
-each round every linked document looks at the shards of its neighbours: Spark aggregates
-(group, shard) counts, each group's documents want the shards with most of them among those
-with room (one, or as many as the group fills), and the moves into a shard are scaled to its quota. What is left at the end is
-evened out exactly: shards over their share give up unlinked documents first.
+each round every linked document looks at the shards of its neighbours: a group's documents
+want the shards with most of them among those with room (one, or as many as the group
+fills), and the moves into a shard are scaled to its quota. At the end documents are joined
+with their group's shards, and what is left is evened out exactly: shards over their share
+give up unlinked documents first.
 
-A group's state is its count by shard (at most as many rows as shards), so a group that
-holds a third of all rows costs no more than another; it fills one shard after another.
+Members of a group have the same neighbours, so a group's state is one row, its count by
+shard (at most as many entries as shards). A round is then a scan of these rows without a
+shuffle, and a group that holds a third of all rows costs no more than another; it fills
+one shard after another.
 
 Defined cases: null text counts as empty (all null and empty texts are one group); repeated rows are
 rows; fewer documents than shards leave shards empty; null ids are hashed like any value.
@@ -15,7 +18,7 @@ rows; fewer documents than shards leave shards empty; null ids are hashed like a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, gapless_rank, utf8_crc32
@@ -23,6 +26,8 @@ from .common import cut, gapless_rank, utf8_crc32
 SHARDS = 40
 ROUNDS = 16
 SALTS = 512
+#: Groups of linked documents that one task of a round works on.
+PARTITION_ROWS = 100_000
 
 
 def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -35,44 +40,68 @@ def _facts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def _tally(entries: DataFrame, shards: int) -> list[int]:
+    """Sum of ``n`` by ``shard``: one row of ``shards`` numbers, without a shuffle by key."""
+    of = [F.coalesce(F.sum(F.when(F.col("shard") == s, F.col("n"))), F.lit(0)).alias(f"s{s}") for s in range(shards)]
+    return list(entries.agg(*of).first())
+
+
+def _wishes(cells: DataFrame, targets: list[int], load: list[int]) -> DataFrame:
+    """``cells`` and which of a group's documents want where: moves (shard, to, n)."""
+    open_ = F.array(*[F.lit(x < t) for t, x in zip(targets, load)])
+    rank = F.transform("shares", lambda x: F.struct(x["n"].alias("n"), F.xxhash64("grp", x["shard"]).alias("h"), x["shard"].alias("shard")))
+    order = F.sort_array(F.filter("rank", lambda r: open_[r["shard"]]), False)
+    movable = F.aggregate("order", F.lit(0).cast("long"), lambda a, r: a + r["n"])
+    # The neighbours' shards: those with most of the group's documents, as many as it fills.
+    most = F.greatest(F.lit(1), F.ceil(movable / max(targets[-1], 1))).cast("int")
+    ranked = cells.withColumn("rank", rank).withColumn("order", order).withColumn("top", F.slice("order", 1, most))
+    least = F.get("top", F.size("top") - 1)
+    to = lambda r: F.get("top", F.pmod(r["h"], F.greatest(F.size("top"), F.lit(1))).cast("int"))["shard"]
+    moves = F.transform(F.filter("rank", lambda r: r < least), lambda r: F.struct(r["shard"].alias("shard"), to(r).alias("to"), r["n"].alias("n")))
+    return ranked.select("grp", "shares", moves.alias("moves"))
+
+
+def _moved(wishes: DataFrame, part: list[float], turn: int) -> DataFrame:
+    """The cells after the share ``part[to]`` of every move; fractions are drawn by a hash."""
+    share = F.array(*map(F.lit, part))
+
+    def going(m):
+        exact = m["n"] * share[m["to"]]
+        luck = F.pmod(F.xxhash64("grp", m["shard"], m["to"], F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
+        return F.least(m["n"], (F.floor(exact) + F.when(luck < exact - F.floor(exact), 1).otherwise(0)).cast("long"))
+
+    def entry(shard, n):
+        return F.struct(shard.alias("shard"), n.alias("n"))
+
+    left = F.transform("moves", lambda m: entry(m["shard"], -going(m)))
+    came = F.transform("moves", lambda m: entry(m["to"], going(m)))
+    summed = wishes.select("grp", "moves", F.concat("shares", left, came).alias("parts"))
+
+    def total(s):
+        return entry(s, F.aggregate(F.filter("parts", lambda p: p["shard"] == s), F.lit(0).cast("long"), lambda a, p: a + p["n"]))
+
+    shares = F.filter(F.transform(F.array_distinct(F.transform("parts", lambda p: p["shard"])), total), lambda x: x["n"] > 0)
+    return summed.select("grp", shares.alias("shares"))
+
+
 def propagate(cells: DataFrame, targets: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Move linked documents between shards: (grp, shard, n) in, the same out.
+    """Move linked documents between shards: (grp, shares array of (shard, n)) in, the same out.
 
-    targets[s]: how many rows shard s may hold in all.
+    targets[s]: how many rows shard s may hold in all. ``cells`` is read in every round:
+    hand it in materialised.
     """
     shards = len(targets)
-    load = [0] * shards
-    for s, n in cells.groupBy("shard").agg(F.sum("n")).collect():  # at most `shards` rows
-        load[s] = n
-    by_group = Window.partitionBy("grp")
+    load = _tally(cells.select(F.inline("shares")), shards)
     for turn in range(rounds):
+        wishes = _wishes(cells, targets, load)
+        asked = _tally(wishes.select(F.inline("moves")).select(F.col("to").alias("shard"), "n"), shards)
         room = [max(0, t - x) for t, x in zip(targets, load)]
-        open_ = F.array(*[F.lit(r > 0) for r in room])[F.col("shard")]
-        # The neighbours' shards: those with most of the group's documents, as many as it fills.
-        rank = F.struct("n", F.xxhash64("grp", "shard").alias("h"), "shard")
-        movable = F.sum(F.when(open_, F.col("n")).otherwise(0)).over(by_group)
-        wish = cells.select("grp", "shard", "n", rank.alias("rank"), F.greatest(F.lit(1), F.ceil(movable / max(targets[-1], 1))).cast("int").alias("m"), F.sort_array(F.collect_list(F.when(open_, rank)).over(by_group), False).alias("order"))
-        wish = wish.withColumn("top", F.slice("order", 1, F.col("m")))
-        moves = (F.size("top") > 0) & (F.col("rank") < F.element_at("top", -1))
-        to = F.element_at("top", (F.pmod(F.xxhash64("grp", "shard"), F.greatest(F.size("top"), F.lit(1))) + 1).cast("int"))["shard"]
-        wish = wish.select("grp", "shard", "n", F.coalesce(moves, F.lit(False)).alias("moves"), F.when(moves, to).alias("to"))
-        asked = [0] * shards
-        for s, n in wish.where("moves").groupBy("to").agg(F.sum("n")).collect():
-            asked[s] = n
         # Over quota, most of it is dealt now and the rest in later rounds: chance must not overfill.
         part = [(1.0 if a <= r else 0.8 * r / a) if a else 0.0 for r, a in zip(room, asked)]
         if not any(p > 0 for p in part):
             break
-        share = F.array(*[F.lit(p) for p in part])[F.col("to")]
-        luck = F.pmod(F.xxhash64("grp", "shard", "to", F.lit(turn)), F.lit(1 << 20)) / float(1 << 20)
-        exact = F.col("n") * share
-        going = F.when(F.col("moves"), F.floor(exact) + F.when(luck < exact - F.floor(exact), 1).otherwise(0)).otherwise(0)
-        split = wish.withColumn("going", F.least(going.cast("long"), F.col("n")))
-        parts = split.select("grp", F.explode(F.array(F.struct("shard", (F.col("n") - F.col("going")).alias("n")), F.struct(F.coalesce("to", "shard").alias("shard"), F.col("going").alias("n")))).alias("p"))
-        cells = cut(parts.where("p.n > 0").groupBy("grp", F.col("p.shard").alias("shard")).agg(F.sum("p.n").alias("n")))
-        before, load = load, [0] * shards
-        for s, n in cells.groupBy("shard").agg(F.sum("n")).collect():
-            load[s] = n
+        cells = cut(_moved(wishes, part, turn))
+        before, load = load, _tally(cells.select(F.inline("shares")), shards)
         if load == before and not any(0 < p < 1 for p in part):
             break
     return cells
@@ -85,12 +114,14 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, salts: i
     targets = [total // shards + (s < total % shards) for s in range(shards)]
     start = F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")
     sizes = facts.groupBy("grp", start.alias("shard")).agg(F.count(F.lit(1)).alias("n"))
-    sizes = cut(sizes.withColumn("all", F.sum("n").over(Window.partitionBy("grp"))))
-    linked = propagate(sizes.where("all > 1").select("grp", "shard", "n"), targets, rounds)
+    cells = sizes.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("shares"))
+    cells = cut(cells.where((F.size("shares") > 1) | (F.col("shares")[0]["n"] > 1)))
+    # A round is short work on one small row a group: as many partitions as its rows need.
+    parallel = docs.sparkSession.sparkContext.defaultParallelism
+    linked = propagate(cells.coalesce(max(parallel, cells.count() // PARTITION_ROWS)), targets, rounds)
     # A group's shares as intervals of its members' ranks.
-    shares = linked.groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("shares"))
-    ranked = gapless_rank(facts, ["grp"], ["doc_id", "size"], salts, "_member")
-    ranked = ranked.join(shares, "grp", "left")
+    shares = linked.select("grp", F.array_sort("shares").alias("shares"))
+    ranked = gapless_rank(facts, ["grp"], ["doc_id", "size"], salts, "_member", shares)
     walk = F.aggregate(
         "shares",
         F.struct(F.col("_member").alias("left"), F.lit(-1).alias("shard")),
