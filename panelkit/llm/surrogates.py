@@ -24,10 +24,16 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 _HONORIFIC = "(?:" + "|".join((*FEMALE, *MALE)) + r")\.?\s"
+#: What names a credential. Behind a glued "=" any value counts, else one of digits and
+#: letters; no calls, no addresses. At most 256 characters of a value. Fixed values.
+_CREDENTIAL = "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
+_INNER = r"[\p{L}\p{N}_+/=.~!@#$%^*-]"
+_LABEL = rf"""{_CREDENTIAL}(?:=["']?(?={_INNER}{{0,255}}[\p{{L}}\p{{N}}])|["']?[ \t]{{0,2}}[=:][ \t]{{0,2}}["']?(?={_INNER}{{0,255}}\d)(?={_INNER}{{0,255}}\p{{L}}))"""
+_ASSIGNED = rf"{_LABEL}(?!{_INNER}{{0,255}}(?:[(\[]|@[\p{{L}}\p{{N}}-]+\.\p{{L}})){_INNER}{{5,255}}[\p{{L}}\p{{N}}_+/=#$%^*-]"
 #: Patterns by type; the first that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
-    "secret": r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])",
+    "secret": rf"(?<![\p{{L}}\p{{N}}])(?:{_ASSIGNED})|" r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?(?=[A-Z0-9]*\d)[A-Z0-9]{4}){3,7}(?: ?\d{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -39,15 +45,17 @@ PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _LATIN, _ACCENTED, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "áéíóúàèäöüñç", "абвгдежзиклмнопрстуфхцшэюя"
 _DIGITS = "0123456789"
 ROUNDS = 64
+#: Attempts after which an e-mail address or a secret may grow by eight characters.
+SHORT_ROUNDS = 16
 
 
-#: No entity is without a digit, an @ or one of these: most texts are told clean at once.
+#: No entity is without a digit, an @, an = or one of these: most texts are told clean at once.
 _STEMS = ("Mr", "Ms", "Miss", "Frau", "Madame", "Mme", "Señor", "Sr", "Госпо", "Herr", "Monsieur", "Господин", "sk-", "sk_", "ghp", "gho", "xoxb")
 
 
 def holds_entity(text: Column) -> Column:
     """Does a text hold an entity? The full pattern runs only where it could match."""
-    may = text.rlike("[0-9@]")
+    may = text.rlike("[0-9@=]")
     for stem in _STEMS:
         may = may | F.contains(text, F.lit(stem))
     all_letters = text.rlike("[a-f]{32}|[A-F]{32}")  # a secret may happen to have no digit
@@ -62,6 +70,11 @@ def kind(surface: Column) -> Column:
     return out
 
 
+def bare_secret(surface: Column) -> Column:
+    """A secret without the name that it is assigned to."""
+    return F.regexp_replace(surface, f"^{_LABEL}", "")
+
+
 def canonical(surface: Column, type_: Column) -> Column:
     """What spellings of one entity share."""
     digits = F.regexp_replace(surface, r"\D", "")
@@ -69,8 +82,9 @@ def canonical(surface: Column, type_: Column) -> Column:
     bare = F.regexp_replace(F.regexp_replace(surface, f"^{_HONORIFIC}", ""), r"\s+", " ")
     return (
         F.when(type_ == "email", F.lower(surface))
-        .when((type_ == "secret") & surface.rlike("^[0-9a-fA-F]+$"), F.lower(surface))
-        .when(type_.isin("secret", "ip"), surface)
+        .when((type_ == "secret") & bare_secret(surface).rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lower(bare_secret(surface)))
+        .when(type_ == "secret", bare_secret(surface))
+        .when(type_ == "ip", surface)
         .when(type_ == "iban", F.regexp_replace(surface, " ", ""))
         .when(type_ == "name", F.concat(gender, bare))
         .otherwise(digits)
@@ -100,7 +114,7 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     def byte(i: Column) -> Column:
         return F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
-    hexes = (type_ == "secret") & canon.rlike("^[0-9a-f]+$")
+    hexes = (type_ == "secret") & canon.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
     keep = F.when(type_ == "iban", 2).when(type_ == "card", 1).when(type_ == "phone", F.greatest(F.length(canon) - 10, F.lit(0))).otherwise(0)
     keep_from = F.when(type_ == "email", F.length(canon) - F.length(F.substring_index(canon, ".", -1))).otherwise(F.length(canon))
 
@@ -138,8 +152,10 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
 
     name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(words, word), " "))
     made = F.when(type_ == "ip", ip).when(type_ == "name", name).when(type_ == "card", card).otherwise(shape)
+    # Short forms have few surrogates: after some attempts letters are put before them.
+    roomy = F.when(type_.isin("email", "secret") & (F.col("attempt") >= SHORT_ROUNDS), F.concat(F.substring(F.sha2(stream, 256), 1, 8), made)).otherwise(made)
     hashed = entities.withColumn("_stream", _stream(type_, canon, F.col("attempt"), key))
-    return hashed.withColumn("_shape", letters).select("type", "canon", "attempt", made.alias("surrogate"))
+    return hashed.withColumn("_shape", letters).select("type", "canon", "attempt", roomy.alias("surrogate"))
 
 
 def rendered(surface: Column, type_: Column, surrogate: Column) -> Column:
@@ -153,13 +169,15 @@ def rendered(surface: Column, type_: Column, surrogate: Column) -> Column:
         return F.when(c == " ", c).otherwise(F.substring(surrogate, before, F.lit(1)))
 
     letters = F.split(surface, "")
-    upper = (surface == F.upper(surface)) & surface.rlike(r"\p{L}")
+    body = F.when(type_ == "secret", bare_secret(surface)).otherwise(surface)
+    upper = (body == F.upper(body)) & body.rlike(r"\p{L}")
+    label = F.substring(surface, F.lit(1), F.length(surface) - F.length(body))
     honorific = F.regexp_extract(surface, f"^{_HONORIFIC}", 0)
     return (
         F.when(type_.isin("phone", "card", "ssn"), F.array_join(F.transform(letters, digit), ""))
         .when(type_ == "iban", F.array_join(F.transform(letters, mark), ""))
         .when(type_ == "name", F.concat(honorific, F.substring(surrogate, F.lit(3), F.length(surrogate))))
-        .when(type_.isin("email", "secret") & upper, F.upper(surrogate))
+        .when(type_.isin("email", "secret"), F.concat(label, F.when(upper, F.upper(surrogate)).otherwise(surrogate)))
         .otherwise(surrogate)
     )
 

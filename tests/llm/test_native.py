@@ -15,6 +15,8 @@ PRIVATE = [
     (3, 'token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and 24BE64439E3E49CF46B2D7C90F3602A3D0B907FF', 1, "a"),
     (4, "Frau Müller and Herr Schmidt met Mrs Müller; Господин Иванов. SSN 123-45-6789, DE89 3704 0044 0532 0130 00.", 1, "a"),
     (5, "A clean text: 12:30, 3.14, 1,000,000 and v1.2.3, a-b@c, May 5 2024 (2023-12-31).", 1, "a"),
+    (8, "password=435d4f3a6837d2cbdd. Then db_pwd='435d4f3a6837d2cbdd' and API-Key: x7Kq-22zz; token=ann.b-12@mail3.example.com, PASSWORD=HUNTERS", 1, "a"),
+    (9, "The token: a word; secret = makeKey1(x), password=****** and token=call2get(1).", 1, "a"),
     (6, "", 1, "a"), (7, None, 1, "a"), (1, "bob@x.org", 2, "b"), (1, "bob@x.org", 2, "b"), (None, "bob@x.org 152.143.123.131%%%", 3, None),
 ]
 
@@ -34,9 +36,9 @@ def replaced(spark):
 def test_every_entity_goes_and_clean_texts_stay(replaced):
     assert len(replaced) == len(PRIVATE)
     whole = "\n".join(r["text"] or "" for r in replaced)
-    for secret in ("ann.b-12", "ANN.B-12", "bob@x", "017", "7713", "4111 1111 1111 1111", "10.1.2.3", "24be6443", "Müller", "Schmidt", "Иванов", "123-45", "DE89 3704", "152.143.123.131"):
+    for secret in ("ann.b-12", "ANN.B-12", "bob@x", "017", "7713", "4111 1111 1111 1111", "10.1.2.3", "24be6443", "435d4f", "x7Kq", "HUNTERS", "Müller", "Schmidt", "Иванов", "123-45", "DE89 3704", "152.143.123.131"):
         assert secret not in whole
-    clean = {t for i, t, *_ in PRIVATE if i in (5, 6, 7)}
+    clean = {t for i, t, *_ in PRIVATE if i in (5, 6, 7, 9)}
     assert {r["text"] for r in replaced if r["n"] == 0} == clean
 
 
@@ -55,6 +57,19 @@ def test_types_formats_and_coreference_are_kept(replaced):
     assert names[1] == names[3] and names[1].endswith("a") and not names[2].endswith("a") and re.fullmatch("[А-я]+", names[4])
 
 
+def test_assigned_credentials_keep_name_and_form(replaced):
+    (text,) = (r["text"] for r in replaced if r["doc_id"] == 8)
+    found = re.fullmatch(r"password=([0-9a-f]{18})\. Then db_pwd='([0-9a-f]{18})' and API-Key: ([a-z]\d[A-Z][a-z]-\d\d[a-z]{2}); token=(\S+@\S+), PASSWORD=([A-Z]{7})", text)
+    assert found and found[1] == found[2]
+    assert found[4] in next(r["text"] for r in replaced if r["doc_id"] == 1 and r["n"] == 3)
+
+
+def test_short_forms_do_not_run_out(spark):
+    df = spark.range(26).select(F.lit("secret").alias("type"), F.concat(F.lit("*****"), F.expr("char(97 + id)")).alias("canon"))
+    rows = surrogates.surrogates(df, "k").collect()
+    assert len({r["surrogate"] for r in rows} | {r["canon"] for r in rows}) == 52
+
+
 def test_surrogates_are_distinct_and_meet_no_real_entity(spark):
     df = spark.range(300).select(F.lit("ssn").alias("type"), F.lpad(F.col("id").cast("string"), 3, "0").alias("canon"))
     rows = surrogates.surrogates(df, "k").collect()
