@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import packing, quality, simhash, surrogates
+from panelkit.llm import packing, quality, similar, surrogates
 from panelkit.llm.common import prepare, read
 
 #: Trees and a tokenizer are not SQL: the stages are tested against brute force.
@@ -22,8 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the smallest id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near-duplicates (five words, similarity 0.8) stays: the smallest id."""
+    return similar.keep_first(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, min_label_components, prepare
@@ -32,13 +32,11 @@ LEAF = 16
 _XX_SEED = 42
 
 
-def fingerprint(text: str | None, shingle: int = 4, step: int = 1 << 16) -> int:
-    """The SimHash of a text, unsigned."""
-    if not text:
-        return 0
-    buf = b" ".join(text.encode("utf-8", "surrogatepass").lower().split())
+def shingle_hashes(text: str | None, shingle: int, step: int = 1 << 16) -> Iterator[np.ndarray]:
+    """The hashes of a text's shingles in their order, in portions; none without a word."""
+    buf = b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split())
     if not buf:
-        return 0
+        return
     spaces = np.flatnonzero(np.frombuffer(buf, np.uint8) == 32)
     n = len(spaces) + 1
     starts = np.concatenate([[0], spaces + 1])
@@ -47,26 +45,34 @@ def fingerprint(text: str | None, shingle: int = 4, step: int = 1 << 16) -> int:
         starts, ends = starts[: n - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    ones, digest = np.zeros(BITS, np.int64), xxhash.xxh64_intdigest
+    digest = xxhash.xxh64_intdigest
     for i in range(0, len(starts), step):
         a, b = starts[i : i + step].tolist(), ends[i : i + step].tolist()
-        h = np.fromiter((digest(buf[x:y], _XX_SEED) for x, y in zip(a, b)), np.uint64, len(a))
+        yield np.fromiter((digest(buf[x:y], _XX_SEED) for x, y in zip(a, b)), np.uint64, len(a))
+
+
+def fingerprint(text: str | None, shingle: int = 4, step: int = 1 << 16) -> int:
+    """The SimHash of a text, unsigned."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for h in shingle_hashes(text, shingle, step):
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = (2 * ones > len(starts)).astype(np.uint8)
+        n += len(h)
+    bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, mark_col: str | None = None) -> DataFrame:
+    """(doc_id, fp): fp holds the 64 bits as a signed long. ``mark_col`` is carried along as mark."""
     prepare(docs.sparkSession)
+    names = ["doc_id", "fp", *(["mark"] if mark_col else [])]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), *batch.columns[2:]], names)
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(made, "doc_id long, fp long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *([F.col(mark_col).alias("mark")] if mark_col else []))
+    return picked.mapInArrow(made, "doc_id long, fp long" + (", mark string" if mark_col else ""))
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -227,17 +233,41 @@ def links(fps: DataFrame, distance: int = 4, bucket: int = BUCKET) -> DataFrame:
     return dealt.mapInArrow(found, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
-    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable)."""
-    marked = cut(fingerprints(docs, id_col, text_col, shingle))
+def _labelled(marked: DataFrame, distance: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, first, label) of distinct fingerprints, label never null; (label, component_id)."""
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     labels = min_label_components(links(distinct.select("fp"), distance))
     named = distinct.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+    return named, named.groupBy("label").agg(F.min("first").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
+    """One row per document: doc_id, fp, component_id (the smallest doc_id reachable)."""
+    marked = cut(fingerprints(docs, id_col, text_col, shingle))
+    named, smallest = _labelled(marked, distance)
     named = named.join(smallest, "label").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def text_mark(text_col: str = "text") -> Column:
+    """What tells texts apart, never null."""
+    return F.coalesce(F.md5(F.encode(F.col(text_col).cast("string"), "UTF-8")), F.lit(""))
+
+
+def keep_one(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each label: the smallest id (nulls last), then the smallest mark.
+
+    ``labelled`` holds doc_id, mark and label, a row a document; only doc_id may be null.
+    """
+    # Null ids compare equal through two plain keys.
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_key"), F.col("mark").alias("_mark")))
+    stay = labelled.groupBy("label").agg(least.alias("s")).select("s.*")
+    own = F.col(id_col).cast("long")
+    keyed = docs.withColumns({"_none": own.isNull(), "_key": F.coalesce(own, F.lit(0)), "_mark": text_mark(text_col)})
+    on = ["_none", "_key", "_mark"]
+    return keyed.join(stay, on, "left_semi").dropDuplicates(on).select(*docs.columns)
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """The documents that stay: of each component, the one with the smallest id."""
     marked = near_duplicates(docs, id_col, text_col, shingle, distance)

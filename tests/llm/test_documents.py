@@ -5,13 +5,14 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from panelkit.llm import byte_bpe, packing, quality, sharding, simhash, word_bpe
+from panelkit.llm import byte_bpe, packing, quality, sharding, simhash, similar, word_bpe
 from panelkit.llm.common import gapless_rank, min_label_components
 
 SF = "/root/testdata/sf0.001"
@@ -258,3 +259,52 @@ def test_empty_tables(spark):
     assert packing.pack_documents(none, public_tokenizers.path("word_bpe_49k.json")).count() == 0
     assert sharding.assign(none).count() == 0
     assert quality.classify(none, labels).count() == 0
+
+
+def _similar_groups(rows):
+    """Groups of rows (id, text) by exact similarity of five-word shingles, as sorted lists."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    holders, root = {}, list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        for j in {j for x in s or {b""} for j in holders.setdefault(x, [])}:
+            if 5 * len(s & sets[j]) >= 4 * len(s | sets[j]):
+                root[find(i)] = find(j)
+        for x in s or {b""}:
+            holders[x].append(i)
+    out = {}
+    for i, row in enumerate(rows):
+        out.setdefault(find(i), []).append(row)
+    return list(out.values())
+
+
+def _first(group):
+    return min(group, key=lambda r: (r[0] is None, r[0] or 0, hashlib.md5(r[1].encode()).hexdigest() if r[1] is not None else ""))
+
+
+def test_pipeline_links_every_pair_of_similarity_four_fifths(spark, odd):
+    r = random.Random(9)
+    made = []
+    for k in range(60):
+        words = [f"w{r.randrange(10**6)}" for _ in range(r.choice([30, 100, 400]))]
+        made.append(" ".join(words))
+        for _ in range(2):  # edits by which about a tenth of the shingles differ
+            edited = words[:]
+            for p in r.sample(range(len(words)), max(1, len(words) // 50)):
+                edited[p] = "edited" + str(r.random())
+            made.append(" ".join(edited))
+    planted = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    tables = (planted, odd, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    for df in tables:
+        groups = _similar_groups([(x["doc_id"], x["text"]) for x in df.collect()])
+        kept = Counter((x["doc_id"], x["text"]) for x in corpus_pipeline.near_dedup(spark, df, SF).collect())
+        assert kept == Counter(map(_first, groups))
+    assert len(_similar_groups(list(enumerate(made)))) < 120
