@@ -270,13 +270,9 @@ def keep_one(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, distance: int = 4) -> DataFrame:
     """The documents that stay: of each component, the one with the smallest id."""
-    marked = near_duplicates(docs, id_col, text_col, shingle, distance)
-    # Null ids compare equal through two plain keys, so one shuffle serves both steps.
-    key = F.coalesce(F.col("doc_id"), F.lit(0)).alias("_key"), F.col("doc_id").isNull().alias("_none")
-    stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key).distinct()
-    own = F.col(id_col).cast("long")
-    keyed = docs.withColumns({"_key": F.coalesce(own, F.lit(0)), "_none": own.isNull()}).dropDuplicates(["_key", "_none"])
-    return keyed.join(stay, ["_key", "_none"], "left_semi").select(*docs.columns)
+    marked = cut(fingerprints(docs.withColumn("_mark", text_mark(text_col)), id_col, text_col, shingle, "_mark"))
+    named, _ = _labelled(marked, distance)
+    return keep_one(docs, marked.join(named.select("fp", "label"), "fp").select("doc_id", "mark", "label"), id_col, text_col)
 
 
 def hex_digits(fp: str = "fp"):

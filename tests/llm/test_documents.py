@@ -308,3 +308,11 @@ def test_pipeline_links_every_pair_of_similarity_four_fifths(spark, odd):
         kept = Counter((x["doc_id"], x["text"]) for x in corpus_pipeline.near_dedup(spark, df, SF).collect())
         assert kept == Counter(map(_first, groups))
     assert len(_similar_groups(list(enumerate(made)))) < 120
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_first, similar.keep_first])
+def test_different_texts_under_null_and_repeated_ids_stay(spark, keep):
+    words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    rows = [(None, words[0]), (None, words[1]), (None, words[1]), (None, words[2]), (3, words[3]), (3, words[4]), (5, words[4]), (4, words[5])]
+    got = keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([(None, words[0]), (None, words[1]), (None, words[2]), (3, words[3]), (3, words[4]), (4, words[5])])
