@@ -325,11 +325,11 @@ def engine_compare(spark, sf):
 
 
 def _records(spark, sf):
-    """Documents as records: equal titles, DOIs on some."""
+    """Documents as records: their whole texts as titles, DOIs on some."""
     d = _t(spark, sf, "documents")
     doi = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://doi.org/10.1234/ABC"), (F.col("doc_id") % 50).cast("string"))).when(F.col("doc_id") % 5 == 1, F.lit("10.66/no"))
     people = F.array(F.struct(F.lit("A").alias("given"), F.col("lang").alias("family")))
-    return d.select(F.substring("text", 1, 60).alias("title"), doi.alias("doi"), people.alias("authors"), F.lit(2000).alias("year"), "source", F.col("doc_id").cast("string").alias("source_id"))
+    return d.select(F.col("text").alias("title"), doi.alias("doi"), people.alias("authors"), F.lit(2000).alias("year"), "source", F.col("doc_id").cast("string").alias("source_id"))
 
 
 @query("l_title_key", r"SELECT doc_id, trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) AS k FROM documents")

@@ -33,6 +33,11 @@ def identity_key(title: Column, year: Column, families: Column) -> Column:
     return F.when(~empty, F.concat_ws("\x01", F.coalesce(title, F.lit("")), F.coalesce(year.cast("string"), F.lit("")), names))
 
 
+def short_key(c: Column) -> Column:
+    """A long key as its hash, so that shuffles carry no whole texts. No title key holds a #."""
+    return F.when(F.length(c) > 64, F.concat(F.lit("#"), F.sha2(F.encode(c, "UTF-8"), 256))).otherwise(c)
+
+
 def edges(records: DataFrame) -> DataFrame:
     """(u, v): each record to the first holder, in record_id order, of one of its keys."""
 
@@ -70,6 +75,7 @@ def _kinds(c: Column) -> Column:
 
 def groups(records: DataFrame) -> DataFrame:
     """One row a group: members, decision and rule (in this order), state and reason."""
+    records = records.withColumn("title_key", short_key(F.col("title_key")))
     labelled = records.join(components(records, edges(records)), "record_id")
     found = labelled.groupBy("label").agg(
         F.array_sort(F.collect_set("record_id")).alias("record_ids"), F.countDistinct("record_id").alias("member_count"),

@@ -1,12 +1,15 @@
 """Plans, guards, validation, statistics, linkage, artifacts, sources, streams."""
 
+import hashlib
 import json
 import math
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelkit import engine_queries
 from panelkit.functions import text
 from panelkit.operators import artifacts, linkage, stats
 from panelkit.operators.construct import construct
@@ -228,6 +231,42 @@ def test_linkage(spark):
     assert find(df.orderBy(F.desc("source_id"))) == got
 
 
+def _brute_groups(rows):
+    """Record ids by group: documents linked by DOI, and by whole title and language where DOIs allow it."""
+    records = []
+    for r in rows:
+        title = " ".join((r["text"] or "").split())
+        key = " ".join("".join(c if unicodedata.category(c)[0] in "LN" else " " for c in title.lower()).split())
+        rid = "rec_" + hashlib.sha256(f"{r['source'] or ''}|{r['doc_id']}|{title}".encode()).hexdigest()[:12]
+        doi = f"10.1234/abc{r['doc_id'] % 50}" if r["doc_id"] % 5 == 0 else None
+        records.append((rid, doi, (key, (r["lang"] or "").lower())))
+    root = {rid: rid for rid, *_ in records}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    by_doi, by_key = {}, {}
+    for rid, doi, key in sorted(records, key=lambda r: r[0]):
+        if doi:
+            root[find(rid)] = find(by_doi.setdefault(doi, rid))
+        first, other = by_key.setdefault(key, (rid, doi))
+        if not doi or not other or doi == other:
+            root[find(rid)] = find(first)
+    out = {}
+    for rid, *_ in records:
+        out.setdefault(find(rid), set()).add(rid)
+    return sorted(map(sorted, out.values()))
+
+
+def test_l_groups_compares_whole_texts(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    found = engine_queries.l_groups(spark, sf).collect()
+    assert sorted(list(r["record_ids"]) for r in found) == _brute_groups(rows)
+
+
 def test_identifiers(spark):
     cells = ["DOI: 10.1234/Ab", "https://doi.org/10.1234/x y", "10.66/x", " ", None]
     rows = spark.createDataFrame([(c,) for c in cells], "c string").select(text.canonical_doi(F.col("c")).alias("d"), text.doi_reason(F.col("c")).alias("r")).collect()
