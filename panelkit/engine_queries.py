@@ -364,7 +364,8 @@ def l_dedupe_components(spark, sf):
 
 @query("l_groups")
 def l_groups(spark, sf):
-    return linkage.groups(linkage.normalize_records(_records(spark, sf), compose=False)).select("label", "record_ids", "member_count", "rule", "decision", "state")
+    found = linkage.groups(linkage.normalize_records(_records(spark, sf), compose=False))
+    return linkage.verified(found).select("label", "record_ids", "member_count", "rule", "decision", "state", "reason_codes", "evidence")
 
 
 @query("l_workflow_status", "SELECT CASE WHEN bool_and(o_orderstatus = 'ok') THEN 'completed' ELSE 'degraded' END AS workflow_status FROM orders")

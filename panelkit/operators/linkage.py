@@ -28,7 +28,7 @@ def normalize_records(df: DataFrame, compose: bool = True) -> DataFrame:
 
 def identity_key(title: Column, year: Column, families: Column) -> Column:
     """Title key, year and sorted families; NULL if all are empty (such records aren't one work)."""
-    names = F.array_join(F.array_sort(F.filter(F.split(families, r"\|"), lambda x: x != "")), "|")
+    names = _sorted_families(families)
     empty = (F.coalesce(title, F.lit("")) == "") & year.isNull() & (names == "")
     return F.when(~empty, F.concat_ws("\x01", F.coalesce(title, F.lit("")), F.coalesce(year.cast("string"), F.lit("")), names))
 
@@ -73,13 +73,25 @@ def _kinds(c: Column) -> Column:
     return F.size(F.collect_set(F.when(c.cast("string") != "", c.cast("string"))))
 
 
+def _filled(c: Column) -> Column:
+    return F.array_sort(F.collect_set(F.when(c != "", c)))
+
+
+def _sorted_families(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(c, r"\|"), lambda x: x != "")), "|")
+
+
 def groups(records: DataFrame) -> DataFrame:
-    """One row a group: members, decision and rule (in this order), state and reason."""
+    """One row a group: members, decision and rule (in this order), and a state by the groups' counts.
+
+    ``verified`` puts the state with its reason codes and evidence in that state's place.
+    """
     records = records.withColumn("title_key", short_key(F.col("title_key")))
     labelled = records.join(components(records, edges(records)), "record_id")
     found = labelled.groupBy("label").agg(
         F.array_sort(F.collect_set("record_id")).alias("record_ids"), F.countDistinct("record_id").alias("member_count"),
         _kinds(F.col("canonical_doi")).alias("dois"), _kinds(F.col("title_key")).alias("titles"), _kinds(F.col("year")).alias("years"), _kinds(F.col("author_family_key")).alias("families"), F.countDistinct("source").alias("sources"), F.count_if(F.col("canonical_doi").isNull()).alias("without_doi"),
+        _kinds(_sorted_families(F.col("author_family_key"))).alias("family_sets"), _filled(F.col("canonical_doi")).alias("doi_list"), _filled(F.col("source")).alias("source_list"),
     )
     found = found.withColumn("rule", F.when(F.col("member_count") == 1, "single").when(F.col("dois") > 1, "doi_conflict").when(F.col("families") > 1, "author_conflict").when((F.col("titles") > 1) | (F.col("years") > 1), "identity_conflict").when(F.col("dois") == 1, "canonical_doi").otherwise("source_id_or_normalized"))
     found = found.withColumn("decision", F.when(F.col("rule") == "single", "distinct").when(F.col("rule").endswith("conflict"), "conflict").otherwise("dedupe_same"))
@@ -87,6 +99,36 @@ def groups(records: DataFrame) -> DataFrame:
     return found.withColumn("state", state)
 
 
+#: Verification's branches in their order: state, reason codes, note.
+_BRANCHES = (
+    ("verified", ("authoritative_doi", "core_fields_compatible"), "valid canonical DOI confirmed by authoritative metadata + compatible core identity"),
+    ("conflicting", ("multiple_dois",), "same/claimed DOI group has materially inconsistent bibliographic fields"),
+    ("conflicting", ("doi_identity_conflict",), "same/claimed DOI group has materially inconsistent bibliographic fields"),
+    ("verified", ("multi_source_agreement", "no_doi"), "two or more independent authoritative/stable identities agree strongly on the same work, no material conflict"),
+    ("partially_verified", ("single_source_or_incomplete", "no_doi"), "one authoritative source with coherent metadata but no independent confirmation (or incomplete but agreeing identity)"),
+    ("unresolved", ("insufficient_evidence", "no_doi"), "insufficient independent/consistent bibliographic identity evidence"),
+)
+
+
+def verified(found: DataFrame) -> DataFrame:
+    """``groups`` with state, reason_codes and evidence by DOI, core fields and sources.
+
+    Evidence's doi is given where one DOI is confirmed, its dois where there is a conflict.
+    """
+    dois, sources = F.size("doi_list"), F.size("source_list")
+    strong = (F.col("titles") <= 1) & (F.col("years") <= 1) & (F.col("family_sets") <= 1)
+    tests = ((dois == 1) & strong, dois > 1, dois == 1, (sources >= 2) & strong, (sources == 1) | ((F.col("titles") == 1) & (F.col("years") == 1)), F.lit(True))
+
+    def made(test: Column, state: str, codes: tuple[str, ...], note: str) -> tuple[Column, Column]:
+        one = F.col("doi_list")[0] if "authoritative_doi" in codes else F.lit(None).cast("string")
+        many = F.col("doi_list") if state == "conflicting" else F.lit(None).cast("array<string>")
+        evidence = F.struct(one.alias("doi"), many.alias("dois"), F.col("source_list").alias("sources"), F.lit(note).alias("note"))
+        return test, F.struct(F.lit(state).alias("state"), F.array(*map(F.lit, codes)).alias("reason_codes"), evidence.alias("evidence"))
+
+    picked = F.coalesce(*[F.when(*made(t, *b)) for t, b in zip(tests, _BRANCHES)])
+    return found.drop("state").withColumn("_v", picked).select("*", "_v.*").drop("_v")
+
+
 def numbered(found: DataFrame) -> DataFrame:
     """G0, G1, ... by the groups' sorted record ids. A search's result set is small; this is one ordered pass."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.array_join("record_ids", "|"))

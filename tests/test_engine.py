@@ -231,6 +231,34 @@ def test_linkage(spark):
     assert find(df.orderBy(F.desc("source_id"))) == got
 
 
+VERIFIED = [  # records (title, doi, family, year, source), then state and reason codes
+    ([("a", "10.1234/a", "Li", 2001, "x")], "verified", ["authoritative_doi", "core_fields_compatible"]),
+    ([("b", "10.1234/b", "Li", 2001, "x"), ("b", "10.1234/b", "So", 2001, "y")], "conflicting", ["doi_identity_conflict"]),
+    ([("c", None, "Li", 2001, "x"), ("c", None, "Li", 2001, "y")], "verified", ["multi_source_agreement", "no_doi"]),
+    ([("d", None, "Li", 2001, "x")], "partially_verified", ["single_source_or_incomplete", "no_doi"]),
+    ([("g", None, "Li", 2001, None)], "partially_verified", ["single_source_or_incomplete", "no_doi"]),
+    ([(None, None, "Li", 2002, None)], "unresolved", ["insufficient_evidence", "no_doi"]),
+]
+
+
+def test_verification_states_and_reasons(spark):
+    rows = [(t, d, [("A", f)], y, s, f"{i}-{k}") for i, (records, *_) in enumerate(VERIFIED) for k, (t, d, f, y, s) in enumerate(records)]
+    df = spark.createDataFrame(rows, "title string, doi string, authors array<struct<given string, family string>>, year int, source string, source_id string")
+    records = linkage.normalize_records(df).cache()
+    group = F.split("source_id", "-")[0]
+    found = linkage.verified(linkage.groups(records))
+    of = {r["record_id"]: r["g"] for r in records.select("record_id", group.cast("int").alias("g")).collect()}
+    got = {}
+    for r in found.collect():
+        got.setdefault(of[r["record_ids"][0]], []).append((r["state"], r["reason_codes"], r["member_count"], r["evidence"]))
+    for i, (members, state, codes) in enumerate(VERIFIED):
+        assert [x[:3] for x in got[i]] == [(state, codes, len(members))]
+    assert got[0][0][3]["doi"] == "10.1234/a" and got[0][0][3]["dois"] is None and got[0][0][3]["sources"] == ["x"]
+    assert got[1][0][3]["dois"] == ["10.1234/b"] and got[1][0][3]["sources"] == ["x", "y"]
+    two = linkage.verified(linkage.groups(records.where(group == "0").unionByName(records.where(group == "0").withColumn("canonical_doi", F.lit("10.1234/z")))))
+    assert [(r["state"], r["reason_codes"]) for r in two.collect()] == [("conflicting", ["multiple_dois"])]
+
+
 def _brute_groups(rows):
     """Record ids by group: documents linked by DOI, and by whole title and language where DOIs allow it."""
     records = []
