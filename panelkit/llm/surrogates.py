@@ -25,11 +25,18 @@ FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Го
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
 _HONORIFIC = "(?:" + "|".join((*FEMALE, *MALE)) + r")\.?\s"
 #: What names a credential. Behind a glued "=" any value counts, else one of digits and
-#: letters; no calls, no addresses. At most 256 characters of a value. Fixed values.
+#: letters; no calls, no addresses. The whole value is read, whatever its length: runs are possessive,
+#: so a place is read once a condition. Fixed values.
 _CREDENTIAL = "(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
-_INNER = r"[\p{L}\p{N}_+/=.~!@#$%^*-]"
-_LABEL = rf"""{_CREDENTIAL}(?:=["']?(?={_INNER}{{0,255}}[\p{{L}}\p{{N}}])|["']?[ \t]{{0,2}}[=:][ \t]{{0,2}}["']?(?={_INNER}{{0,255}}\d)(?={_INNER}{{0,255}}\p{{L}}))"""
-_ASSIGNED = rf"{_LABEL}(?!{_INNER}{{0,255}}(?:[(\[]|@[\p{{L}}\p{{N}}-]+\.\p{{L}})){_INNER}{{5,255}}[\p{{L}}\p{{N}}_+/=#$%^*-]"
+_MARKS = r"_+/=.~!@#$%^*\-"
+_INNER = rf"[\p{{L}}\p{{N}}{_MARKS}]"
+_NO_DIGIT, _NO_LETTER, _NEITHER = rf"[\p{{L}}\p{{N}}{_MARKS}&&[^0-9]]", rf"[\p{{N}}{_MARKS}]", rf"[{_MARKS}]"
+_LABEL = rf"""{_CREDENTIAL}(?:=["']?(?={_NEITHER}*+[\p{{L}}\p{{N}}])|["']?[ \t]{{0,2}}[=:][ \t]{{0,2}}["']?(?={_NO_DIGIT}*+\d)(?={_NO_LETTER}*+\p{{L}}))"""
+_NO_AT = rf"[\p{{L}}\p{{N}}{_MARKS}&&[^@]]"
+_ADDRESS = r"@[\p{L}\p{N}-]++\.\p{L}"
+#: A value ends in a letter, a digit or one of these marks, not in punctuation.
+_END = r"[\p{L}\p{N}_+/=#$%^*-]"
+_ASSIGNED = rf"{_LABEL}(?!{_INNER}*+[(\[])(?!{_NO_AT}*+(?:(?!{_ADDRESS})@{_NO_AT}*+)*+@)(?={_INNER}{{5}}[.~!@]*+{_END})(?:[.~!@]*+{_END}++)++"
 #: Patterns by type; the first that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -102,9 +109,9 @@ def _luhn(digits: Column, start: int) -> Column:
 
 
 def _stream(type_: Column, canon: Column, attempt: Column, key: str) -> Column:
-    """Keyed hash digits, two for each letter of the canonical form and more."""
+    """Keyed hash digits, two for each letter of the canonical form and more, in parts of 64."""
     seed = F.concat_ws("\x01", F.lit(key), type_, canon, attempt.cast("string"))
-    return F.array_join(F.transform(F.sequence(F.lit(0), (F.length(canon) / 32).cast("int")), lambda j: F.sha2(F.concat_ws("\x01", seed, j.cast("string")), 256)), "")
+    return F.transform(F.sequence(F.lit(0), (F.length(canon) / 32).cast("int")), lambda j: F.sha2(F.concat_ws("\x01", seed, j.cast("string")), 256))
 
 
 def drawn(entities: DataFrame, key: str) -> DataFrame:
@@ -112,18 +119,16 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     type_, canon, stream = F.col("type"), F.col("canon"), F.col("_stream")
 
     def byte(i: Column) -> Column:
-        return F.conv(F.substring(stream, i * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.conv(F.substring(F.get(stream, (i / 32).cast("int")), i % 32 * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
     hexes = (type_ == "secret") & canon.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
     keep = F.when(type_ == "iban", 2).when(type_ == "card", 1).when(type_ == "phone", F.greatest(F.length(canon) - 10, F.lit(0))).otherwise(0)
-    keep_from = F.when(type_ == "email", F.length(canon) - F.length(F.substring_index(canon, ".", -1))).otherwise(F.length(canon))
+    keep_from = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
 
     def shaped(c: Column, i: Column) -> Column:
         b = byte(i)
         return (
-            F.when((i < keep) | (i >= keep_from), c)
-            .when(hexes, _pick("0123456789abcdef", b))
-            .when(c.rlike("[0-9]"), _pick(_DIGITS, b))
+            F.when(c.rlike("[0-9]"), _pick(_DIGITS, b))
             .when(c.rlike("[a-z]"), _pick(_LATIN, b))
             .when(c.rlike("[A-Z]"), _pick(_LATIN.upper(), b))
             .when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYRILLIC, b))
@@ -132,7 +137,15 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
             .otherwise(c)
         )
 
-    letters = F.array_join(F.transform(F.split(canon, ""), shaped), "")
+    # What reads the whole form stays out of the secrets' loop: they may be long.
+    split = F.split(canon, "")
+    letters = F.array_join(
+        F.when(hexes, F.transform(split, lambda c, i: _pick("0123456789abcdef", byte(i))))
+        .when(type_ == "secret", F.transform(split, shaped))
+        .when(type_ == "email", F.transform(split, lambda c, i: F.when(i >= keep_from, c).otherwise(shaped(c, i))))
+        .otherwise(F.transform(split, lambda c, i: F.when(i < keep, c).otherwise(shaped(c, i)))),
+        "",
+    )
     shape = F.col("_shape")
     # A card number that was valid stays valid.
     head = F.substring(shape, F.lit(1), F.length(canon) - 1)
@@ -153,7 +166,7 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(words, word), " "))
     made = F.when(type_ == "ip", ip).when(type_ == "name", name).when(type_ == "card", card).otherwise(shape)
     # Short forms have few surrogates: after some attempts letters are put before them.
-    roomy = F.when(type_.isin("email", "secret") & (F.col("attempt") >= SHORT_ROUNDS), F.concat(F.substring(F.sha2(stream, 256), 1, 8), made)).otherwise(made)
+    roomy = F.when(type_.isin("email", "secret") & (F.col("attempt") >= SHORT_ROUNDS), F.concat(F.substring(F.sha2(F.array_join(stream, ""), 256), 1, 8), made)).otherwise(made)
     hashed = entities.withColumn("_stream", _stream(type_, canon, F.col("attempt"), key))
     return hashed.withColumn("_shape", letters).select("type", "canon", "attempt", roomy.alias("surrogate"))
 

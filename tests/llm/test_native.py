@@ -1,5 +1,6 @@
 """The operators on DataFrame functions alone, against brute force."""
 
+import random
 import re
 from collections import Counter
 
@@ -64,6 +65,21 @@ def test_assigned_credentials_keep_name_and_form(replaced):
     assert found[4] in next(r["text"] for r in replaced if r["doc_id"] == 1 and r["n"] == 3)
 
 
+def test_assigned_credentials_are_read_to_their_end(spark):
+    r = random.Random(1)
+    value = "".join(r.choice("abcdefghijkXYZ/+") for _ in range(800))
+    jwt = f"eyJ{value}.{value}9.{value}"
+    texts = [f'token = "{value}7" end', f"secret: {jwt}...", f"password={value}", f"api_key: {'9' * 300}{value}!", f"token={value}.call2(x)", f"token = {value}", f"secret={value}1@mail.example.org", "pwd=" + "a1" * 20_000 + "."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {x["doc_id"]: x["text"] for x in surrogates.replace(df).collect()}
+    assert re.fullmatch(r'token = "[\w/+]{801}" end', out[0]) and re.fullmatch(r"secret: [\w/+.]{2406}\.\.\.", out[1])
+    assert re.fullmatch(r"password=[\w/+]{800}", out[2]) and re.fullmatch(r"api_key: \d{300}[\w/+]{800}!", out[3]) and len(out[7]) == len(texts[7])
+    pieces = {t[i : i + 12] for t in (value, jwt) for i in range(len(t) - 12)} | {"9" * 12, "a1" * 12}
+    for i in (0, 1, 2, 3, 7):
+        assert not any(out[i][k : k + 12] in pieces for k in range(len(out[i])))
+    assert out[4] == texts[4] and out[5] == texts[5]  # a call; no digit behind a loose "="
+
+
 def test_short_forms_do_not_run_out(spark):
     df = spark.range(26).select(F.lit("secret").alias("type"), F.concat(F.lit("*****"), F.expr("char(97 + id)")).alias("canon"))
     rows = surrogates.surrogates(df, "k").collect()
