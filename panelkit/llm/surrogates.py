@@ -54,6 +54,8 @@ _DIGITS = "0123456789"
 ROUNDS = 64
 #: Attempts after which an e-mail address or a secret may grow by eight characters.
 SHORT_ROUNDS = 16
+#: Names gain one more syllable after each so many attempts.
+NAME_ROUNDS = 8
 
 
 #: No entity is without a digit, an @, an = or one of these: most texts are told clean at once.
@@ -111,7 +113,8 @@ def _luhn(digits: Column, start: int) -> Column:
 def _stream(type_: Column, canon: Column, attempt: Column, key: str) -> Column:
     """Keyed hash digits, two for each letter of the canonical form and more, in parts of 64."""
     seed = F.concat_ws("\x01", F.lit(key), type_, canon, attempt.cast("string"))
-    return F.transform(F.sequence(F.lit(0), (F.length(canon) / 32).cast("int")), lambda j: F.sha2(F.concat_ws("\x01", seed, j.cast("string")), 256))
+    letters = F.when(type_ == "name", 8).otherwise(32)  # a name's words may take more than a byte a letter
+    return F.transform(F.sequence(F.lit(0), (F.length(canon) / letters).cast("int")), lambda j: F.sha2(F.concat_ws("\x01", seed, j.cast("string")), 256))
 
 
 def drawn(entities: DataFrame, key: str) -> DataFrame:
@@ -155,11 +158,21 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     # Names: one invented word per word, in the script, with an ending for the gender.
     words = F.split(F.substring(canon, F.lit(3), F.length(canon)), "[ -]")
 
+    # A stock of short words runs out: the first word grows with the attempts.
+    more = (F.col("attempt") / NAME_ROUNDS).cast("int")
+
+    def syllables(consonants: str, vowels: str) -> Column:
+        start = F.size(words) * 5
+        made = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda j: F.concat(_pick(consonants, byte(start + j * 2 - 2)), _pick(vowels, byte(start + j * 2 - 1))))
+        return F.when(more > 0, F.array_join(made, "")).otherwise("")
+
+    latin_more, slavic_more = syllables("bdgklmnprstvz", "aeiou"), syllables("бдгклмнпрст", "аеиоу")
+
     def word(w: Column, i: Column) -> Column:
         at = i * 5
         cyrillic = w.rlike(r"\p{IsCyrillic}")
-        latin = F.concat(_pick("BDFGKLMNPRSTV", byte(at)), _pick("aeiou", byte(at + 1)), _pick("bdgklmnprstvz", byte(at + 2)), _pick("aeiou", byte(at + 3)), _pick("lmnrst", byte(at + 4)))
-        slavic = F.concat(_pick("БДГКЛМНПРСТВ", byte(at)), _pick("аеиоу", byte(at + 1)), _pick("бдгклмнпрст", byte(at + 2)), _pick("аеиоу", byte(at + 3)), _pick("лмнрст", byte(at + 4)))
+        latin = F.concat(_pick("BDFGKLMNPRSTV", byte(at)), _pick("aeiou", byte(at + 1)), _pick("bdgklmnprstvz", byte(at + 2)), _pick("aeiou", byte(at + 3)), F.when(i == 0, latin_more).otherwise(""), _pick("lmnrst", byte(at + 4)))
+        slavic = F.concat(_pick("БДГКЛМНПРСТВ", byte(at)), _pick("аеиоу", byte(at + 1)), _pick("бдгклмнпрст", byte(at + 2)), _pick("аеиоу", byte(at + 3)), F.when(i == 0, slavic_more).otherwise(""), _pick("лмнрст", byte(at + 4)))
         female = F.substring(canon, 1, 1) == "f"
         return F.when(cyrillic, F.concat(slavic, F.when(female, "а").otherwise(""))).otherwise(F.concat(latin, F.when(female, "a").otherwise("")))
 

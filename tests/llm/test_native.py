@@ -86,6 +86,13 @@ def test_short_forms_do_not_run_out(spark):
     assert len({r["surrogate"] for r in rows} | {r["canon"] for r in rows}) == 52
 
 
+def test_names_do_not_run_out(spark):
+    spelt = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij")
+    df = spark.range(26_000).select(F.lit("name").alias("type"), F.concat(F.lit("m Q"), spelt).alias("canon"))
+    rows = surrogates.surrogates(df, "k").collect()
+    assert len({r["surrogate"] for r in rows}) == 26_000 and all(re.fullmatch("m [A-Z][a-z]+", r["surrogate"]) for r in rows)
+
+
 def test_surrogates_are_distinct_and_meet_no_real_entity(spark):
     df = spark.range(300).select(F.lit("ssn").alias("type"), F.lpad(F.col("id").cast("string"), 3, "0").alias("canon"))
     rows = surrogates.surrogates(df, "k").collect()
