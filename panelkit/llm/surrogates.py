@@ -59,7 +59,7 @@ NAME_ROUNDS = 8
 
 
 #: No entity is without a digit, an @, an = or one of these: most texts are told clean at once.
-_STEMS = ("Mr", "Ms", "Miss", "Frau", "Madame", "Mme", "Señor", "Sr", "Госпо", "Herr", "Monsieur", "Господин", "sk-", "sk_", "ghp", "gho", "xoxb")
+_STEMS = ("Mr", "Ms", "Miss", "Frau", "Madame", "Mme", "Señor", "Sr", "Госпо", "Herr", "Monsieur", "Господин", "sk-", "sk_", "ghp", "gho", "xoxb", "AKIA")
 
 
 def holds_entity(text: Column) -> Column:

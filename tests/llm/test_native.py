@@ -86,6 +86,15 @@ def test_short_forms_do_not_run_out(spark):
     assert len({r["surrogate"] for r in rows} | {r["canon"] for r in rows}) == 52
 
 
+def test_prefilter_loses_no_entity_without_digits(spark):
+    stems = [f"{h} {w}" for h in (*surrogates.FEMALE, *surrogates.MALE) for w in ("Abel", "Иванов")]
+    keys = [f"{p}{m}{'x' * 16}" for p in ("sk", "ghp", "gho", "xoxb") for m in "-_"]
+    texts = [*stems, *keys, "a@b.org", "password=HUNTERS", "abcdefab" * 4, "ABCDEFAB" * 4, "AKIA" + "QWERTYUIOPASDFGH"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = df.select("text", F.col("text").rlike(surrogates.PATTERN).alias("full"), surrogates.holds_entity(F.col("text")).alias("told")).collect()
+    assert [r["text"] for r in found if not (r["full"] and r["told"])] == []
+
+
 def test_names_do_not_run_out(spark):
     spelt = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij")
     df = spark.range(26_000).select(F.lit("name").alias("type"), F.concat(F.lit("m Q"), spelt).alias("canon"))
