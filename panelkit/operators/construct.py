@@ -13,6 +13,7 @@ from panelkit.plans.validate import construct_errors, op_inputs
 
 from .guards import PlanFailure, Run, duplicate_rows
 from .harmonize import finish
+from .lineage import settled
 
 
 def operand(x) -> Column:
@@ -32,6 +33,10 @@ def arithmetic(operator: str, left: Column, right: Column) -> Column:
     return {"add": left + right, "subtract": left - right, "multiply": left * right, "divide": F.try_divide(left, right)}[operator]
 
 
+def logarithm(x: Column, base: str = "natural") -> Column:
+    return F.log10(x) if str(base) == "10" else F.ln(x)
+
+
 def panel_window(panel_by: str, time_by: str) -> Window:
     """One spec for every op on a panel, so that all share one exchange and sort."""
     return Window.partitionBy(panel_by).orderBy(F.col(time_by).asc_nulls_last())
@@ -53,6 +58,8 @@ def _panel_op(run: Run, op: dict, plan: dict, at: int, entry: dict, checked: set
         run.flush()
         if n := duplicate_rows(run.df, [panel_by, time_by]):
             raise PlanFailure(at, kind, f"({panel_by}, {time_by}) repeats", n)
+        if not checked:
+            run.df = settled(run.df)  # what follows reads the frame again and again
         checked.add((panel_by, time_by))
     near = shifted(op["source"], -k if kind == "lead" else k, panel_by, time_by)
     run.df = run.df.withColumn("_near", near)
@@ -88,7 +95,7 @@ def apply(run: Run, op: dict, plan: dict, at: int, checked: set) -> None:
         x = F.col(op["source"])
         run.guard(at, kind, "log of a value that is not positive", x <= 0)
         run.count(entry, "missing_propagated", x.isNull())
-        value = F.log10(x) if str(op.get("base", "natural")) == "10" else F.ln(x)
+        value = logarithm(x, op.get("base", "natural"))
     elif kind == "ratio":
         run.guard(at, kind, "denominator is zero", F.col(op["denominator"]) == 0)
         value = F.try_divide(F.col(op["numerator"]), F.col(op["denominator"]))
@@ -104,9 +111,10 @@ def construct(plan: dict, df: DataFrame) -> tuple[DataFrame, list[dict]]:
     if errors := construct_errors(plan, df.columns):
         raise ValueError("; ".join(errors))
     run, checked = Run(df), set()
-    for at, op in enumerate(plan["operations"]):
-        apply(run, op, plan, at, checked)
-    run.flush()
+    with run.logged():
+        for at, op in enumerate(plan["operations"]):
+            apply(run, op, plan, at, checked)
+        run.flush()
     for entry in run.log:
         if entry.pop("_total", None):
             entry["propagated_missing"] = max(0, entry["missing"] - entry["structural_missing"])

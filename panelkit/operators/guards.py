@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ class PlanFailure(Exception):
     def __init__(self, op: int, kind: str, reason: str, count: int | None = None):
         super().__init__(f"op {op} ({kind}): {reason}" + (f" ({count} rows)" if count is not None else ""))
         self.op, self.kind, self.reason, self.count = op, kind, reason, count
+        #: The entries of the ops up to the one that failed.
+        self.log: list[dict] = []
 
 
 @dataclass
@@ -24,6 +28,25 @@ class Run:
     log: list[dict] = field(default_factory=list)
     waiting: list[tuple[str, int, str, str]] = field(default_factory=list)
     counted: list[tuple[str, dict, str]] = field(default_factory=list)
+    #: By op: the values to list if it fails (code).
+    examples: dict[int, DataFrame] = field(default_factory=dict)
+
+    @contextmanager
+    def logged(self):
+        """A failure carries the log along: it says which op failed and why, and nothing is written.
+
+        An error of the engine itself becomes a failure of the op that ran.
+        """
+        try:
+            yield
+        except PlanFailure as e:
+            failed = e
+        except PySparkException as e:
+            failed = PlanFailure(len(self.log) - 1, self.log[-1]["kind"] if self.log else "plan", f"exception: {e}"[:500])
+        else:
+            return
+        failed.log = [{**x, "status": "fail", "reason": failed.reason, "count": failed.count} if x["op"] == failed.op else x for x in self.log if x["op"] <= failed.op]
+        raise failed
 
     def guard(self, op: int, kind: str, reason: str, violated: Column) -> None:
         """Rows for which ``violated`` is true are counted at the next flush; any fails the plan."""
@@ -45,7 +68,8 @@ class Run:
         found = self.df.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
         for name, op, kind, reason in self.waiting:
             if found[name]:
-                raise PlanFailure(op, kind, reason, found[name])
+                codes = [r["code"] for r in self.examples[op].collect()] if op in self.examples else []
+                raise PlanFailure(op, kind, reason + (f": {codes}" if codes else ""), found[name])
         for name, entry, key in self.counted:
             entry[key] = found[name]
         self.df = self.df.drop(*names)

@@ -12,6 +12,7 @@ from panelkit.functions.text import date_output, normalize_key, parsed_date
 from panelkit.plans.validate import harmonize_errors
 
 from .guards import PlanFailure, Run, duplicate_rows
+from .lineage import settled
 
 #: Texts of true and false. Fixed values.
 TRUE, FALSE = ("true", "1", "yes"), ("false", "0", "no")
@@ -34,6 +35,12 @@ def map_code(c: Column, mapping: dict[str, str]) -> Column:
     return F.try_element_at(table, c.cast("string"))
 
 
+def unknown_codes(df: DataFrame, column: str, mapping: dict[str, str], most: int = 1000) -> DataFrame:
+    """The distinct codes that a mapping lacks: U3. A plan that fails lists ``most`` of them, in order."""
+    c = F.col(column)
+    return df.where(map_code(c, mapping).isNull()).select(c.cast("string").alias("code")).distinct().orderBy("code").limit(most)
+
+
 def convert_unit(c: Column, factor: float, mode: str) -> Column:
     return c * F.lit(float(factor)) if mode == "multiply" else F.try_divide(c, F.lit(float(factor)))
 
@@ -62,10 +69,14 @@ def _merge_op(run: Run, frames: dict[str, DataFrame], op: dict, at: int) -> dict
     for one, df, keys, side in ((one_left, run.df, lk, "left"), (one_right, right, rk, "right")):
         if one and (n := duplicate_rows(df, keys)):
             raise PlanFailure(at, "merge", f"{side} keys repeat under {op['cardinality']}", n)
-    before = run.df.count()
-    joined = merge(run.df, right, lk, rk, op["how"])
+    left, how = run.df, op["how"]
+    # Joined once, for the counts and for what follows.
+    joined = settled(merge(left, right, lk, rk, how))
     found = joined.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum((~F.col("_matched")).cast("long")), F.lit(0)).alias("unmatched")).first()
-    lost = found["unmatched"] if op["how"] == "left" else max(0, before - found["rows"])
+    # A left join to a unique side keeps every row once.
+    before = found["rows"] if how == "left" and one_right else left.count()
+    # An inner join reports no unmatched rows: what finds no partner leaves, and rows_before tells.
+    lost = found["unmatched"]
     if lost and op["unmatched"] == "fail":
         raise PlanFailure(at, "merge", "unmatched rows", lost)
     run.df = joined.drop("_matched")
@@ -104,6 +115,7 @@ def apply(run: Run, frames: dict[str, DataFrame], op: dict, at: int) -> None:
     elif kind == "map_code":
         value = map_code(F.col(op["column"]), op["mapping"])
         run.guard(at, kind, f"unknown codes in {op['column']}", value.isNull())
+        run.examples[at] = unknown_codes(run.df, op["column"], op["mapping"])
         run.df = run.df.withColumn(op["column"], value)
     elif kind == "normalize_date":
         t = parsed_date(F.col(op["column"]), op["in_format"])
@@ -130,9 +142,10 @@ def harmonize(plan: dict, frames: dict[str, DataFrame]) -> tuple[DataFrame, list
     if errors := harmonize_errors(plan):
         raise ValueError("; ".join(errors))
     run = Run(frames[plan["inputs"][0]["input_id"]])
-    for at, op in enumerate(plan["operations"]):
-        apply(run, frames, op, at)
-    run.flush()
+    with run.logged():
+        for at, op in enumerate(plan["operations"]):
+            apply(run, frames, op, at)
+        run.flush()
     for entry in run.log:  # integral where every value is
         if entry.get("fractions") == 0 and entry["column"] in run.df.columns and dict(run.df.dtypes)[entry["column"]] == "double":
             run.df = run.df.withColumn(entry["column"], F.col(entry["column"]).cast("long"))

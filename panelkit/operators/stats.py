@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import settled
+
 
 def demean_two_way(df: DataFrame, unit: str, period: str, columns: list[str]) -> DataFrame:
     """y - unit mean - period mean + grand mean: exact for balanced panels."""
@@ -38,7 +40,7 @@ def demean_alternating(df: DataFrame, unit: str, period: str, columns: list[str]
             means = df.groupBy(F.col(key).alias("_k")).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
             df = df.join(means, df[key] == means["_k"]).select(unit, period, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
         if turn % 3 == 2:
-            df = df.checkpoint()
+            df = settled(df)
             left = df.groupBy(unit).agg(*[F.avg(c).alias(c) for c in columns]).agg(*[F.max(F.abs(c)).alias(c) for c in columns]).first()
             if max(abs(left[c] or 0.0) for c in columns) <= tolerance * size:
                 return df
@@ -61,11 +63,32 @@ class Estimate:
     facts: dict = field(default_factory=dict)
 
 
-def panel_fe(df: DataFrame, y: str, x: list[str], unit: str, period: str, cluster: str | None = None, covariance: str = "cluster") -> Estimate:
-    """Two-way fixed effects with clustered (one-way) or iid standard errors.
+#: Other definitions of the clustered covariance's scale, which some packages use: whether all absorbed effects
+#: count as parameters, regressors do, and clusters are few. None is the canonical one. Fixed values.
+VARIANTS = {
+    "A": {"count_effects": True, "debiased": True, "group_debias": False},
+    "B": {"count_effects": True, "debiased": True, "group_debias": False},
+    "C": {"count_effects": False, "debiased": True, "group_debias": False},
+    "D": {"count_effects": True, "debiased": False, "group_debias": False},
+    "E": {"count_effects": True, "debiased": True, "group_debias": True},
+    "F": {"count_effects": False, "debiased": True, "group_debias": True},
+}
+
+
+def cluster_factor(n: int, regressors: int, units: int, periods: int, variant: str | None = None) -> float:
+    """What a clustered covariance is scaled by. Canonical: G/(G-1) * (N-1)/(N-K), K = regressors + periods."""
+    few = units / (units - 1) * (n - 1)
+    if variant is None:
+        return few / (n - regressors - periods)
+    v = VARIANTS[variant]
+    scale = n / (n - (regressors if v["debiased"] else 0) - (units + periods - 1 if v["count_effects"] else 0))
+    return scale * (few / n if v["group_debias"] else 1.0)
+
+
+def panel_fe(df: DataFrame, y: str, x: list[str], unit: str, period: str, covariance: str = "cluster", variant: str | None = None) -> Estimate:
+    """Two-way fixed effects with standard errors clustered by unit, or iid ones.
 
-    Clustered: G/(G-1) * (N-1)/(N-K), K = regressors + periods (unit effects are nested in
-    the cluster); degrees of freedom G - 1.
+    Unit effects are nested in the cluster; degrees of freedom G - 1. ``variant``: see VARIANTS.
     """
     data = df.select(F.col(unit).alias("_unit"), F.col(period).alias("_period"), *[F.col(c).cast("double").alias(c) for c in (y, *x)]).dropna()
     shape = data.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_unit").alias("u"), F.countDistinct("_period").alias("p")).first()
@@ -85,7 +108,7 @@ def panel_fe(df: DataFrame, y: str, x: list[str], unit: str, period: str, cluste
         else:
             sums = scored.groupBy("_unit").agg(*[F.sum(F.col(c) * F.col("_e")).alias(c) for c in x])
             g, k = shape["u"], p + shape["p"]
-            factor = g / (g - 1) * (n - 1) / (n - k)
+            factor = cluster_factor(n, p, g, shape["p"], variant)
             cov, dof, facts = factor * inv @ cross_products(sums, x, x) @ inv, g - 1, {"clusters": g, "k": k, "factor": factor}
     finally:
         within.unpersist()
@@ -122,8 +145,12 @@ def iv_2sls(df: DataFrame, y: str, exogenous: list[str], endogenous: str, instru
     first, reduced = f_of(endogenous), f_of(y)
     facts = {
         "cragg_donald_f": first, "anderson_lm": n * q * first / (q * first + n - k), "anderson_rubin_f": reduced,
-        "stock_wright_s": n * q * reduced / (q * reduced + n - k), "sargan": "not_applicable" if q == 1 else None,
+        "stock_wright_s": n * q * reduced / (q * reduced + n - k), "sargan": "not_applicable",
     }
+    if q > 1:  # over-identified: residuals on all instruments, over sigma squared
+        ze = zy[:, 0] - zx @ beta
+        facts["sargan"] = float(ze @ np.linalg.solve(zz, ze) / sigma)
+        facts["sargan_df"] = q - 1
     return Estimate(xs, beta, np.sqrt(np.diag(sigma * np.linalg.inv(a))), n, n, facts)
 
 
@@ -187,6 +214,23 @@ def adjust(df: DataFrame, p: str, family: list[str], order: list[str] = ()) -> D
     return raw.withColumns({"holm": F.least(F.lit(1.0), F.max("_h").over(rise)), "bh": F.least(F.lit(1.0), F.min("_b").over(fall))}).drop("_h", "_b", "_i")
 
 
+def adjusted_problems(raw: DataFrame, mine: DataFrame, theirs: DataFrame, keys: list[str], methods: tuple[str, ...] = ("holm", "bh")) -> DataFrame:
+    """(keys, check, verdict) of adjusted p-values of two engines, p the raw value: E14.
+
+    Raw values agree; adjusted ones agree, lie in [0, 1] and are no smaller than the raw one.
+    """
+    a = mine.select(*keys, "p", *methods)
+    b = theirs.select(*keys, F.col("p").alias("_p"), *[F.col(m).alias(f"_{m}") for m in methods])
+    both = raw.select(*keys, F.col("p").alias("_raw")).join(a, keys, "left").join(b, keys, "left")
+    unit = lambda c: F.col(c).between(0, 1)
+    checks = {"raw_p_cross_engine": close(F.col("p"), F.col("_p")) & close(F.col("p"), F.col("_raw"))}
+    for m in methods:
+        checks[f"{m}_cross_engine"] = close(F.col(m), F.col(f"_{m}")) & unit(m) & unit(f"_{m}")
+        checks[f"{m}_not_below_raw"] = F.col(m) >= F.col("_raw") - 1e-14
+    told = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("verdict")) for n, ok in checks.items()]))
+    return both.select(*keys, told.alias("c")).select(*keys, "c.*")
+
+
 def close(a: Column, b: Column, relative: float = 1e-9, absolute: float = 1e-12) -> Column:
     return F.abs(a - b) <= F.greatest(F.lit(absolute), F.lit(relative) * F.greatest(F.abs(a), F.abs(b)))
 

@@ -54,5 +54,5 @@ def content_hash(value, mode: str = "canonical_json") -> str:
         data = canonical_json(value).encode()
     else:
         data = value if isinstance(value, bytes) else value.encode()
-        data = data.replace(b"\r\n", b"\n") if mode == "lf_text" else data
+        data = data.replace(b"\r\n", b"\n").replace(b"\r", b"\n") if mode == "lf_text" else data
     return hashlib.sha256(data).hexdigest()

@@ -28,7 +28,7 @@ CONSTRUCT = {
 COERCIONS = ("integer", "numeric", "string", "boolean")
 CARDINALITIES = ("1:1", "1:m", "m:1")
 COMPARISONS = ("gt", "gte", "lt", "lte", "eq", "neq")
-SCIENTIFIC_ROLES = ("treatment", "exposure", "instrument", "material_definition")
+SCIENTIFIC_ROLES = ("treatment", "exposure", "instrument", "material_variable_definition")
 
 
 def _required(op: dict, kinds: dict, at: int) -> list[str]:
@@ -139,8 +139,33 @@ def construct_errors(plan: dict, columns: list[str] | None = None) -> list[str]:
         if op["target"] in known | targets:
             out.append(say + f"target {op['target']!r} exists")
         targets.add(op["target"])
+        if role := op.get("scientific_role"):
+            bound = plan.get("scientific_bindings", {}).get(op["target"]) or {}
+            if role not in SCIENTIFIC_ROLES:
+                out.append(say + f"unsupported scientific role {role!r}")
+            if bound.get("approved") is not True or not bound.get("decision_ref"):
+                out.append(say + f"role {role!r} lacks an approved decision for {op['target']!r}")
+            elif bound.get("role") != role:
+                out.append(say + f"role {role!r} is not the approved one, {bound.get('role')!r}")
     approved = {d.get("decision_id") for d in plan.get("decisions", []) if d.get("status") == "approved"}
     for role in plan.get("role_bindings", []):
         if role.get("role") in SCIENTIFIC_ROLES and role.get("decision_id") not in approved:
             out.append(f"role {role['role']}: needs an approved decision")
     return out
+
+
+def plan_errors(plan: dict, kind: str) -> list[str]:
+    """A plan document as a whole: its own fields besides what its ops need. kind: harmonize or construct."""
+    out = [] if plan.get("schema_version") == "1.0" else ["schema_version must be 1.0"]
+    if not (isinstance(plan.get("plan_id"), str) and plan["plan_id"].strip()):
+        out.append("plan_id is required")
+    sources = plan.get("inputs", []) if kind == "harmonize" else [plan.get("input") or {}]
+    needed = ("input_id", "file") if kind == "harmonize" else ("dataset_id", "file", "columns")
+    out += [f"input {at}: {f} is required" for at, i in enumerate(sources) for f in needed if not i.get(f)]
+    ids = [i.get("input_id") for i in sources] if kind == "harmonize" else []
+    out += [f"input_id {x!r} repeats" for x in sorted({x for x in ids if x and ids.count(x) > 1})]
+    out += [f"output: {f} is required" for f in ("dataset_id", "file") if not (plan.get("output") or {}).get(f)]
+    names = [op.get("op_id") for op in plan.get("operations", [])]
+    out += [f"op {at}: op_id is required" for at, x in enumerate(names) if not x]
+    out += [f"op_id {x!r} repeats" for x in sorted({x for x in names if x and names.count(x) > 1})]
+    return out + (harmonize_errors(plan) if kind == "harmonize" else construct_errors(plan))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.operators.construct import arithmetic, operand, predicate
+from panelkit.operators.construct import arithmetic, logarithm, operand, predicate
 
 ROWWISE = ("arithmetic", "ratio", "log", "interaction", "indicator")
 
@@ -22,7 +22,7 @@ def construct_stream(df: DataFrame, operations: list[dict]) -> DataFrame:
         elif op["kind"] == "ratio":
             value, bad = F.try_divide(F.col(op["numerator"]), F.col(op["denominator"])), F.col(op["denominator"]) == 0
         elif op["kind"] == "log":
-            value, bad = F.ln(op["source"]), F.col(op["source"]) <= 0
+            value, bad = logarithm(F.col(op["source"]), op.get("base", "natural")), F.col(op["source"]) <= 0
         elif op["kind"] == "interaction":
             value, bad = F.expr("*".join(f"`{t}`" for t in op["terms"])), F.lit(False)
         else:
