@@ -92,3 +92,14 @@ def family_key(families: Column) -> Column:
 def record_id(source: Column, source_id: Column, title: Column) -> Column:
     parts = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in (source, source_id, title)])
     return F.concat(F.lit("rec_"), F.substring(F.sha2(parts, 256), 1, 12))
+
+
+def date_parts(year: Column, month: Column | None = None, day: Column | None = None, semantics: str = "single") -> Column:
+    """struct(year, month, day, semantics): issued (by date parts), single (by fields), year (a bare one), unknown.
+
+    A bare year is text or a number; what is no number, or 0, is missing.
+    """
+    number = F.nullif(year.try_cast("double").cast("int"), F.lit(0)) if semantics == "year" else year.cast("int")
+    part = lambda c: c.cast("int") if c is not None else F.lit(None).cast("int")
+    told = F.when(year.isNull() & F.lit(month is None and day is None), "unknown").otherwise(semantics)
+    return F.struct(number.alias("year"), part(month).alias("month"), part(day).alias("day"), told.alias("semantics"))

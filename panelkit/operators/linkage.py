@@ -7,13 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.text import canonical_doi, family_key, normal_text, record_id, title_key
 
-
-def _settled(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the session's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/panelkit-checkpoints")
-    return df.checkpoint()
+from .lineage import attach, settled
 
 
 def normalize_records(df: DataFrame, compose: bool = True) -> DataFrame:
@@ -44,7 +38,8 @@ def edges(records: DataFrame) -> DataFrame:
     def to_first(key: Column, conflict: bool = False) -> DataFrame:
         keyed = records.select("record_id", "canonical_doi", key.alias("k")).where("k is not null")
         first = keyed.groupBy("k").agg(F.min(F.struct("record_id", "canonical_doi")).alias("f"))
-        out = keyed.join(first, "k").where(F.col("record_id") != F.col("f.record_id"))
+        # A key that most records share meets its first holder salted.
+        out = attach(keyed, first, "k", ["record_id"]).where(F.col("record_id") != F.col("f.record_id"))
         if conflict:
             out = out.where(F.col("canonical_doi").isNull() | F.col("f.canonical_doi").isNull() | (F.col("canonical_doi") == F.col("f.canonical_doi")))
         return out.select(F.col("record_id").alias("u"), F.col("f.record_id").alias("v"))
@@ -55,17 +50,20 @@ def edges(records: DataFrame) -> DataFrame:
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(record_id, label): the smallest record reachable. Min-label rounds with pointer jumps."""
-    both = _settled(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = _settled(nodes.select("record_id", F.col("record_id").alias("label")).distinct())
+    """(record_id, label): the smallest record reachable. Min-label rounds with pointer jumps.
+
+    A hub's edges and a label's members meet their labels salted.
+    """
+    both = settled(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    alone = nodes.select("record_id").distinct()
+    labels = settled(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("record_id"), F.least("u", "v").alias("label")))
     for _ in range(rounds):
-        near = both.join(labels.select(F.col("record_id").alias("v"), "label"), "v").groupBy(F.col("u").alias("record_id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "record_id", "left").select("record_id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("new"))
-        jump = labels.select(F.col("record_id").alias("new"), F.col("label").alias("further"))
-        step = _settled(step.join(jump, "new", "left").select("record_id", "old", F.least("new", F.coalesce("further", "new")).alias("label")))
-        labels = step.select("record_id", "label")
-        if step.where("old <> label").isEmpty():
-            return labels
+        near = attach(both, labels.withColumnRenamed("record_id", "v"), "v", ["u"]).groupBy(F.col("u").alias("record_id")).agg(F.min("label").alias("near"))
+        step = settled(labels.join(near, "record_id").select("record_id", "label", F.least("label", "near").alias("new")))
+        if step.where("label <> new").isEmpty():
+            return alone.join(labels, "record_id", "left").select("record_id", F.coalesce("label", "record_id").alias("label"))
+        jump = attach(step.select("record_id", "new"), labels.select(F.col("record_id").alias("new"), F.col("label").alias("further")), "new", ["record_id"])
+        labels = settled(jump.select("record_id", F.least("new", "further").alias("label")))
     raise RuntimeError("components did not settle")
 
 
@@ -82,21 +80,24 @@ def _sorted_families(c: Column) -> Column:
 
 
 def groups(records: DataFrame) -> DataFrame:
-    """One row a group: members, decision and rule (in this order), and a state by the groups' counts.
+    """One row a group: members, decision and rule, and what ``verified`` needs. A member is a row, whatever its id.
 
-    ``verified`` puts the state with its reason codes and evidence in that state's place.
+    One DOI with titles, years and families (as sets) that don't differ is the same work; where only families
+    differ, an author conflict; then several DOIs, then titles or years are conflicts; what is left is
+    the same by a source's id or by its normalized identity.
     """
     records = records.withColumn("title_key", short_key(F.col("title_key")))
-    labelled = records.join(components(records, edges(records)), "record_id")
+    labelled = attach(records, components(records, edges(records)), "record_id", ["source"])
+    # Lists of a group are as long as its members: a work's copies in a result set, not a corpus.
     found = labelled.groupBy("label").agg(
-        F.array_sort(F.collect_set("record_id")).alias("record_ids"), F.countDistinct("record_id").alias("member_count"),
-        _kinds(F.col("canonical_doi")).alias("dois"), _kinds(F.col("title_key")).alias("titles"), _kinds(F.col("year")).alias("years"), _kinds(F.col("author_family_key")).alias("families"), F.countDistinct("source").alias("sources"), F.count_if(F.col("canonical_doi").isNull()).alias("without_doi"),
-        _kinds(_sorted_families(F.col("author_family_key"))).alias("family_sets"), _filled(F.col("canonical_doi")).alias("doi_list"), _filled(F.col("source")).alias("source_list"),
+        F.array_sort(F.collect_list("record_id")).alias("record_ids"), F.count(F.lit(1)).alias("member_count"),
+        _kinds(F.col("canonical_doi")).alias("dois"), _kinds(F.col("title_key")).alias("titles"), _kinds(F.col("year")).alias("years"), _kinds(_sorted_families(F.col("author_family_key"))).alias("families"),
+        _filled(F.col("canonical_doi")).alias("doi_list"), _filled(F.col("source")).alias("source_list"),
     )
-    found = found.withColumn("rule", F.when(F.col("member_count") == 1, "single").when(F.col("dois") > 1, "doi_conflict").when(F.col("families") > 1, "author_conflict").when((F.col("titles") > 1) | (F.col("years") > 1), "identity_conflict").when(F.col("dois") == 1, "canonical_doi").otherwise("source_id_or_normalized"))
-    found = found.withColumn("decision", F.when(F.col("rule") == "single", "distinct").when(F.col("rule").endswith("conflict"), "conflict").otherwise("dedupe_same"))
-    state = F.when(F.col("decision") == "conflict", "conflicting").when((F.col("sources") > 1) & (F.col("dois") == 1), "verified").when((F.col("sources") > 1) | (F.col("dois") == 1), "partially_verified").otherwise("unresolved")
-    return found.withColumn("state", state)
+    core = (F.col("dois") == 1) & (F.col("titles") <= 1) & (F.col("years") <= 1)
+    rule = F.when(F.col("member_count") == 1, "single").when(core & (F.col("families") <= 1), "canonical_doi").when(core, "author_conflict").when(F.col("dois") > 1, "doi_conflict")
+    found = found.withColumn("rule", rule.when((F.col("titles") > 1) | (F.col("years") > 1), "identity_conflict").otherwise("source_id_or_normalized"))
+    return found.withColumn("decision", F.when(F.col("rule") == "single", "distinct").when(F.col("rule").endswith("conflict"), "conflict").otherwise("dedupe_same"))
 
 
 #: Verification's branches in their order: state, reason codes, note.
@@ -116,7 +117,7 @@ def verified(found: DataFrame) -> DataFrame:
     Evidence's doi is given where one DOI is confirmed, its dois where there is a conflict.
     """
     dois, sources = F.size("doi_list"), F.size("source_list")
-    strong = (F.col("titles") <= 1) & (F.col("years") <= 1) & (F.col("family_sets") <= 1)
+    strong = (F.col("titles") <= 1) & (F.col("years") <= 1) & (F.col("families") <= 1)
     tests = ((dois == 1) & strong, dois > 1, dois == 1, (sources >= 2) & strong, (sources == 1) | ((F.col("titles") == 1) & (F.col("years") == 1)), F.lit(True))
 
     def made(test: Column, state: str, codes: tuple[str, ...], note: str) -> tuple[Column, Column]:
@@ -126,17 +127,28 @@ def verified(found: DataFrame) -> DataFrame:
         return test, F.struct(F.lit(state).alias("state"), F.array(*map(F.lit, codes)).alias("reason_codes"), evidence.alias("evidence"))
 
     picked = F.coalesce(*[F.when(*made(t, *b)) for t, b in zip(tests, _BRANCHES)])
-    return found.drop("state").withColumn("_v", picked).select("*", "_v.*").drop("_v")
+    return found.withColumn("_v", picked).select("*", "_v.*").drop("_v")
 
 
 def numbered(found: DataFrame) -> DataFrame:
-    """G0, G1, ... by the groups' sorted record ids. A search's result set is small; this is one ordered pass."""
-    w = Window.partitionBy(F.lit(0)).orderBy(F.array_join("record_ids", "|"))
-    return found.withColumn("group_id", F.concat(F.lit("G"), (F.row_number().over(w) - 1).cast("string")))
-
-
-def workflow_status(statuses: DataFrame) -> DataFrame:
-    """Roll source statuses (source, status) up: completed, degraded, empty or failed."""
-    ok, none = F.bool_and(F.col("status") == "ok"), F.bool_and(F.col("status").isin("error", "timeout", "rate_limited"))
-    empty = F.bool_and(F.col("status") == "empty")
-    return statuses.agg(F.when(ok, "completed").when(empty, "empty").when(none, "failed").otherwise("degraded").alias("workflow_status"))
+    """G0, G1, ... by the groups' sorted record ids: ranks within ranges, shifted by the ranges before."""
+    key = F.array_join("record_ids", ",")
+    dealt = found.withColumn("_k", key).repartitionByRange("_k").withColumn("_p", F.spark_partition_id())
+    dealt = settled(dealt)
+    sizes = dealt.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))  # a row a partition
+    below = sizes.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("_k")) - 1
+    return dealt.withColumn("_r", rank).join(F.broadcast(below), "_p").withColumn("group_id", F.concat(F.lit("G"), (F.col("_below") + F.col("_r")).cast("string"))).select(*found.columns, "group_id")
+
+
+#: What a source's request can come to. Fixed values.
+SUCCESS, EMPTY = "success", "success_zero_records"
+FAILED = ("source_unavailable", "malformed_response", "unsupported_source")
+
+
+def workflow_status(statuses: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Roll sources' statuses up: completed, completed_degraded, completed_zero_results or source_unavailable."""
+    bad = F.col("status").isin(*FAILED)
+    some, none, any_bad = F.bool_or(F.col("status") == SUCCESS), F.bool_or(F.col("status") == EMPTY), F.bool_or(bad)
+    told = F.when(F.bool_and(bad), "source_unavailable").when((some | none) & any_bad, "completed_degraded").when(some, "completed").when(none, "completed_zero_results").otherwise("source_unavailable")
+    return statuses.groupBy(*by).agg(F.coalesce(told, F.lit("source_unavailable")).alias("workflow_status"))
