@@ -1,27 +1,23 @@
-"""Helpers that the operators share: lineage cuts, gapless ranks, CRC, components."""
+"""Helpers that the operators share: lineage cuts, gapless ranks, salted joins, CRC, components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from panelkit.operators.lineage import attach, checkpoint_folder
 
-def prepare(spark: SparkSession) -> None:
-    """Make checkpoint() usable and bound the Arrow batches that reach Python.
+__all__ = ["attach", "cut", "gapless_rank", "min_label_components", "prepare", "read", "utf8_crc32"]
 
-    The cluster's ``spark.checkpoint.dir`` is used as it stands; only where it is
-    unset (tests, a laptop) is a folder of our own taken.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "panelkit-checkpoints"))
+
+def prepare(spark: SparkSession) -> None:
+    """Make checkpoint() usable and bound the Arrow batches that reach Python; bounds are only ever lowered."""
+    checkpoint_folder(spark)
     # Texts may be long: a batch is bounded in rows and in bytes.
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        set_to = spark.conf.get(key, None) or ""
+        if not (set_to.isdigit() and 0 < int(set_to) <= most):
+            spark.conf.set(key, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -68,7 +64,7 @@ def min_label_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
     ``label`` is the smallest node that is reachable. Each round takes the least label
     among neighbours and then jumps to that label's own label; rounds are cut with
     checkpoints and end when no label changes. Every aggregate is a min with map-side
-    combining, so a hub costs one row a task.
+    combining, and a hub's edges and a label's members meet their labels salted.
 
     Raises RuntimeError if ``max_rounds`` rounds don't reach the fixpoint, as a partial
     answer would be wrong.
@@ -77,11 +73,12 @@ def min_label_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
     both = cut(both.where("u <> v").distinct())
     labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     for _ in range(max_rounds):
-        near = both.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
-        step = cut(step.join(jump, "new", "left").select("node", F.col("label").alias("old"), F.least("new", F.coalesce("further", "new")).alias("label")))
-        labels = step.select("node", "label")
-        if step.where("old <> label").isEmpty():
+        near = attach(both, labels.withColumnRenamed("node", "v"), "v", ["u"]).groupBy("u").agg(F.min("label").alias("near"))
+        step = cut(labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "label", F.least("label", "near").alias("new")))
+        if step.where("label <> new").isEmpty():
             return labels
+        # Labels are nodes; few enough of them change hands for their own labels to be looked up.
+        own = labels.join(step.select(F.col("new").alias("node")).distinct(), "node", "left_semi")
+        jump = attach(step.select("node", "new"), own.select(F.col("node").alias("new"), F.col("label").alias("further")), "new", ["node"])
+        labels = cut(jump.select("node", F.least("new", "further").alias("label")))
     raise RuntimeError("components did not settle")
