@@ -28,7 +28,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Detected entities get surrogates; n_chars follows the text."""
-    return surrogates.replace(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return surrogates.replace(docs, surrogates.session_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

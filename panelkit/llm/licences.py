@@ -1,17 +1,18 @@
 """License scans by an exact set-similarity join, with DataFrame functions only.
 
-Every line and every paragraph of a text is a block. A block matches a template if it
-holds at least ``threshold`` of the template's distinct words. Words are ordered by the number of
-documents that hold them, over the whole corpus; a match must hold one of a template's
-rarest words (prefix filter), enough of the templates' words at all (length filter), and from its
-first shared word on enough must be left on both sides (positional filter). What passes is
-counted exactly. Templates are few and short, so the join's template side stands in the
-plan; documents are not shuffled.
+A text's blocks are its windows of consecutive words, for each template twice as many as the template
+has. A window matches a template if it holds at least ``threshold`` of the template's distinct words and the
+phrase that sets the license off from its siblings (LGPL from GPL, BY-SA from BY-NC, a MIT line from any other
+release note). Words are ordered by the number of documents that hold them, over the whole corpus; a match must
+hold one of a template's rarest words (prefix filter), enough of the template's words must stand in
+the text and in the window (length filter), and from the window's first one on (positional filter). What passes
+is counted exactly, and every window that begins with one of the template's words is tried. Templates are few
+and short, so the join's template side stands in the plan; documents are not shuffled.
 
 Beside the join, phrases of the base list are counted and placed in the whole text.
 
 Defined cases: null text is empty; empty texts have no words, no labels and score 0;
-repeated rows are scanned each; no size of text or line is exempt.
+repeated rows are scanned each; no size of text or line is exempt; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,20 +26,23 @@ from pyspark.sql import functions as F
 _BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Phrases and labels. Fixed values.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates and labels. Fixed values.
+#: Labels, the phrase that must be there (a pattern over words between single spaces), templates. Fixed values.
 TEMPLATES = (
-    ("gpl", "This work is licensed under the GNU General Public License, version 3."),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("lgpl", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    ("apache", "Licensed under the Apache License, Version 2.0."),
-    ("apache", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
-    ("mit", "Released under the MIT License."),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0."),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0."),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("gpl", "gnu general public licen[cs]e", "This work is licensed under the GNU General Public License, version 3."),
+    ("gpl", "gnu general public licen[cs]e", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
+    ("lgpl", "lesser general public licen[cs]e", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
+    ("apache", "apache licen[cs]e", "Licensed under the Apache License, Version 2.0."),
+    ("apache", "apache licen[cs]e", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("mit", "mit licen[cs]e", "Released under the MIT License."),
+    ("mit", "permission is hereby granted free of charge", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
+    ("cc-by-nc", "cc by nc(?! sa| nd)", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-sa", "cc by sa", "Licensed under CC BY-SA 4.0."),
+    ("cc-by-nc-sa", "cc by nc sa", "Licensed under CC BY-NC-SA 4.0."),
+    ("bsd", "redistribution and use", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("mpl", "mozilla public licen[cs]e", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: A window has so many times a template's words.
+WINDOW = 2
 THRESHOLD = 0.8
 
 
@@ -47,8 +51,12 @@ def spaced(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(text, _BREAK, " ")), F.lit(" "))
 
 
+def _split(text: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in text.lower()).split()
+
+
 def _words(text: str) -> list[str]:
-    return sorted({w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()})
+    return sorted(set(_split(text)))
 
 
 def _lower(c: Column) -> Column:
@@ -69,42 +77,45 @@ def frequencies(docs: DataFrame, words: list[str], text_col: str) -> dict[str, i
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    sets = [(label, _words(text)) for label, text in templates]
-    vocabulary = sorted({w for _, ws in sets for w in ws})
+    sets = [(label, phrase, _words(text), WINDOW * len(_split(text))) for label, phrase, text in templates]
+    vocabulary = sorted({w for _, _, ws, _ in sets for w in ws})
     often = frequencies(docs, vocabulary, text_col)
     order = sorted(vocabulary, key=lambda w: (often[w], w))
     place = {w: i for i, w in enumerate(order)}
-    sets = [(label, sorted(ws, key=place.get), math.ceil(threshold * len(ws) - 1e-9)) for label, ws in sets]
-    prefixes = sorted({w for _, ws, need in sets for w in ws[: len(ws) - need + 1]}, key=place.get)
+    sets = [(label, phrase, sorted(ws, key=place.get), math.ceil(threshold * len(ws) - 1e-9), width) for label, phrase, ws, width in sets]
+    prefixes = sorted({w for _, _, ws, need, _ in sets for w in ws[: len(ws) - need + 1]}, key=place.get)
     has_prefix = r"(?i)(?<![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])(?:" + "|".join(prefixes) + r")(?![^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F])"
     phrase = r"(?i)(?<= )(?:" + "|".join(BASE) + r")(?= )"
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("_t")).withColumn("_s", spaced(F.col("_t")))
     base = base.withColumn("_has", F.col("_s").rlike(phrase))
-    lines = F.split("_t", r"\n")
-    paragraphs = F.filter(F.split("_t", r"\n[ \t\r]*\n"), lambda p: F.contains(p, F.lit("\n")))
-    all_words = F.array(*map(F.lit, order))
-    # A block is the templates' words that it holds, rarest first.
-    blocks = F.transform(F.filter(F.concat(lines, paragraphs), lambda b: b.rlike(has_prefix)), lambda b: F.array_intersect(all_words, F.split(F.trim(spaced(_lower(b))), " ")))
-    base = base.withColumn("_b", F.when(F.col("_t").rlike(has_prefix), blocks).otherwise(F.array().cast("array<array<string>>")))
-
-    def shared(words: list[str], need: int):
+    words = F.when(F.col("_t").rlike(has_prefix), F.split(F.trim(_lower(F.col("_s"))), " ")).otherwise(F.array().cast("array<string>"))
+    base = base.withColumn("_w", words)
+    # The places of the templates' words: where windows may begin.
+    at = F.transform("_w", lambda w, i: F.when(F.array_contains(F.array(*map(F.lit, order)), w), F.struct(i.alias("i"), w.alias("w"))))
+    base = base.withColumn("_p", F.filter(at, lambda x: x.isNotNull()))
+
+    def shared(phrase: str, words: list[str], need: int, width: int) -> Column:
         whole, prefix = F.array(*map(F.lit, words)), F.array(*map(F.lit, words[: len(words) - need + 1]))
 
-        def count(b: Column) -> Column:
-            first = F.element_at(F.array_intersect(whole, b), 1)
-            rest = F.least(F.lit(len(words)) - F.array_position(whole, first), F.size(b) - F.array_position(b, first)) + 1
-            passes = (F.size(b) >= need) & F.arrays_overlap(prefix, b)
-            return F.when(passes & F.coalesce(rest >= need, F.lit(False)), F.size(F.array_intersect(whole, b))).otherwise(0)
+        def count(x: Column) -> Column:
+            window = F.slice("_w", x["i"] + 1, F.lit(width))
+            held = F.array_intersect(whole, window)
+            passes = F.arrays_overlap(prefix, window) & (F.size(held) >= need)
+            return F.when(passes & F.concat(F.lit(" "), F.array_join(window, " "), F.lit(" ")).rlike(f" {phrase} "), F.size(held)).otherwise(0)
 
-        return F.coalesce(F.array_max(F.transform("_b", count)), F.lit(0))
+        mine = F.filter("_p", lambda x: F.array_contains(whole, x["w"]))
+        enough = (F.size(F.array_intersect(whole, F.transform("_p", lambda x: x["w"]))) >= need) & F.arrays_overlap(prefix, F.transform("_p", lambda x: x["w"]))
+        # From a window's first word on, need of the template's words must be left in the text.
+        starts = F.slice(mine, F.lit(1), F.greatest(F.size(mine) - need + 1, F.lit(0)))
+        return F.when(enough, F.coalesce(F.array_max(F.transform(starts, count)), F.lit(0))).otherwise(0)
 
-    base = base.withColumn("_n", F.when(F.size("_b") > 0, F.array(*[shared(ws, need) for _, ws, need in sets])))
-    matches = [(label, F.coalesce(F.col("_n")[i] >= need, F.lit(False)), F.col("_n")[i] / F.lit(float(len(ws)))) for i, (label, ws, need) in enumerate(sets)]
+    base = base.withColumn("_n", F.when(F.size("_p") > 0, F.array(*[shared(phrase, ws, need, width) for _, phrase, ws, need, width in sets])))
+    matches = [(label, F.coalesce(F.col("_n")[i] >= need, F.lit(False)), F.col("_n")[i] / F.lit(float(len(ws)))) for i, (label, _, ws, need, _) in enumerate(sets)]
     nothing = F.array().cast("array<string>")
     base_labels = F.when(F.col("_has"), F.array_compact(F.array(*[F.when(F.col("_s").rlike(rf"(?i)(?<= ){p}(?= )"), F.lit(label)) for p, label in BASE.items()]))).otherwise(nothing)
-    own = F.when(F.size("_b") > 0, F.array_compact(F.array(*[F.when(hit, F.lit(label)) for label, hit, _ in matches]))).otherwise(nothing)
+    own = F.when(F.size("_p") > 0, F.array_compact(F.array(*[F.when(hit, F.lit(label)) for label, hit, _ in matches]))).otherwise(nothing)
     score = F.when(F.col("_has"), 1.0).otherwise(F.coalesce(F.greatest(*[F.when(hit, part).otherwise(0.0) for _, hit, part in matches]), F.lit(0.0)))
     ahead = F.element_at(F.split("_s", phrase, 2), 1)
     behind = F.regexp_extract("_s", r"(?is)^(.*)(?<= )(?=(?:" + "|".join(BASE) + ") )", 1)

@@ -43,7 +43,7 @@ def op5_quality(spark, sf_dir):
 
 @_query
 def op6_surrogates(spark, sf_dir):
-    found = surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), count_col="n_entities")
+    found = surrogates.replace(read(spark, sf_dir, "documents").select("doc_id", "text"), surrogates.session_key(spark), count_col="n_entities")
     return found.select("doc_id", "text", "n_entities")
 
 
@@ -56,17 +56,17 @@ LLM_ORACLE["op7_chats"] = """
 WITH d AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
 ), c AS (
-  SELECT conv_id, list(length(role) || chr(1) || role || chr(1) || text ORDER BY turn NULLS FIRST, role, text) AS t,
+  SELECT conv_id, own, list(length(role) || chr(1) || role || chr(1) || text ORDER BY turn NULLS FIRST, role, text) AS t,
          string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS shown
-  FROM d GROUP BY conv_id
+  FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own FROM d) GROUP BY conv_id, own
 ), w AS (
-  SELECT conv_id, t, shown, array_to_string(t, chr(2)) AS whole FROM c
+  SELECT conv_id, own, t, shown, array_to_string(t, chr(2)) AS whole FROM c
 ), p AS (
   SELECT DISTINCT array_to_string(t[1:i], chr(2)) AS whole FROM (SELECT t, unnest(range(1, len(t))) AS i FROM c)
 ), f AS (
-  SELECT whole, min(conv_id) AS conv_id FROM w WHERE whole NOT IN (SELECT whole FROM p) GROUP BY whole
+  SELECT *, row_number() OVER (PARTITION BY whole ORDER BY conv_id NULLS LAST, own) AS r FROM w WHERE whole NOT IN (SELECT whole FROM p)
 )
-SELECT w.conv_id, CAST(len(w.t) AS INTEGER) AS n_turns, w.shown AS text FROM w JOIN f ON w.conv_id = f.conv_id
+SELECT conv_id, CAST(len(t) AS INTEGER) AS n_turns, shown AS text FROM f WHERE r = 1
 """
 
 

@@ -5,25 +5,46 @@ spellings of one entity corefer) gets one surrogate over the whole corpus, drawn
 keyed hash: letters stay letters of their script, digits digits, marks stay where they are,
 card numbers keep their check digit's validity, names their honorific's gender and script.
 Surrogates that collide, with each other or with an entity that occurs, are drawn again until none
-does, so different entities stay different. Documents without an entity pass through as
-they are and are not shuffled.
+does, so different entities stay different; every type grows where its short forms run out.
 
-Defined cases: null and empty texts stay as they are; a document's other columns are
-untouched; repeated rows get equal texts; whole texts are read whatever their length.
+Names are found behind an honorific, and a name's words are entities by themselves, so "Mr John Smith",
+"Mr Smith" and a later bare "Smith" (or "SMITH") of the same text share a surrogate. A word
+that the text also writes in lower case is taken for no bare mention. The gender of a bare mention, or
+behind an honorific without one (Dr), is that of the text's first honorific for the word that has one. Initials
+become letters drawn from the key alone; particles (von, de) stay.
+
+Documents without an entity pass through as they are and are not shuffled. An entity that most documents
+hold meets its surrogate salted, and a document is rebuilt by its own number.
+
+Defined cases: null and empty texts stay as they are; a document's other columns, whatever their
+names, are untouched; repeated rows get equal texts; whole texts are read whatever their length. The key has
+no default: whoever knows it can draw the surrogates again.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import attach, cut
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_HEX = r"[0-9A-Fa-f]{1,4}"
 #: Honorifics by gender. Fixed values.
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа")
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
-_HONORIFIC = "(?:" + "|".join((*FEMALE, *MALE)) + r")\.?\s"
+NEUTRAL = ("Dr", "Prof", "Professor", "Doktor", "Docteur", "Доктор", "Профессор")
+#: Words inside a name that aren't names. Fixed values.
+PARTICLES = ("von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "le", "zu", "af", "bin", "al")
+_LETTER = r"[\p{L}\p{M}]"
+_HONORIFIC = "(?:" + "|".join((*FEMALE, *MALE, *NEUTRAL)) + r")\.?\s"
+_PARTICLE = "(?:(?:" + "|".join(PARTICLES) + ") ){0,3}"
+#: A name's first word may be all capitals, its later ones not.
+_FIRST, _LATER = (rf"(?:\p{{Lu}}['’])?\p{{Lu}}{more}{_LETTER}+" for more in ("", rf"(?={_LETTER}*\p{{Ll}})"))
+_NAME = rf"(?<!{_LETTER})(?:{_HONORIFIC})+(?:\p{{Lu}}\. ?)*{_PARTICLE}{_FIRST}(?:[ -](?:\p{{Lu}}\. ?)*{_PARTICLE}{_LATER})*"
+_NAME_WORD = rf"\p{{Lu}}['’]\p{{Lu}}{_LETTER}+|\p{{Lu}}{_LETTER}*"
 #: What names a credential. Behind a glued "=" any value counts, else one of digits and
 #: letters; no calls, no addresses. The whole value is read, whatever its length: runs are possessive,
 #: so a place is read once a condition. Fixed values.
@@ -43,23 +64,24 @@ PATTERNS = {
     "secret": rf"(?<![\p{{L}}\p{{N}}])(?:{_ASSIGNED})|" r"(?<![\p{L}\p{N}])(?:[0-9a-f]{32,}|[0-9A-F]{32,}|AKIA[0-9A-Z]{16}|(?:sk|ghp|gho|xoxb)[-_][A-Za-z0-9_-]{16,})(?![\p{L}\p{N}])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?(?=[A-Z0-9]*\d)[A-Z0-9]{4}){3,7}(?: ?\d{1,3})?(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:]|\.\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\p{L}\p{N}+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "card": r"(?<![\d.])\d(?:[ -]?\d){12,18}(?!\d)",
-    "name": rf"(?<!\p{{L}}){_HONORIFIC}\p{{Lu}}\p{{Ll}}+(?:[ -]\p{{Lu}}\p{{Ll}}+)*",
+    "name": _NAME,
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _LATIN, _ACCENTED, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "áéíóúàèäöüñç", "абвгдежзиклмнопрстуфхцшэюя"
 _DIGITS = "0123456789"
 ROUNDS = 64
-#: Attempts after which an e-mail address or a secret may grow by eight characters.
-SHORT_ROUNDS = 16
+#: After so many attempts short forms grow: letters before e-mail addresses and secrets, digits behind numbers.
+SHORT_ROUNDS = 8
 #: Names gain one more syllable after each so many attempts.
-NAME_ROUNDS = 8
+NAME_ROUNDS = 4
 
 
 #: No entity is without a digit, an @, an = or one of these: most texts are told clean at once.
-_STEMS = ("Mr", "Ms", "Miss", "Frau", "Madame", "Mme", "Señor", "Sr", "Госпо", "Herr", "Monsieur", "Господин", "sk-", "sk_", "ghp", "gho", "xoxb", "AKIA")
+_STEMS = ("Mr", "Ms", "Miss", "Frau", "Madame", "Mme", "Señor", "Sr", "Госпо", "Herr", "Monsieur", "Dr", "Prof", "Dokt", "Doct", "Докт", "Проф", "sk-", "sk_", "ghp", "gho", "xoxb", "AKIA")
 
 
 def holds_entity(text: Column) -> Column:
@@ -72,30 +94,47 @@ def holds_entity(text: Column) -> Column:
 
 
 def kind(surface: Column) -> Column:
-    """The type of a found entity: the first whose pattern the whole of it matches."""
-    out = F.lit("card")
+    """The type of a found entity: the first whose pattern the whole of it matches, else a bare name."""
+    out = F.when(surface.rlike(rf"^[\p{{L}}\p{{M}}'’]+$"), F.lit("bare")).otherwise(F.lit("card"))
     for name in reversed(PATTERNS):
         out = F.when(surface.rlike(f"^(?:{PATTERNS[name]})$"), F.lit(name)).otherwise(out)
     return out
 
 
+def gender(surface: Column) -> Column:
+    """f, m, or n where a name's honorifics don't tell."""
+    titles = F.regexp_extract(surface, f"^(?:{_HONORIFIC})+", 0)
+
+    def has(words: tuple[str, ...]) -> Column:
+        return titles.rlike(rf"(?<!\p{{L}})(?:{'|'.join(words)})(?!\p{{L}})")
+
+    return F.when(has(FEMALE), "f").when(has(MALE), "m").otherwise("n")
+
+
 def bare_secret(surface: Column) -> Column:
     """A secret without the name that it is assigned to."""
     return F.regexp_replace(surface, f"^{_LABEL}", "")
 
 
-def canonical(surface: Column, type_: Column) -> Column:
-    """What spellings of one entity share."""
+def _groups6(surface: Column) -> Column:
+    """The eight groups of an IPv6 address, lower case, without leading zeros."""
+    halves = F.split(F.lower(surface), "::")
+    left, right = (F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "") for i in (0, 1))
+    zeros = F.array_repeat(F.lit("0"), F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0)))
+    return F.transform(F.concat(left, zeros, right), lambda g: F.regexp_replace(g, "^0+(?=.)", ""))
+
+
+def canonical(surface: Column, type_: Column, sex: Column) -> Column:
+    """What spellings of one entity share. ``surface`` is one word of a name, with its gender."""
     digits = F.regexp_replace(surface, r"\D", "")
-    gender = F.when(surface.rlike("^(?:" + "|".join(FEMALE) + ")"), F.lit("f ")).otherwise(F.lit("m "))
-    bare = F.regexp_replace(F.regexp_replace(surface, f"^{_HONORIFIC}", ""), r"\s+", " ")
     return (
         F.when(type_ == "email", F.lower(surface))
         .when((type_ == "secret") & bare_secret(surface).rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), F.lower(bare_secret(surface)))
         .when(type_ == "secret", bare_secret(surface))
         .when(type_ == "ip", surface)
+        .when(type_ == "ip6", F.array_join(_groups6(surface), ":"))
         .when(type_ == "iban", F.regexp_replace(surface, " ", ""))
-        .when(type_ == "name", F.concat(gender, bare))
+        .when(type_.isin("name", "initial"), F.concat_ws(" ", sex, F.translate(F.lower(surface), "’", "'")))
         .otherwise(digits)
     )
 
@@ -155,37 +194,50 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     check = F.pmod(F.lit(10) - F.pmod(_luhn(head, 1), F.lit(10)), F.lit(10)).cast("string")
     card = F.when(F.pmod(_luhn(canon, 0), F.lit(10)) == 0, F.concat(head, check)).otherwise(shape)
     ip = F.concat_ws(".", (byte(F.lit(0)) % 223 + 1).cast("string"), *[byte(F.lit(k)).cast("string") for k in (1, 2, 3)])
-    # Names: one invented word per word, in the script, with an ending for the gender.
-    words = F.split(F.substring(canon, F.lit(3), F.length(canon)), "[ -]")
-
-    # A stock of short words runs out: the first word grows with the attempts.
+    # IPv6: groups that aren't zero; all of them once those run out.
+    short = F.col("attempt") >= SHORT_ROUNDS
+    ip6 = F.array_join(
+        F.transform(F.split(canon, ":"), lambda g, i: F.when((g == "0") & ~short, g).otherwise(F.regexp_replace(F.lower(F.concat(*[F.lpad(F.hex(byte(i * 2 + k)), 2, "0") for k in (0, 1)])), "^0+(?=.)", ""))), ":"
+    )
+    # Names: an invented word for each part between apostrophes, in the script, with an ending for the gender.
+    parts = F.split(F.substring(canon, F.lit(3), F.length(canon)), "'")
+    final = F.size(parts) - 1
+    # A stock of short words runs out: the last part grows with the attempts.
     more = (F.col("attempt") / NAME_ROUNDS).cast("int")
 
     def syllables(consonants: str, vowels: str) -> Column:
-        start = F.size(words) * 5
+        start = F.size(parts) * 5
         made = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda j: F.concat(_pick(consonants, byte(start + j * 2 - 2)), _pick(vowels, byte(start + j * 2 - 1))))
         return F.when(more > 0, F.array_join(made, "")).otherwise("")
 
     latin_more, slavic_more = syllables("bdgklmnprstvz", "aeiou"), syllables("бдгклмнпрст", "аеиоу")
 
     def word(w: Column, i: Column) -> Column:
-        at = i * 5
+        at, last = i * 5, i == final
         cyrillic = w.rlike(r"\p{IsCyrillic}")
-        latin = F.concat(_pick("BDFGKLMNPRSTV", byte(at)), _pick("aeiou", byte(at + 1)), _pick("bdgklmnprstvz", byte(at + 2)), _pick("aeiou", byte(at + 3)), F.when(i == 0, latin_more).otherwise(""), _pick("lmnrst", byte(at + 4)))
-        slavic = F.concat(_pick("БДГКЛМНПРСТВ", byte(at)), _pick("аеиоу", byte(at + 1)), _pick("бдгклмнпрст", byte(at + 2)), _pick("аеиоу", byte(at + 3)), F.when(i == 0, slavic_more).otherwise(""), _pick("лмнрст", byte(at + 4)))
-        female = F.substring(canon, 1, 1) == "f"
-        return F.when(cyrillic, F.concat(slavic, F.when(female, "а").otherwise(""))).otherwise(F.concat(latin, F.when(female, "a").otherwise("")))
-
-    name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(words, word), " "))
-    made = F.when(type_ == "ip", ip).when(type_ == "name", name).when(type_ == "card", card).otherwise(shape)
-    # Short forms have few surrogates: after some attempts letters are put before them.
-    roomy = F.when(type_.isin("email", "secret") & (F.col("attempt") >= SHORT_ROUNDS), F.concat(F.substring(F.sha2(F.array_join(stream, ""), 256), 1, 8), made)).otherwise(made)
+        latin = (_pick("BDFGKLMNPRSTV", byte(at)), _pick("aeiou", byte(at + 1)), _pick("bdgklmnprstvz", byte(at + 2)), _pick("aeiou", byte(at + 3)), F.when(last, latin_more).otherwise(""), _pick("lmnrst", byte(at + 4)))
+        slavic = (_pick("БДГКЛМНПРСТВ", byte(at)), _pick("аеиоу", byte(at + 1)), _pick("бдгклмнпрст", byte(at + 2)), _pick("аеиоу", byte(at + 3)), F.when(last, slavic_more).otherwise(""), _pick("лмнрст", byte(at + 4)))
+        female, letter = (F.substring(canon, 1, 1) == "f") & last, (F.length(w) == 1) & ~last
+        return (
+            F.when(letter & cyrillic, slavic[0])
+            .when(letter, latin[0])
+            .when(cyrillic, F.concat(*slavic, F.when(female, "а").otherwise("")))
+            .otherwise(F.concat(*latin, F.when(female, "a").otherwise("")))
+        )
+
+    name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(parts, word), "'"))
+    made = F.when(type_ == "ip", ip).when(type_ == "ip6", ip6).when(type_ == "name", name).when(type_ == "card", card).otherwise(shape)
+    # Short forms have few surrogates: after some attempts they grow.
+    extra = F.sha2(F.array_join(stream, ""), 256)
+    long = F.col("attempt") - (SHORT_ROUNDS - 4)
+    figures = F.substring(F.translate(extra, "abcdef", "012345"), F.lit(1), long)
+    roomy = F.when(short & type_.isin("email", "secret"), F.concat(F.substring(extra, F.lit(1), long), made)).when(short & type_.isin("phone", "ssn", "card", "iban"), F.concat(made, figures)).otherwise(made)
     hashed = entities.withColumn("_stream", _stream(type_, canon, F.col("attempt"), key))
     return hashed.withColumn("_shape", letters).select("type", "canon", "attempt", roomy.alias("surrogate"))
 
 
 def rendered(surface: Column, type_: Column, surrogate: Column) -> Column:
-    """A surrogate written the way its entity was: marks, spaces and case."""
+    """A surrogate written the way its entity was: marks, spaces and case; grown ones run on behind."""
     def digit(c: Column, i: Column) -> Column:
         before = F.length(F.regexp_replace(F.substring(surface, F.lit(1), i + 1), r"\D", ""))
         return F.when(c.rlike("[0-9]"), F.substring(surrogate, before, F.lit(1))).otherwise(c)
@@ -198,12 +250,21 @@ def rendered(surface: Column, type_: Column, surrogate: Column) -> Column:
     body = F.when(type_ == "secret", bare_secret(surface)).otherwise(surface)
     upper = (body == F.upper(body)) & body.rlike(r"\p{L}")
     label = F.substring(surface, F.lit(1), F.length(surface) - F.length(body))
-    honorific = F.regexp_extract(surface, f"^{_HONORIFIC}", 0)
+    rest = F.when(type_ == "iban", F.substring(surrogate, F.length(F.regexp_replace(surface, " ", "")) + 1, F.length(surrogate))).otherwise(F.substring(surrogate, F.length(F.regexp_replace(surface, r"\D", "")) + 1, F.length(surrogate)))
+    word = F.substring(surrogate, F.lit(3), F.length(surrogate))
+    # IPv6: the run that "::" left out stays out while it is zero.
+    groups, halves = F.split(surrogate, ":"), F.split(surface, "::")
+    ahead, behind = (F.size(F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")) for i in (0, 1))
+    wide = F.transform(F.split(surface, ":"), lambda g, i: F.lpad(F.get(groups, i), F.greatest(F.length(g), F.length(F.get(groups, i))), "0"))
+    left_out = F.slice(groups, ahead + 1, F.greatest(F.lit(8) - ahead - behind, F.lit(0)))
+    folded = F.concat(F.array_join(F.slice(groups, 1, ahead), ":"), F.lit("::"), F.array_join(F.slice(groups, F.lit(9) - behind, behind), ":"))
+    six = F.when(~F.contains(surface, F.lit("::")), F.array_join(wide, ":")).when(F.forall(left_out, lambda g: g == "0"), folded).otherwise(surrogate)
     return (
-        F.when(type_.isin("phone", "card", "ssn"), F.array_join(F.transform(letters, digit), ""))
-        .when(type_ == "iban", F.array_join(F.transform(letters, mark), ""))
-        .when(type_ == "name", F.concat(honorific, F.substring(surrogate, F.lit(3), F.length(surrogate))))
+        F.when(type_.isin("phone", "card", "ssn"), F.concat(F.array_join(F.transform(letters, digit), ""), rest))
+        .when(type_ == "iban", F.concat(F.array_join(F.transform(letters, mark), ""), rest))
+        .when(type_ == "name", F.when((F.length(surface) > 1) & upper, F.upper(word)).otherwise(word))
         .when(type_.isin("email", "secret"), F.concat(label, F.when(upper, F.upper(surrogate)).otherwise(surrogate)))
+        .when(type_ == "ip6", F.when(upper, F.upper(six)).otherwise(six))
         .otherwise(surrogate)
     )
 
@@ -211,40 +272,89 @@ def rendered(surface: Column, type_: Column, surrogate: Column) -> Column:
 def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame:
     """(type, canon, surrogate) for distinct (type, canon), without collisions.
 
-    Raises RuntimeError if ``rounds`` attempts leave a collision.
+    A round draws for those that clashed in the one before; whoever is settled stays. Raises RuntimeError if
+    ``rounds`` attempts leave a clash.
     """
-    made = entities.withColumn("attempt", F.lit(0))
+    waiting, done = cut(entities.withColumn("attempt", F.lit(0))), None
     taken = entities.select("type", F.col("canon").alias("surrogate"))
     for _ in range(rounds):
-        made = cut(drawn(made, key))
-        # Whoever was settled earlier stays; of newcomers the first by canonical form.
-        order = Window.partitionBy("type", "surrogate").orderBy("attempt", "canon")
-        again = made.withColumn("turn", F.row_number().over(order)).join(taken.withColumn("_real", F.lit(True)), ["type", "surrogate"], "left")
-        again = cut(again.select("type", "canon", "attempt", ((F.col("turn") > 1) | F.col("_real").isNotNull()).alias("clash")))
-        if again.where("clash").isEmpty():
-            return made.select("type", "canon", "surrogate")
-        made = again.select("type", "canon", (F.col("attempt") + F.col("clash").cast("int")).alias("attempt"))
+        made = cut(drawn(waiting, key))
+        held = taken if done is None else taken.unionByName(done.select("type", "surrogate"))
+        hit = held.join(made.select("type", "surrogate").distinct(), ["type", "surrogate"], "left_semi").distinct().withColumn("held", F.lit(True))
+        order = Window.partitionBy("type", "surrogate").orderBy("canon")
+        told = made.withColumn("turn", F.row_number().over(order)).join(hit, ["type", "surrogate"], "left")
+        told = cut(told.select("type", "canon", "surrogate", "attempt", ((F.col("turn") > 1) | F.col("held").isNotNull()).alias("clash")))
+        fresh = told.where("not clash").select("type", "canon", "surrogate")
+        done = fresh if done is None else cut(done.unionByName(fresh))
+        waiting = told.where("clash").select("type", "canon", (F.col("attempt") + 1).alias("attempt"))
+        if waiting.isEmpty():
+            return done
     raise RuntimeError("surrogates still collide")
 
 
-def replace(docs: DataFrame, key: str = "panelkit", text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def session_key(spark: SparkSession) -> str:
+    """The key that ``spark.panelkit.surrogates.key`` names; where unset, one drawn for this call alone."""
+    return spark.conf.get("spark.panelkit.surrogates.key", None) or secrets.token_hex(32)
+
+
+def _words(named: Column) -> Column:
+    """(word, gender, surface) of the words of names behind honorifics, as found."""
+    return F.flatten(F.transform(named, lambda s: F.transform(F.regexp_extract_all(F.regexp_replace(s, f"^(?:{_HONORIFIC})+", ""), F.lit(_NAME_WORD), F.lit(0)), lambda w: F.struct(F.lower(w).alias("word"), gender(s).alias("gender"), w.alias("surface")))))
+
+
+def _units(between: Column, spots: Column, words: Column) -> Column:
+    """What is replaced, in order, each with the text ahead of it: (lead, surface, type, gender)."""
+
+    def told(w: Column, own: Column) -> Column:
+        same = F.filter(words, lambda x: (x["word"] == F.lower(w)) & (x["gender"] != "n"))
+        return F.when(own != "n", own).otherwise(F.coalesce(F.get(same, F.lit(0))["gender"], F.lit("n")))
+
+    def unit(lead: Column, s: Column) -> Column:
+        titles = F.regexp_extract(s, f"^(?:{_HONORIFIC})+", 0)
+        body = F.substring(s, F.length(titles) + 1, F.length(s))
+        found, gaps = F.regexp_extract_all(body, F.lit(_NAME_WORD), F.lit(0)), F.split(body, _NAME_WORD, -1)
+
+        def part(w: Column, i: Column) -> Column:
+            before = F.concat(F.when(i == 0, F.concat(lead, titles)).otherwise(""), F.get(gaps, i))
+            return F.struct(before.alias("lead"), w.alias("surface"), F.when(F.length(w) == 1, "initial").otherwise("name").alias("type"), told(w, gender(s)).alias("gender"))
+
+        whole = F.struct(lead.alias("lead"), s.alias("surface"), kind(s).alias("type"), F.lit("").alias("gender"))
+        return F.when(kind(s).isin("name", "bare"), F.transform(found, part)).otherwise(F.array(whole))
+
+    return F.flatten(F.zip_with(F.slice(between, 1, F.size(spots)), spots, unit))
+
+
+def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with every entity replaced; ``count_col`` names an added count of entities."""
-    text = F.col(text_col).cast("string")
-    columns = [F.col(c) for c in docs.columns if c != text_col]
+    if not key:
+        raise ValueError("surrogates need a key")
+    text = F.col("text")
+    # A document's own columns travel in a struct, by place: no name can clash.
+    others = [c for c in docs.columns if c != text_col]
+    row = F.struct(F.lit(0).alias("c"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    packed = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hit = holds_entity(text)
-    clean, dirty = docs.where(~hit), docs.where(hit)
-    spots = F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
-    mark = F.sha2(F.encode(text, "UTF-8"), 256)
-    seen = dirty.select(mark.alias("_mark"), F.explode(F.array_distinct(spots)).alias("surface")).distinct()
-    seen = cut(seen.withColumn("type", kind(F.col("surface"))).withColumn("canon", canonical(F.col("surface"), F.col("type"))))
-    known = surrogates(seen.select("type", "canon").distinct(), key)
-    told = seen.join(known, ["type", "canon"]).select("_mark", F.struct("surface", rendered(F.col("surface"), F.col("type"), F.col("surrogate")).alias("new")).alias("pair"))
-    told = told.groupBy("_mark").agg(F.map_from_entries(F.collect_list("pair")).alias("_new"))
-    joined = dirty.withColumn("_mark", mark).join(told, "_mark")
-    between = F.split(text, PATTERN, -1)
-    parts = F.zip_with(between, F.concat(F.transform(spots, lambda s: F.element_at(F.col("_new"), s)), F.array(F.lit(""))), lambda a, b: F.concat(a, b))
-    order = docs.columns
-    done = joined.select(*columns, F.array_join(parts, "").alias(text_col), *([F.size(spots).alias(count_col)] if count_col else []))
-    rest = clean.select(*columns, text.alias(text_col), *([F.lit(0).alias(count_col)] if count_col else []))
-    out = [*order, *([count_col] if count_col else [])]
-    return rest.select(*out).unionByName(done.select(*out))
+    dirty = packed.where(hit).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
+    dirty = dirty.withColumn("words", _words(F.filter("found", lambda s: kind(s) == "name")))
+    # Names may stand again without an honorific: a text that has some is read once more, by its own pattern.
+    lone = lambda w: F.concat(F.lit(f"(?<!{_LETTER})(?:"), w, F.lit(f")(?!{_LETTER})"))
+    bare = F.array_distinct(F.filter(F.transform("words", lambda x: x["surface"]), lambda w: (F.length(w) > 1) & ~F.rlike(text, lone(F.lower(w)))))
+    dirty = dirty.withColumn("bare", bare)
+    own = F.concat(F.lit(PATTERN + "|"), lone(F.array_join(F.array_union("bare", F.transform("bare", F.upper)), "|")))
+    again = F.size("bare") > 0
+    dirty = dirty.withColumn("spots", F.when(again, F.regexp_extract_all("text", own, F.lit(0))).otherwise(F.col("found")))
+    dirty = dirty.withColumn("between", F.when(again, F.split("text", own, -1)).otherwise(F.split("text", PATTERN, -1)))
+    dirty = cut(dirty.select("row", F.monotonically_increasing_id().alias("id"), F.size("spots").alias("n"), _units(F.col("between"), F.col("spots"), F.col("words")).alias("units"), F.element_at("between", -1).alias("tail")))
+    seen = dirty.select("id", F.posexplode("units").alias("pos", "u")).select("id", "pos", "u.surface", "u.type", "u.gender")
+    seen = cut(seen.withColumn("canon", canonical(F.col("surface"), F.col("type"), F.col("gender"))))
+    known = surrogates(seen.where("type <> 'initial'").select("type", "canon").distinct(), key)
+    drawn_letter = F.conv(F.substring(F.sha2(F.concat_ws("\x01", F.lit(key), "type", "canon"), 256), 1, 4), 16, 10).cast("int")
+    letter = F.when(F.col("surface").rlike(r"\p{IsCyrillic}"), _pick("БДГКЛМНПРСТВ", drawn_letter)).otherwise(_pick("BDFGKLMNPRSTV", drawn_letter))
+    told = attach(seen, known, ["type", "canon"], ["id", "pos"], "left")
+    told = told.select("id", "pos", F.when(F.col("type") == "initial", letter).otherwise(rendered(F.col("surface"), F.col("type"), F.col("surrogate"))).alias("new"))
+    told = told.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news"))
+    done = dirty.join(told, "id").select("row", "n", F.concat(F.array_join(F.zip_with("units", "news", lambda u, x: F.concat(u["lead"], x["new"])), ""), "tail").alias("text"))
+    rest = packed.where(~hit).select("row", F.lit(0).alias("n"), "text")
+    place = {c: F.col("row")[f"c{i}"] for i, c in enumerate(others)}
+    out = [(place[c] if c in place else text).alias(c) for c in docs.columns]
+    return rest.unionByName(done).select(*out, *([F.col("n").alias(count_col)] if count_col else []))

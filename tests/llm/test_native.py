@@ -29,7 +29,7 @@ def _luhn(digits):
 @pytest.fixture(scope="module")
 def replaced(spark):
     df = spark.createDataFrame(PRIVATE, "doc_id long, text string, surrogate int, type string")
-    out = surrogates.replace(df, count_col="n")
+    out = surrogates.replace(df, "k", count_col="n")
     assert out.columns == ["doc_id", "text", "surrogate", "type", "n"]
     return out.collect()
 
@@ -71,7 +71,7 @@ def test_assigned_credentials_are_read_to_their_end(spark):
     jwt = f"eyJ{value}.{value}9.{value}"
     texts = [f'token = "{value}7" end', f"secret: {jwt}...", f"password={value}", f"api_key: {'9' * 300}{value}!", f"token={value}.call2(x)", f"token = {value}", f"secret={value}1@mail.example.org", "pwd=" + "a1" * 20_000 + "."]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    out = {x["doc_id"]: x["text"] for x in surrogates.replace(df).collect()}
+    out = {x["doc_id"]: x["text"] for x in surrogates.replace(df, "k").collect()}
     assert re.fullmatch(r'token = "[\w/+]{801}" end', out[0]) and re.fullmatch(r"secret: [\w/+.]{2406}\.\.\.", out[1])
     assert re.fullmatch(r"password=[\w/+]{800}", out[2]) and re.fullmatch(r"api_key: \d{300}[\w/+]{800}!", out[3]) and len(out[7]) == len(texts[7])
     pieces = {t[i : i + 12] for t in (value, jwt) for i in range(len(t) - 12)} | {"9" * 12, "a1" * 12}
@@ -87,7 +87,7 @@ def test_short_forms_do_not_run_out(spark):
 
 
 def test_prefilter_loses_no_entity_without_digits(spark):
-    stems = [f"{h} {w}" for h in (*surrogates.FEMALE, *surrogates.MALE) for w in ("Abel", "Иванов")]
+    stems = [f"{h} {w}" for h in (*surrogates.FEMALE, *surrogates.MALE, *surrogates.NEUTRAL) for w in ("Abel", "Иванов")]
     keys = [f"{p}{m}{'x' * 16}" for p in ("sk", "ghp", "gho", "xoxb") for m in "-_"]
     texts = [*stems, *keys, "a@b.org", "password=HUNTERS", "abcdefab" * 4, "ABCDEFAB" * 4, "AKIA" + "QWERTYUIOPASDFGH"]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
@@ -97,9 +97,71 @@ def test_prefilter_loses_no_entity_without_digits(spark):
 
 def test_names_do_not_run_out(spark):
     spelt = F.translate(F.lpad(F.col("id").cast("string"), 6, "0"), "0123456789", "abcdefghij")
-    df = spark.range(26_000).select(F.lit("name").alias("type"), F.concat(F.lit("m Q"), spelt).alias("canon"))
+    df = spark.range(30_000).select(F.lit("name").alias("type"), F.concat(F.lit("m Q"), spelt).alias("canon"))
     rows = surrogates.surrogates(df, "k").collect()
-    assert len({r["surrogate"] for r in rows}) == 26_000 and all(re.fullmatch("m [A-Z][a-z]+", r["surrogate"]) for r in rows)
+    assert len({r["surrogate"] for r in rows}) == 30_000 and all(re.fullmatch("m [A-Z][a-z]+", r["surrogate"]) for r in rows)
+
+
+NAMED = [
+    "Mr McDonald met Mrs O'Brien and Dr Jane Roe. McDonald left; Roe's and MCDONALD's too. Ms Roe came.",
+    "Frau Müller-Lüdenscheidt, Frau Müller und Müller; Mr John Smith, Mr Smith, Smith. A smithy, Smiths.",
+    "Prof. Dr. Herr J. von der Heide sah Herrn nicht; Herr Will will, Will geht.",
+    "Miss Ada Bea Cor Dee Eva Fay Gil Hal Ida spoke.",
+    "Host 2001:0db8::ff00:42:8329 or 2001:DB8::FF00:42:8329, 2001:db8:0:0:0:ff00:42:8329; std::vector a::b ::1 at 12:30:45.",
+    "Smith alone is no entity. Господин Иванов и Иванов.",
+    "+1 12 12 and +1 13 13",
+]
+
+
+def test_names_corefer_in_all_their_forms(spark):
+    df = spark.createDataFrame(list(enumerate(NAMED)), "doc_id long, text string")
+    out = {x["doc_id"]: x["text"] for x in surrogates.replace(df, "k").collect()}
+    a = re.fullmatch(r"Mr (\w+) met Mrs ([A-Z]'[A-Z]\w+) and Dr (\w+) (\w+)\. (\w+) left; (\w+)'s and (\w+)'s too\. Ms (\w+) came\.", out[0])
+    assert a and a[1] == a[5] and a[7] == a[1].upper() and a[4] == a[6] == a[8] and a[2].endswith("a") and a[8].endswith("a")
+    b = re.fullmatch(r"Frau (\w+)-(\w+), Frau (\w+) und (\w+); Mr (\w+) (\w+), Mr (\w+), (\w+)\. A smithy, Smiths\.", out[1])
+    assert b and b[1] == b[3] == b[4] and b[6] == b[7] == b[8] != b[5] and "Müller" not in out[1]
+    c = re.fullmatch(r"Prof\. Dr\. Herr ([A-Z])\. von der (\w+) sah Herrn nicht; Herr (\w+) will, Will geht\.", out[2])
+    assert c and "Heide" not in out[2] and c[3] != "Will"
+    assert re.fullmatch(r"Miss (?:[A-Z]\w+a ){9}spoke\.", out[3])
+    six = re.findall(r"[0-9a-fA-F:]{9,}", out[4].split("; std")[0])
+    assert six[0].lower() == six[1].lower().replace(":" + six[1].split(":")[1].lower(), ":" + six[1].split(":")[1].lower().zfill(4)) or six[0].count(":") == 5
+    assert six[1] == six[1].upper() and six[2].count(":") == 7 and six[2].split(":")[2:5] == ["0", "0", "0"] and six[2].split(":")[0] == six[0].split(":")[0]
+    assert "std::vector a::b" in out[4] and "at 12:30:45." in out[4] and "::1 " not in out[4] and "8329" not in out[4]
+    d = re.fullmatch(r"Smith alone is no entity\. Господин (\w+) и (\w+)\.", out[5])
+    assert d and d[1] == d[2] and "Иванов" not in out[5]
+
+
+def test_every_short_form_may_run_out(spark):
+    """All numbers of a form, all one-digit addresses: surrogates grow and stay distinct."""
+    n = F.col("id").cast("string")
+    forms = {"phone": F.lpad(n, 3, "0"), "ssn": F.lpad(n, 3, "0"), "iban": F.concat(F.lit("DE"), F.lpad(n, 3, "0")), "ip6": F.concat(F.lit("0:0:0:0:0:0:0:"), F.lower(F.hex(F.col("id") % 15 + 1)))}
+    df = spark.range(1000).select(F.explode(F.array(*[F.struct(F.lit(t).alias("type"), c.alias("canon")) for t, c in forms.items()])).alias("e")).select("e.*").distinct()
+    rows = surrogates.surrogates(df, "k").collect()
+    assert len(rows) == 3015 == len({(r["type"], r["surrogate"]) for r in rows})
+    assert not {(r["type"], r["surrogate"]) for r in rows} & {(r["type"], r["canon"]) for r in rows}
+
+
+def test_a_key_is_required_and_tells(spark):
+    df = spark.createDataFrame([(1, "Mr Abel")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        surrogates.replace(df, "")
+    one, two, again = (surrogates.replace(df, k).first()["text"] for k in ("a", "b", "a"))
+    assert one == again != two and surrogates.session_key(spark) != surrogates.session_key(spark)
+
+
+def test_odd_texts_and_columns_with_clashing_names(spark):
+    long = "clean words " * 100_000 + "Mr Abel bob@x.org " * 2_000
+    rows = [("bob@x.org", "a", 1, "m", "w", 7), (long, "b", 2, None, None, None), (None, "c", 3, "", "", 1), ("", "d", 4, "", "", 1)]
+    df = spark.createDataFrame(rows, "text string, id string, n int, _mark string, units string, row int")
+    out = surrogates.replace(df, "k", count_col="n_entities")
+    assert out.columns == [*df.columns, "n_entities"]
+    got = {r["id"]: r for r in out.collect()}
+    for text, name, *rest in rows:
+        assert list(got[name])[2:6] == rest
+    assert got["b"]["n_entities"] == 4_000 and "Abel" not in got["b"]["text"] and got["b"]["text"].count(got["a"]["text"]) == 2_000
+    assert got["b"]["text"].startswith("clean words " * 100_000) and got["c"]["text"] is None and got["d"]["text"] == ""
+    only = surrogates.replace(df.select("text"), "k")
+    assert only.columns == ["text"] and only.count() == 4
 
 
 def test_surrogates_are_distinct_and_meet_no_real_entity(spark):
@@ -112,7 +174,7 @@ def test_surrogates_are_distinct_and_meet_no_real_entity(spark):
 def test_nothing_left_in_documents(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     before = df.select(F.explode(F.regexp_extract_all("text", F.lit(surrogates.PATTERN), F.lit(0))).alias("e")).distinct()
-    out = surrogates.replace(df)
+    out = surrogates.replace(df, "k")
     after = out.select(F.explode(F.regexp_extract_all("text", F.lit(surrogates.PATTERN), F.lit(0))).alias("e")).distinct()
     assert before.count() > 0 and before.count() == after.count() and before.join(after, "e").isEmpty()
     same = df.where(~F.col("text").rlike(surrogates.PATTERN)).select("doc_id", "text")
@@ -122,15 +184,16 @@ def test_nothing_left_in_documents(spark):
 def _python_chats(rows):
     talks = {}
     for c, t, role, text in set(rows):
-        talks.setdefault(c, []).append((t is not None, t or 0, "unknown" if role is None else role, text or ""))
+        key = (c is None, c or 0, (t, role, text) if c is None else None)  # without an id each row stands alone
+        talks.setdefault(key, []).append((t is not None, t or 0, "unknown" if role is None else role, text or ""))
     talks = {c: [x[2:] for x in sorted(v)] for c, v in talks.items()}
-    out = {}
+    out = Counter()
     for c, v in talks.items():
         if any(len(w) > len(v) and w[: len(v)] == v for w in talks.values()):
             continue
-        if any(w == v and (d is not None, d or 0) < (c is not None, c or 0) for d, w in talks.items() if d is not None and c is not None):
+        if any(w == v and (d[:2], str(d)) < (c[:2], str(c)) for d, w in talks.items()):
             continue
-        out[c] = (len(v), "".join(f"<|{r}|>\n{t}\n" for r, t in v))
+        out[None if c[0] else c[1], len(v), "".join(f"<|{r}|>\n{t}\n" for r, t in v)] += 1
     return out
 
 
@@ -140,15 +203,28 @@ CHATS = [
     (3, 0, "user", "a"), (3, 1, "assistant", "x"),
     (4, 5, "user", "a"), (4, 9, "assistant", "b"), (4, 9, "assistant", "b"),
     (5, 0, "user", "a"), (5, 1, "assistant", "b"), (5, 2, "user", "c"),
-    (6, 0, None, None), (7, None, "user", "z"), (7, 0, "user", "zz"), (8, 0, "user", ""), (8, 1, "use", "r"), (9, 0, "user", None), (None, 0, "user", "n"), (None, 1, "user", "m"),
+    (6, 0, None, None), (7, None, "user", "z"), (7, 0, "user", "zz"), (8, 0, "user", ""), (8, 1, "use", "r"), (9, 0, "user", None), (None, 0, "user", "n"), (None, 1, "user", "m"), (None, 7, "user", "m"), (None, 3, "user", "a"),
+    *[(10, i, "user", f"turn {i}") for i in range(3_000)], *[(11, i, "user", f"turn {i}") for i in range(2_999)],
 ]
 
 
 def test_snapshots_collapse(spark):
-    df = spark.createDataFrame([(*r, "x") for r in CHATS], "conv_id long, turn long, role string, text string, whole string")
-    got = {r["conv_id"]: (r["n_turns"], r["text"]) for r in chats.collapse(df).collect()}
+    df = spark.createDataFrame([(*r, "x", True) for r in CHATS], "conv_id long, turn long, role string, text string, key string, last boolean")
+    got = Counter(map(tuple, chats.collapse(df).collect()))
     assert got == _python_chats(CHATS)
-    assert set(got) == {2, 3, 6, 7, 8, None}
+    assert sorted((r[0] for r in got), key=str) == [10, 2, 3, 6, 7, 8, None, None] and max(n for _, n, _ in got) == 3_000
+
+
+GPL = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation."
+SIBLINGS = [
+    (20, "Licensed under CC BY-SA 4.0."), (21, GPL), (22, "This software was released under the new license of the trust"), (23, GPL.replace("program", "library").replace("General", "Lesser General")),
+    (24, "Licensed under CC BY-NC-SA 4.0."), (25, " ".join(f"word{i} under the terms of this license" for i in range(300))), (26, "x " * 500 + "released under the MIT License. " + "y " * 500),
+]
+
+
+def test_licence_siblings_are_told_apart(spark):
+    got = {r["doc_id"]: r["labels"] for r in licences.scan(spark.createDataFrame(SIBLINGS, "doc_id long, text string")).collect()}
+    assert got == {20: "cc-by,cc-by-sa", 21: "gpl", 22: "", 23: "lgpl", 24: "cc-by,cc-by-nc-sa", 25: "", 26: "mit"}
 
 
 def test_licence_base_and_templates(spark):
@@ -156,7 +232,7 @@ def test_licence_base_and_templates(spark):
     rows = [
         (0, None), (1, ""), (2, "..."), (3, "Released under the MIT License."), (4, "mit-license MIT\tLicense, the apache license"), (5, "cc by-nc 4.0 cc  by"),
         (6, "x\nThis work is licenced under GNU General Public License, version 3.\ny"), (7, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files to deal in the Software without restriction\n\nmore"),
-        (8, "the of and in to " * 30000), (9, "é apache licensed é apache license"), (None, "apache license"), (3, "Released under the MIT License."), (10, "Licensed under CC BY-NC 4.0."),
+        (8, "the of and in to " * 30000), (9, "é apache licensed é apache license"), (None, "apache license"), (3, "Released under the MIT License."), (10, "Licensed under CC BY-NC 4.0."), *SIBLINGS,
     ]
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     want = Counter()
@@ -165,14 +241,14 @@ def test_licence_base_and_templates(spark):
         words = [w for w in sep.split(body) if w]
         places = sorted((p, label) for phrase, label in licences.BASE.items() for p in range(len(words)) if words[p : p + len(phrase.split())] == phrase.split())
         labels, best = {label for _, label in places}, 1.0 if places else 0.0
-        blocks = [set(sep.split(b)) for b in body.split("\n")] + [set(sep.split(b)) for b in re.split(r"\n[ \t\r]*\n", body)]
         own = set(labels)
-        for label, text in licences.TEMPLATES:
-            tokens = set(licences._words(text))
-            part = max(len(tokens & b) for b in blocks) / len(tokens)
-            if part >= licences.THRESHOLD - 1e-12:
-                own.add(label)
-                best = max(best, part)
+        for label, phrase, text in licences.TEMPLATES:
+            tokens, width = set(licences._words(text)), 2 * len(licences._split(text))
+            for k in range(len(words)):
+                part = len(tokens & set(words[k : k + width])) / len(tokens)
+                if part >= licences.THRESHOLD - 1e-12 and re.search(f" {phrase} ", " " + " ".join(words[k : k + width]) + " "):
+                    own.add(label)
+                    best = max(best, part)
         want[i, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(labels)), ",".join(sorted(own)), round(best, 9)] += 1
     df = spark.createDataFrame([(i, t, 1) for i, t in rows + docs], "doc_id long, text string, score int")
     got = Counter((*tuple(r)[:7], round(r["score"], 9)) for r in licences.scan(df).collect())
@@ -180,7 +256,7 @@ def test_licence_base_and_templates(spark):
 
 
 def test_empty_tables(spark):
-    assert surrogates.replace(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert surrogates.replace(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
     assert chats.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
