@@ -1,15 +1,18 @@
 """Exact top-k search by inner product with block-at-a-time pruning.
 
-Documents in id order are cut into ranges, and a range into small blocks. A range's forward
+Documents in the order of their nearest centroid (fitted on a bounded sample; it only sets the order) are cut
+into ranges, and a range into small blocks, so that a block's documents are alike. A range's forward
 index holds its integer vectors; each block keeps every term's (dimension's) largest and
 smallest value, so a block's bound for a query is the sum of the better product per term. A query
 takes a range's blocks by falling bound and scores them through the forward index until
 the next bound is below its k-th score. Its threshold to start with comes from its own
-range; a whole range whose bounds all fall below it is never joined.
+range, where its like stand; a whole range whose bounds all fall below it is never joined. Queries are gathered in that
+order too, so that those of one block need the same ranges. Data without clusters leave little to prune: then
+nearly every range is scored, and the result is the same.
 
 Defined cases: null vectors, vectors with null or non-finite components, and vectors of
 another length than the commonest take no part; equal rows count once; equal scores go to
-the smaller id; fewer candidates than k give fewer rows. Components are taken as
+the smaller id; fewer candidates than k give fewer rows; other columns are not read. Components are taken as
 floor(scale * x); scores must fit 64 bits.
 """
 
@@ -23,13 +26,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare
-from .multi_index import common_length, matrix, usable
+from .multi_index import _distances, _kmeans, common_length, matrix, usable
 
 RANGE = 4_096
 BLOCK = 64
 STEP = 8
 QUERIES = 256
 CHUNK = 1_024
+#: At most so many vectors are fitted on, and so many centroids set the order.
+SAMPLE, CENTROIDS = 16_384, 64
+#: Queries of so many neighbouring partitions of ranges go together.
+TOGETHER = 3
 _LOWEST = np.iinfo(np.int64).min
 
 
@@ -90,33 +97,39 @@ def top_products(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
     rows = rows.where(F.size("v") == d).select("id", F.transform("v", lambda x: F.floor(x * scale)).alias("v")).distinct()
     rows = cut(rows)
     parts = max(1, -(-rows.count() // size))
+    fitted = matrix(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"], d).astype(np.float64)
+    shared = spark.sparkContext.broadcast(_kmeans(fitted, max(1, min(CENTROIDS, parts, len(fitted)))) if len(fitted) else np.zeros((1, d)))
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = _distances(matrix(b.column(1), d).astype(np.float64), shared.value).argmin(1) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.astype(np.int32))], ["id", "v", "near"])
+
+    rows = cut(rows.mapInArrow(put, "id long, v array<long>, near int"))
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _ranges(batches, size):
             x, ids = matrix(table.column(1), d), table.column(0).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(ids[0])]), pa.array([ids.tobytes()], pa.binary()), pa.array([x.astype("<i8").tobytes()], pa.binary()), pa.array([x.max(0)]), pa.array([x.min(0)])],
-                ["first", "ids", "x", "high", "low"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([x.astype("<i8").tobytes()], pa.binary()), pa.array([x.max(0)]), pa.array([x.min(0)])], ["ids", "x", "high", "low"])
 
-    index = rows.repartitionByRange(parts, "id").sortWithinPartitions("id").mapInArrow(built, "first long, ids binary, x binary, high array<long>, low array<long>")
+    index = rows.repartitionByRange(parts, "near", "id").sortWithinPartitions("near", "id").select("id", "v").mapInArrow(built, "ids binary, x binary, high array<long>, low array<long>")
     index = cut(index.withColumn("range", F.monotonically_increasing_id()))
 
     def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for raw_ids, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for at, raw_ids, raw in zip(*(c.to_pylist() for c in b.columns)):
                 ids, x = np.frombuffer(raw_ids, np.int64), np.frombuffer(raw, "<i8").reshape(-1, d)
                 own = np.flatnonzero(ids % every == 0)
                 bar = np.full(len(own), _LOWEST)
                 for i, scores, _ in search_range(x[own], ids[own], bar.copy(), x, ids, k):
                     if len(scores) == k:
                         bar[i] = scores[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(bar), pa.array(list(x[own]), pa.list_(pa.int64()))], ["query_id", "bar", "q"])
+                # The range's number is its partition's, shifted by 33 bits, and its place there.
+                block = ((at >> 33) // TOGETHER << 20) + np.arange(len(own)) // QUERIES
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(bar), pa.array(list(x[own]), pa.list_(pa.int64())), pa.array(block, pa.int64())], ["query_id", "bar", "q", "qb"])
 
-    queries = cut(index.select("ids", "x").mapInArrow(started, "query_id long, bar long, q array<long>"))
-    blocks = max(1, -(-queries.count() // QUERIES))
-    bundle = queries.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).groupBy("qb")
-    bundle = bundle.agg(F.collect_list(F.struct("query_id", "bar", "q")).alias("qs"))
+    queries = cut(index.select("range", "ids", "x").mapInArrow(started, "query_id long, bar long, q array<long>, qb long"))
+    bundle = queries.groupBy("qb").agg(F.collect_list(F.struct("query_id", "bar", "q")).alias("qs"))
     bundle = cut(bundle.select("qb", F.col("qs.query_id").alias("qids"), F.col("qs.bar").alias("bars"), F.flatten("qs.q").alias("q")))
     # Which ranges a block of queries must see, by the ranges' own bounds, a chunk of ranges at a time.
     chunks = max(1, -(-index.count() // CHUNK))
@@ -134,9 +147,9 @@ def top_products(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
                 hit = rs[(_bounds(q, high, low) >= bars[:, None]).any(0)]
                 ranges += hit.tolist()
                 qb += [b.column(0)[i].as_py()] * len(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(qb, pa.int32()), pa.array(ranges, pa.int64())], ["qb", "range"])
+            yield pa.RecordBatch.from_arrays([pa.array(qb, pa.int64()), pa.array(ranges, pa.int64())], ["qb", "range"])
 
-    pairs = seen.select("qb", "bars", "q", "ranges", "high", "low").mapInArrow(needed, "qb int, range long")
+    pairs = seen.select("qb", "bars", "q", "ranges", "high", "low").mapInArrow(needed, "qb long, range long")
     work = pairs.join(bundle, "qb").join(index.select("range", "ids", "x"), "range").select("qids", "bars", "q", "ids", "x")
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

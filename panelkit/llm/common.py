@@ -77,8 +77,6 @@ def min_label_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
         step = cut(labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "label", F.least("label", "near").alias("new")))
         if step.where("label <> new").isEmpty():
             return labels
-        # Labels are nodes; few enough of them change hands for their own labels to be looked up.
-        own = labels.join(step.select(F.col("new").alias("node")).distinct(), "node", "left_semi")
-        jump = attach(step.select("node", "new"), own.select(F.col("node").alias("new"), F.col("label").alias("further")), "new", ["node"])
+        jump = attach(step.select("node", "new"), labels.select(F.col("node").alias("new"), F.col("label").alias("further")), "new", ["node"])
         labels = cut(jump.select("node", F.least("new", "further").alias("label")))
     raise RuntimeError("components did not settle")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from panelkit.llm import byte_bpe, packing, quality, sharding, simhash, similar, word_bpe
-from panelkit.llm.common import gapless_rank, min_label_components
+from panelkit.llm.common import attach, gapless_rank, min_label_components
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, shard int, slot string, fp string, length string"
@@ -96,9 +96,59 @@ def test_gray_index_finds_every_pair():
     x = np.unique(r.integers(0, 2**14, 3000).astype(np.uint64) << np.uint64(25))
     index = simhash.GrayIndex(x)
     i, j = index.pairs(0, len(x), 4)
-    want = np.triu(np.bitwise_count(index.fps[:, None] ^ index.fps[None, :]) <= 4, 1)
+    assert len(index.levels) >= 3
+    want = np.triu(np.bitwise_count(index.fps[:, 0, None] ^ index.fps[None, :, 0]) <= 4, 1)
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(a.tolist() for a in np.nonzero(want))))
-    assert (np.diff(simhash.gray_rank(index.fps).astype(object)) > 0).all()
+    assert (np.diff(simhash.gray_rank(index.fps[:, 0]).astype(object)) > 0).all()
+
+
+@pytest.mark.parametrize("words, distance, n, buckets", [(1, 4, 3000, 40), (4, 80, 500, 3), (1, 4, 5, 5), (1, 64, 70, 2), (1, 4, 1, 1), (1, 4, 0, 1)])
+def test_gray_index_keeps_buckets_apart(words, distance, n, buckets):
+    r = np.random.default_rng(3)
+    fps = r.integers(0, 2**63, (max(1, n // 10), words)).astype(np.uint64)[r.integers(0, max(1, n // 10), n)]
+    for _ in range(3):
+        fps = fps ^ (np.uint64(1) << r.integers(0, 64, (n, words)).astype(np.uint64))
+    bucket, got = r.integers(0, buckets, n), set()
+    index = simhash.GrayIndex(fps, bucket)
+    for lo, hi in index.blocks():
+        i, j = index.pairs(lo, hi, distance)
+        got |= {tuple(sorted(x)) for x in zip(index.order[i].tolist(), index.order[j].tolist())}
+    d = np.bitwise_count(fps[:, None] ^ fps[None]).sum(2) if n else np.zeros((0, 0))
+    assert got == {(i, j) for i, j in zip(*np.nonzero(np.triu(d <= distance, 1))) if bucket[i] == bucket[j]}
+
+
+def test_every_link_comes_from_the_gray_index(monkeypatch):
+    """With an index that finds nothing there is no link at all, however small a bucket is."""
+    fps = np.array([1, 3, 31 << 40], np.uint64)
+    assert len(simhash.local_links(fps, fps, 4)[0]) == 1
+    monkeypatch.setattr(simhash.GrayIndex, "pairs", lambda self, lo, hi, distance: (np.zeros(0, np.int64),) * 2)
+    assert len(simhash.local_links(fps, fps, 4)[0]) == 0
+
+
+def test_alike_sets_equal_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(20):
+        sets = [np.unique(r.integers(0, 40, r.integers(1, 30)).astype(np.uint64)) for _ in range(60)]
+        want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))}
+        assert {x for i, j in similar.alike(sets) for x in zip(i.tolist(), j.tolist())} == want
+
+
+def test_attach_and_components_with_a_hot_key(spark):
+    big = spark.range(300).select(F.when(F.col("id") < 200, 1).otherwise(F.col("id")).alias("k"), "id")
+    facts = spark.createDataFrame([(1, "a"), (250, "b")], "k long, x string")
+    got = Counter(r["x"] for r in attach(big, facts, "k", ["id"], "left").collect())
+    assert got == {"a": 200, "b": 1, None: 99}
+    star = spark.range(1, 400).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v"))
+    assert {r["label"] for r in min_label_components(star).collect()} == {0}
+
+
+def test_columns_with_clashing_names_stay(spark):
+    rows = [(1, "a b c d e f", "x", 5, "m", True), (2, "a b c d e f", "y", 6, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark string, key int, label string, none boolean")
+    for keep in (simhash.keep_first, similar.keep_first):
+        kept = keep(df)
+        assert kept.columns == df.columns and [tuple(r) for r in kept.collect()] == rows[:1]
+        assert keep(df.where("doc_id > 5")).count() == 0
 
 
 @pytest.mark.parametrize("count", [1, 10**8, 10**13])
@@ -214,6 +264,29 @@ def test_shards_differ_by_one_row_and_keep_copies_together(docs, odd, spark):
     assert sum(len(set(where[zlib.crc32(f"p{i}".encode())])) == 1 for i in range(25)) >= 20
 
 
+def _pairs_cut(rows, links):
+    of_text, of_id = {}, {}
+    for r in rows:
+        of_text.setdefault(r["text_crc32"], []).append(r["shard"])
+        of_id[r["doc_id"]] = r["shard"]
+    copies = sum(a != b for v in of_text.values() for i, a in enumerate(v) for b in v[:i])
+    return copies + sum(of_id[u] != of_id[v] for u, v in links)
+
+
+def test_linked_documents_move_to_their_neighbours(spark):
+    """Chains of ten linked documents and pairs of copies, besides unlinked ones."""
+    df = spark.range(800).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 60, F.concat(F.lit("p"), (F.col("id") % 30).cast("string"))).otherwise(F.col("id").cast("string")).alias("text"))
+    pairs = [(i, i + 1) for i in range(100, 300) if i % 10 != 9]
+    links = spark.createDataFrame([*pairs, pairs[0][::-1], (5, 5), (7, 10**6)], "u long, v long")
+    report = {}
+    rows = sharding.assign(df, links=links, report=report).collect()
+    sizes = Counter(r["shard"] for r in rows)
+    assert set(sizes.values()) == {20} and len(sizes) == 40
+    first = [{"doc_id": r["doc_id"], "text_crc32": r["text_crc32"], "shard": s} for r, s in zip(rows, (x["s"] for x in spark.createDataFrame([(r["doc_id"],) for r in rows], "i long").select(F.pmod(F.xxhash64("i"), F.lit(40)).alias("s")).collect()))]
+    assert report["pairs"] == len(pairs) + 30 and report["cut_before"] == _pairs_cut(first, pairs)
+    assert report["cut_after"] < 0.5 * report["cut_before"] and _pairs_cut(rows, pairs) <= report["cut_after"] + 5
+
+
 def test_quality_held_out_accuracy(spark):
     d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.classify(d, labels).where("held_out").join(labels, "doc_id").collect()

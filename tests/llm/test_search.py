@@ -1,6 +1,8 @@
 """Vector searches against brute force."""
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from panelkit.llm import block_max, multi_index
@@ -43,13 +45,41 @@ def test_multi_index_recall_and_scores(spark):
     df = spark.read.parquet(f"{SF}/embeddings.parquet")
     ids, x = _table(spark)
     want, at = _brute(ids, x, 5, _cos), dict(zip(ids, x))
-    got = _got(multi_index.nearest(df, least=150, share=0.5))
+    got = _got(multi_index.nearest(df))
     assert got.keys() == want.keys()
     assert all(abs(_cos(at[q], at[c]) - s) < 1e-12 for q, found in got.items() for c, s in found)
     hit = sum(len({c for c, _ in got[q]} & {c for c, _ in want[q]}) for q in want)
     assert hit >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("spread", [None, 0.3])
+def test_multi_index_recall_at_shipped_settings(spark, spread, tmp_path):
+    """50,000 vectors: without any clusters, and in 500 of them with a hot vector."""
+    r = np.random.default_rng(1)
+    x = r.standard_normal((50_000, 32)) if spread is None else r.standard_normal((500, 32))[r.integers(0, 500, 50_000)] + spread * r.standard_normal((50_000, 32))
+    if spread is not None:
+        x[20_001:35_000] = x[20_000]
+    column = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
+    pq.write_table(pa.table({"vec_id": np.arange(50_000), "embedding": column}), tmp_path / "v.parquet", row_group_size=10_000)
+    df = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got = _got(multi_index.nearest(df))
+    u = x / np.sqrt((x * x).sum(1))[:, None]
+    s = u[::50] @ u.T
+    s[np.arange(1000), np.arange(0, 50_000, 50)] = -2
+    fifth = np.sort(s, 1)[:, -5]
+    assert len(got) == 1000 and all(len(v) == 5 for v in got.values())
+    hit = sum(score >= fifth[q // 50] - 1e-12 for q, found in got.items() for _, score in found)
+    assert hit >= 0.9 * 5 * 1000
+
+
+def test_walk_lengths_are_those_of_the_heap():
+    r = np.random.default_rng(2)
+    a, b, sizes = r.random(6), r.random(6), r.integers(1, 4, 36)
+    for cell, length in enumerate(multi_index.walk_lengths(a, b, sizes, np.arange(36)).tolist()):
+        walked = multi_index.cells_in_order(a, b, sizes, length)
+        assert walked[-1] == cell and sizes[walked].sum() == length
+
+
 def test_heap_walks_cells_by_summed_distance():
     r = np.random.default_rng(0)
     a, b, sizes = r.random(7), r.random(7), r.integers(0, 4, 49)
