@@ -58,6 +58,8 @@ _ADDRESS = r"@[\p{L}\p{N}-]++\.\p{L}"
 #: A value ends in a letter, a digit or one of these marks, not in punctuation.
 _END = r"[\p{L}\p{N}_+/=#$%^*-]"
 _ASSIGNED = rf"{_LABEL}(?!{_INNER}*+[(\[])(?!{_NO_AT}*+(?:(?!{_ADDRESS})@{_NO_AT}*+)*+@)(?={_INNER}{{5}}[.~!@]*+{_END})(?:[.~!@]*+{_END}++)++"
+#: How issued keys begin. Fixed values.
+_ISSUER = "(?:AKIA|(?:sk|ghp|gho|xoxb)[-_])"
 #: Patterns by type; the first that matches at a place wins.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -165,6 +167,7 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
 
     hexes = (type_ == "secret") & canon.rlike("^[0-9a-f]*[a-f][0-9a-f]*$")
     keep = F.when(type_ == "iban", 2).when(type_ == "card", 1).when(type_ == "phone", F.greatest(F.length(canon) - 10, F.lit(0))).otherwise(0)
+    mark = F.length(F.regexp_extract(canon, f"^{_ISSUER}", 0))  # what tells whose key it is stays
     keep_from = F.length(canon) - F.length(F.substring_index(canon, ".", -1))
 
     def shaped(c: Column, i: Column) -> Column:
@@ -183,7 +186,7 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
     split = F.split(canon, "")
     letters = F.array_join(
         F.when(hexes, F.transform(split, lambda c, i: _pick("0123456789abcdef", byte(i))))
-        .when(type_ == "secret", F.transform(split, shaped))
+        .when(type_ == "secret", F.transform(split, lambda c, i: F.when(i < mark, c).otherwise(shaped(c, i))))
         .when(type_ == "email", F.transform(split, lambda c, i: F.when(i >= keep_from, c).otherwise(shaped(c, i))))
         .otherwise(F.transform(split, lambda c, i: F.when(i < keep, c).otherwise(shaped(c, i)))),
         "",

@@ -261,6 +261,92 @@ def test_empty_tables(spark):
     assert licences.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def _planted(r, kind):
+    """A random entity of a type, made without the operator's patterns."""
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    word = lambda: r.choice("BCDFGHJKLMNPRSTVWZ") + "".join(r.choice("aeiourstln") for _ in range(r.randint(4, 9)))
+    return {
+        "email": lambda: f"{word().lower()}.{word().lower()}{digits(2)}@{word().lower()}.org",
+        "key": lambda: "sk-" + "".join(r.choice("abcdefghij0123456789XYZ") for _ in range(24)),
+        "ip": lambda: ".".join(str(r.randint(1, 255)) for _ in range(4)),
+        "ip6": lambda: ":".join(f"{r.randint(1, 65535):x}" for _ in range(8)),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}",
+        "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}",
+        "name": lambda: f"{r.choice(['Mr', 'Mrs', 'Dr'])} {word()} {word()}",
+    }[kind]()
+
+
+def test_planted_entities_go_and_stay_apart(spark):
+    r = random.Random(7)
+    kinds = ("email", "key", "ip", "ip6", "ssn", "phone", "name")
+    pool = {k: sorted({_planted(r, k) for _ in range(60)}) for k in kinds}
+    rows, plain = [], "the lorem ipsum dolor sit amet and, so; it goes."
+    for i in range(300):
+        picks = [(k, r.choice(pool[k])) for k in r.sample(kinds, 3)]
+        rows.append((i, f"{plain} {picks[0][1]} | {plain} {picks[1][1]} | {picks[2][1]} {plain}", picks))
+    out = {x["doc_id"]: x["text"] for x in surrogates.replace(spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string"), "k").collect()}
+    shape = lambda s: re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"\d", "0", s)))
+    told = {}
+    for i, _, picks in rows:
+        a, b, c = re.fullmatch(rf"{re.escape(plain)} (.+) \| {re.escape(plain)} (.+) \| (.+) {re.escape(plain)}", out[i]).groups()
+        for (kind, was), now in zip(picks, (a, b, c)):
+            assert now != was and told.setdefault((kind, was), now) == now  # coreference over the corpus
+            if kind in ("email", "key", "ssn", "phone"):
+                assert shape(now) == shape(was)
+            assert kind != "key" or now.startswith("sk-")
+            if kind in ("ip", "ip6"):
+                assert len(re.split("[.:]", now)) == len(re.split("[.:]", was))
+            if kind == "name":
+                assert now.split()[0] == was.split()[0] and now.endswith("a") == (was.split()[0] == "Mrs")
+    for kind in kinds:
+        now = [v for (k, _), v in told.items() if k == kind]
+        assert len(set(now)) == len(now) and not set(now) & set(pool[kind])
+
+
+def test_pipeline_stages_one_by_one_equal_brute_force(spark, tmp_path):
+    """Each stage on odd rows too: null and repeated ids, null, empty and long texts, columns with clashing names."""
+    import corpus_pipeline
+    import numpy as np
+    import public_tokenizers
+
+    from panelkit.llm import quality, word_bpe
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    words = " ".join(f"w{i}" for i in range(60))
+    odd = [(None, words, "a"), (None, words + " x", "b"), (None, None, "c"), (None, "", "d"), (7, "Mr Abel bob@x.org " + " ".join(f"u{i}" for i in range(40)), "e"), (7, "other text of the same id", "f"), (10**9, "long text of many words " * 30_000, "g"), (10**9 + 1, words, "h")]
+    more = spark.createDataFrame([(i, t, "en", "s", n, 1) for i, t, n in odd], "doc_id long, text string, lang string, source string, none string, label int").withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.unionByName(more, allowMissingColumns=True)
+    quality_stage, near_stage, private_stage, pack_stage = (stage for _, stage in corpus_pipeline.STAGES)
+    good = quality_stage(spark, docs, SF)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    x = lambda rows: np.stack([quality.statistics(r["text"]) for r in rows])
+    all_rows, known = docs.collect(), {r["doc_id"]: r["y"] for r in quality.chosen(labels).collect()}
+    fitted = sorted({r["doc_id"]: (tuple(quality.statistics(r["text"])), r) for r in sorted(all_rows, key=lambda r: tuple(-quality.statistics(r["text"]))) if r["doc_id"] in known}.items())
+    model = quality.fit(np.array([v[0] for _, v in fitted], np.float32), np.array([known[i] for i, _ in fitted], float))
+    keep = model.score(x(all_rows)) >= 0.3
+    key = lambda r: (r["doc_id"], r["text"], r["none"], r["label"])
+    got = good.collect()
+    assert good.columns == docs.columns and Counter(map(key, got)) == Counter(key(r) for r, k in zip(all_rows, keep) if k)
+    # The later stages are held against brute force on all rows, whatever the classifier keeps.
+    one = near_stage(spark, docs, SF).collect()
+    names = Counter(r["none"] for r in one if r["none"])
+    assert all(names[n] == 1 for n in "efgh") and not names["a"] and not names["b"] and names["c"] + names["d"] <= 1
+    clean = private_stage(spark, docs, SF)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    text = {r["none"]: r for r in clean.where("none is not null").collect()}
+    assert "Abel" not in text["e"]["text"] and "bob@x" not in text["e"]["text"] and text["e"]["n_chars"] == len(text["e"]["text"])
+    assert all(text[n]["text"] == t for _, t, n in odd if n != "e")
+    bpe, packed = word_bpe.codec(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for r in pack_stage(spark, docs, SF).collect():
+        packed[r["doc_id"]] += r["length"]
+    want = Counter()
+    for r in all_rows:
+        want[r["doc_id"]] += len(bpe.encode(r["text"] or "")) // 4 + 1
+    assert packed == want
+    empty = docs.limit(0)
+    assert all(stage(spark, empty, SF).count() == 0 for _, stage in corpus_pipeline.STAGES)
+
+
 def test_pipeline_stages_on_what_the_one_before_kept(spark):
     import corpus_pipeline
 
