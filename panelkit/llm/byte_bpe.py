@@ -9,7 +9,9 @@ each block from its known first state. No regular expression is run. Slices betw
 boundaries are looked up in a bounded cache, and only new slices are merged.
 
 Defined cases: null counts as empty; empty gives no ids; any valid text decodes to its own
-bytes; a batch is worked on in pieces of bounded length, but a text is never cut.
+bytes; repeated rows are encoded each; other columns stay as they are. A batch is worked on in runs of bounded
+length. A longer text is encoded in parts that begin with white space behind other text: a slice always begins
+there, whatever surrounds it. Only a text without such a place in reach makes longer parts.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import re
 import sys
 from collections.abc import Iterator
 
@@ -166,8 +169,13 @@ class ByteBPE:
             self.bytes_of[rank] = token
         self.cache: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str], most: int = 1 << 20) -> list[np.ndarray]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
+        if len(texts) == 1 and len(texts[0]) > most:
+            return [np.concatenate([self._encode([part])[0] for part in parts(texts[0], most)])]
+        return self._encode(texts)
+
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
         raw = "".join(texts)
         points = np.frombuffer(raw.encode("utf-32-le", "surrogatepass"), np.uint32)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
@@ -201,6 +209,19 @@ def codec(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+_TURN = re.compile(rf"(?<=[^{WHITE_SPACE}])(?=[{WHITE_SPACE}])")
+
+
+def parts(text: str, most: int) -> Iterator[str]:
+    """A long text in parts of ``most`` code points or a little more, cut before white space only."""
+    at = 0
+    while at < len(text):
+        turn = _TURN.search(text, at + most)
+        end = turn.start() if turn else len(text)
+        yield text[at:end]
+        at = end
+
+
 def portions(texts: list[str], most: int = 1 << 20) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` code points; a longer text stands alone."""
     run, size = [], 0
