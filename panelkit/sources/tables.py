@@ -16,14 +16,17 @@ class SourceFailure(Exception):
 
 
 def sha256_of(spark: SparkSession, path: str) -> str:
-    """The digest of a file's bytes, by Spark's own reader."""
+    """The digest of a file's bytes, read as a stream from whatever store it lies in: no size is too large."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
     try:
-        rows = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("h")).collect()
+        stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+        try:
+            return jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
     except Exception as e:
         raise SourceFailure(f"{path}: cannot be read") from e
-    if len(rows) != 1:
-        raise SourceFailure(f"{path}: {len(rows)} files")
-    return rows[0]["h"]
 
 
 def read_csv(spark: SparkSession, path: str, sha256: str | None = None, trim: bool = False) -> DataFrame:
@@ -56,7 +59,7 @@ def write_table(df: DataFrame, path: str, sort_by: list[str] = (), fmt: str = "p
     df = df.select(*sorted(df.columns))
     df = df.orderBy(*keys) if keys else df
     writer = (df.coalesce(1) if single_file else df).write.mode("errorifexists")
-    writer.csv(path, header=True, lineSep="\n") if fmt == "csv" else writer.parquet(path)
+    writer.csv(path, header=True, lineSep="\n", escape='"') if fmt == "csv" else writer.parquet(path)
 
 
 def write_log(log: dict, path: str) -> None:
