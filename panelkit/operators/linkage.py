@@ -86,7 +86,9 @@ def groups(records: DataFrame) -> DataFrame:
     differ, an author conflict; then several DOIs, then titles or years are conflicts; what is left is
     the same by a source's id or by its normalized identity.
     """
-    records = records.withColumn("title_key", short_key(F.col("title_key")))
+    # Read again and again: the keys alone are settled, without the display texts.
+    keys = ("record_id", "canonical_doi", "author_family_key", "year", "source", "source_id")
+    records = settled(records.select(*keys, short_key(F.col("title_key")).alias("title_key")))
     labelled = attach(records, components(records, edges(records)), "record_id", ["source"])
     # Lists of a group are as long as its members: a work's copies in a result set, not a corpus.
     found = labelled.groupBy("label").agg(
