@@ -1,4 +1,10 @@
-"""The corpus pipeline: classify, drop near-duplicates, replace personal data, pack."""
+"""The corpus pipeline: classify, drop near-duplicates, replace personal data, pack.
+
+Defined cases: null and empty texts are scored like any other, and of all that stay one remains; null and
+repeated ids with different texts are different documents; an empty table gives no rows; more columns of the
+documents, whatever their names, are kept up to packing, which returns its own. A stage's folder goes once the
+next one is written; the last one's is what the result reads.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkit.llm import packing, quality, similar, surrogates
-from panelkit.llm.common import prepare, read
+from panelkit.llm.common import prepare, read, remove
 
 #: Trees and a tokenizer are not SQL: the stages are tested against brute force.
 ORACLE_SQL = None
@@ -48,8 +54,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``, each written as Parquet and read again."""
     prepare(spark)
     folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"pipeline-{uuid.uuid4().hex}")
-    docs = read(spark, sf_dir, "documents")
+    docs, last = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if last:
+            remove(spark, last)
+        last = f"{folder}/{name}"
     return docs

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.operators.lineage import attach, checkpoint_folder
 
-__all__ = ["attach", "cut", "gapless_rank", "min_label_components", "prepare", "read", "utf8_crc32"]
+__all__ = ["attach", "cut", "gapless_rank", "min_label_components", "prepare", "read", "remove", "utf8_crc32"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -31,6 +31,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, in whatever store it lies."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def utf8_crc32(text: Column) -> Column:
     """CRC32 (unsigned) of a text's UTF-8 bytes; null counts as empty."""
     return F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8"))

@@ -6,7 +6,8 @@ histograms, on a bounded sample of labelled rows, and flattened into arrays (fea
 that are walked for a whole batch of documents at once.
 
 Defined cases: a null or empty text has all statistics 0 and still gets a score; without
-any labelled row, or with labels of one kind only, every score is that share (0.5 without rows).
+any labelled row, or with labels of one kind only, every score is that share (0.5 without rows); a null id
+gets a score and is never learnt from; repeated ids are scored each; other columns are not read.
 """
 
 from __future__ import annotations
@@ -141,12 +142,18 @@ def held_out(doc_id):
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def train(features: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Fit on labelled rows outside the held-out fold, at most ``sample`` of them."""
+def chosen(labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(doc_id, y) of the rows that are fitted on: outside the held-out fold, at most ``sample``."""
     known = labels.where("quality in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    rows = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    found = features.join(rows, "doc_id").orderBy("doc_id").select("x", "y").toArrow()
+    return known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def train(features: DataFrame, rows: DataFrame) -> Trees:
+    """Fit on the ``chosen`` rows' statistics; an id that stands for several documents counts once."""
+    # The chosen rows are bounded by their parameter, so is one row an id of them.
+    found = features.join(F.broadcast(rows), "doc_id").groupBy("doc_id").agg(F.min("x").alias("x"), F.min("y").alias("y"))
+    found = found.orderBy("doc_id").select("x", "y").toArrow()
     x = found["x"].combine_chunks()
     x = (x.flatten() if len(x) else pa.array([], pa.float32())).to_numpy().reshape(-1, FEATURES)
     return fit(x, found["y"].to_numpy().astype(np.float64))
@@ -169,12 +176,13 @@ def score(features: DataFrame, model: Trees, threshold: float = THRESHOLD) -> Da
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """Scores of all documents by a model learnt from ``labels``."""
     features = cut(featurise(docs))
-    return score(features, train(features, labels, sample), threshold)
+    return score(features, train(features, chosen(labels, sample)), threshold)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier doesn't reject, with their columns."""
-    model = train(cut(featurise(docs)), labels, sample)
+    """The documents that the classifier doesn't reject, with their columns. Training looks at the chosen rows' documents only."""
+    rows = cut(chosen(labels, sample))
+    model = train(featurise(docs.join(F.broadcast(rows.select(F.col("doc_id").alias("_chosen"))), F.col("doc_id").cast("long") == F.col("_chosen"), "left_semi")), rows)
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

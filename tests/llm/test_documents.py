@@ -193,10 +193,23 @@ def test_byte_bpe_equals_the_library(docs):
             assert bpe.decode(ids) == text.encode()
 
 
+def test_long_texts_are_encoded_in_parts_as_a_whole():
+    bpe, r = byte_bpe.codec(public_tokenizers.path("byte_bpe_50k.tiktoken")), random.Random(5)
+    for _ in range(300):
+        text = "".join(r.choice(ALPHABET) for _ in range(r.randint(60, 200)))
+        assert bpe.encode([text], most=r.randint(1, 30))[0].tolist() == bpe.encode([text])[0].tolist()
+        assert "".join(byte_bpe.parts(text, 7)) == text
+    assert max(map(len, byte_bpe.parts("word " * 1000, 50))) <= 60
+
+
 def test_byte_bpe_digests_and_round_trip(odd):
+    import tiktoken
+
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    got = Counter((r["doc_id"], r["decoded_sha256"]) for r in byte_bpe.digests(odd, path).collect())
-    assert got == Counter((i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in ODD)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.codec(path).ranks, special_tokens={})
+    ids = {t: np.array(library.encode_ordinary(t or ""), "<u4") for _, t in ODD}
+    got = Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in byte_bpe.digests(odd, path).collect())
+    assert got == Counter((i, len(ids[t]), hashlib.sha256(ids[t].tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in ODD)
     back = byte_bpe.decode(byte_bpe.encode(odd, path), path, out="again")
     assert all(r["again"] == (r["text"] or "") and r["slot"] == "x" for r in back.collect())
 
@@ -308,6 +321,14 @@ def test_quality_odd_rows(odd, spark):
     assert quality.keep_good(odd, none).columns == odd.columns
 
 
+def test_quality_counts_a_repeated_id_once_and_keeps_what_is_scored_well(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    often = d.unionByName(d.where("doc_id = 3").withColumn("n_chars", F.explode(F.array_repeat("n_chars", 50))))
+    scored = {(r["doc_id"]): r["predicted"] for r in quality.classify(d, labels).collect()}
+    kept = Counter(r["doc_id"] for r in quality.keep_good(often, labels).collect())
+    assert kept == Counter({i: 51 if i == 3 else 1 for i, p in scored.items() if p})
+
+
 def test_flat_trees_equal_a_node_by_node_walk():
     r = np.random.default_rng(6)
     x = r.random((400, 5)).astype(np.float32)
