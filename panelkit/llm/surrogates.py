@@ -338,7 +338,7 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
     packed = docs.select(row.alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     hit = holds_entity(text)
     dirty = packed.where(hit).withColumn("found", F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)))
-    dirty = dirty.withColumn("words", _words(F.filter("found", lambda s: kind(s) == "name")))
+    dirty = dirty.withColumn("words", F.array_distinct(_words(F.filter("found", lambda s: kind(s) == "name"))))
     # Names may stand again without an honorific: a text that has some is read once more, by its own pattern.
     lone = lambda w: F.concat(F.lit(f"(?<!{_LETTER})(?:"), w, F.lit(f")(?!{_LETTER})"))
     bare = F.array_distinct(F.filter(F.transform("words", lambda x: x["surface"]), lambda w: (F.length(w) > 1) & ~F.rlike(text, lone(F.lower(w)))))
