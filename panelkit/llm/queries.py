@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import block_max, byte_bpe, chats, licences, multi_index, packing, quality, sharding, simhash, surrogates, token_counts
+from . import block_max, byte_bpe, chats, licences, multi_index, packing, quality, sharding, simhash, spelling, surrogates, token_counts
 from .common import read
 
 LLM_QUERIES, LLM_ORACLE = {}, {}
@@ -105,3 +105,8 @@ def op10_byte_bpe(spark, sf_dir):
 @_query
 def op12_token_counts(spark, sf_dir):
     return token_counts.report(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@_query
+def op13_spelling(spark, sf_dir):
+    return spelling.variants(read(spark, sf_dir, "documents"))
