@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from . import block_max, byte_bpe, chats, licences, multi_index, packing, quality, sharding, simhash, spelling, surrogates, token_counts
+from . import block_max, byte_bpe, chats, licences, multi_index, packing, quality, repair, sharding, simhash, spelling, surrogates, token_counts
 from .common import read
 
 LLM_QUERIES, LLM_ORACLE = {}, {}
@@ -102,6 +102,11 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+@_query
+def op11_repair(spark, sf_dir):
+    return repair.repair(repair.damaged(read(spark, sf_dir, "conversations")), "dropped")
+
+
 @_query
 def op12_token_counts(spark, sf_dir):
     return token_counts.report(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
