@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from panelkit.functions import text
 from panelkit.functions.nulls import compare
 from panelkit.operators import artifacts, bundle, linkage, literature, stats
-from panelkit.operators.construct import construct, predicate, shifted
+from panelkit.operators.construct import predicate, shifted
 from panelkit.operators.guards import duplicate_rows
-from panelkit.operators.harmonize import coerced, harmonize, merge, unknown_codes
+from panelkit.operators.harmonize import coerced, merge, unknown_codes
 from panelkit.operators.validate import validate
+from panelkit.plans.staged import run_staged
 from panelkit.queries import query
 
 
@@ -21,12 +22,12 @@ def _t(spark, sf, name):
 def _run(plan_ops, df, **frames):
     """A harmonize plan over a frame."""
     inputs = [{"input_id": "main"}, *({"input_id": k} for k in frames)]
-    return harmonize({"inputs": inputs, "operations": plan_ops}, {"main": df, **frames})[0]
+    return run_staged({"inputs": inputs, "operations": plan_ops}, {"main": df, **frames})[0]
 
 
 def _made(ops, df, panel=None, **more):
     plan = {"operations": ops, **({"panel_by": panel[0], "time_by": panel[1]} if panel else {}), **more}
-    return construct(plan, df)[0]
+    return run_staged(plan, df)[0]
 
 
 # ---- flagship ---------------------------------------------------------------------------
@@ -202,7 +203,7 @@ c AS (SELECT CAST(count_if(pos < 3) AS BIGINT) AS structural, CAST(count_if(v IS
 SELECT structural, missing, greatest(missing - structural, 0) AS propagated FROM c""")
 def c_missing_counts(spark, sf):
     plan = {"operations": [{"kind": "lag", "source": "x", "target": "v", "periods": 3}], "panel_by": "user_id", "time_by": "ts"}
-    log = construct(plan, _events(spark, sf))[1][0]
+    log = run_staged(plan, _events(spark, sf))[1][0]
     return spark.createDataFrame([(log["structural_missing"], log["missing"], log["propagated_missing"])], "structural long, missing long, propagated long")
 
 

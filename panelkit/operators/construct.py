@@ -55,11 +55,15 @@ def _panel_op(run: Run, op: dict, plan: dict, at: int, entry: dict, checked: set
     if gone:
         raise PlanFailure(at, kind, f"missing columns {gone}")
     if (panel_by, time_by) not in checked:
-        run.flush()
-        if n := duplicate_rows(run.df, [panel_by, time_by]):
-            raise PlanFailure(at, kind, f"({panel_by}, {time_by}) repeats", n)
-        if not checked:
-            run.df = settled(run.df)  # what follows reads the frame again and again
+        if run.mode == "eager":
+            run.flush()
+            if n := duplicate_rows(run.df, [panel_by, time_by]):
+                raise PlanFailure(at, kind, f"({panel_by}, {time_by}) repeats", n)
+            if not checked:
+                run.df = settled(run.df)  # what follows reads the frame again and again
+        else:  # in the window of the op itself: a repeated key stands next to its like
+            order = panel_window(panel_by, time_by)
+            run.guard(at, kind, f"({panel_by}, {time_by}) repeats", F.lag(time_by).over(order).eqNullSafe(F.col(time_by)) & (F.row_number().over(order) > 1))
         checked.add((panel_by, time_by))
     near = shifted(op["source"], -k if kind == "lead" else k, panel_by, time_by)
     run.df = run.df.withColumn("_near", near)
@@ -106,6 +110,13 @@ def apply(run: Run, op: dict, plan: dict, at: int, checked: set) -> None:
     run.df = run.df.withColumn(target, value)
 
 
+def propagated(log: list[dict]) -> None:
+    """Missing values of panel ops that the panel's ends don't account for."""
+    for entry in log:
+        if entry.pop("_total", None):
+            entry["propagated_missing"] = max(0, entry["missing"] - entry["structural_missing"])
+
+
 def construct(plan: dict, df: DataFrame) -> tuple[DataFrame, list[dict]]:
     """The constructed frame and the log. Raises PlanFailure or ValueError."""
     if errors := construct_errors(plan, df.columns):
@@ -115,7 +126,5 @@ def construct(plan: dict, df: DataFrame) -> tuple[DataFrame, list[dict]]:
         for at, op in enumerate(plan["operations"]):
             apply(run, op, plan, at, checked)
         run.flush()
-    for entry in run.log:
-        if entry.pop("_total", None):
-            entry["propagated_missing"] = max(0, entry["missing"] - entry["structural_missing"])
+    propagated(run.log)
     return finish(run.df, plan.get("output", {}).get("sort_by", [])), run.log

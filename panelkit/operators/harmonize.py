@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.nulls import number
@@ -66,10 +66,15 @@ def _merge_op(run: Run, frames: dict[str, DataFrame], op: dict, at: int) -> dict
     if gone:
         raise PlanFailure(at, "merge", f"missing key columns {gone}")
     one_left, one_right = op["cardinality"][0] == "1", op["cardinality"][-1] == "1"
+    left, how = run.df, op["how"]
+    if run.mode == "silent":
+        run.df = merge(left, right, lk, rk, how).drop("_matched")
+        return {}
+    if run.mode == "observed":
+        return _observed_merge(run, right, lk, rk, op, at)
     for one, df, keys, side in ((one_left, run.df, lk, "left"), (one_right, right, rk, "right")):
         if one and (n := duplicate_rows(df, keys)):
             raise PlanFailure(at, "merge", f"{side} keys repeat under {op['cardinality']}", n)
-    left, how = run.df, op["how"]
     # Joined once, for the counts and for what follows.
     joined = settled(merge(left, right, lk, rk, how))
     found = joined.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum((~F.col("_matched")).cast("long")), F.lit(0)).alias("unmatched")).first()
@@ -80,8 +85,43 @@ def _merge_op(run: Run, frames: dict[str, DataFrame], op: dict, at: int) -> dict
     if lost and op["unmatched"] == "fail":
         raise PlanFailure(at, "merge", "unmatched rows", lost)
     run.df = joined.drop("_matched")
-    facts = {"rows_before": before, "rows_after": found["rows"], "matched": found["rows"] - found["unmatched"], "unmatched": found["unmatched"], "cardinality": op["cardinality"], "how": op["how"]}
-    return facts | ({"warning": "unmatched rows"} if lost else {}) | ({"row_count_effect": found["rows"] - before} if found["rows"] != before else {})
+    return _merge_facts(op, before, found["rows"], lost)
+
+
+def _merge_facts(op: dict, before: int, after: int, lost: int) -> dict:
+    facts = {"rows_before": before, "rows_after": after, "matched": after - lost, "unmatched": lost, "cardinality": op["cardinality"], "how": op["how"]}
+    return facts | ({"warning": "unmatched rows"} if lost else {}) | ({"row_count_effect": after - before} if after != before else {})
+
+
+def _observed_merge(run: Run, right: DataFrame, lk: list[str], rk: list[str], op: dict, at: int) -> dict:
+    """The same counts on the way: keys are numbered by windows that share the join's partitioning."""
+    counts: dict = {}
+    repeats = lambda keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(0))) > 1
+    if op["cardinality"][-1] == "1":
+        side = Run(right, mode="observed")
+        side.guard(at, "merge", f"right keys repeat under {op['cardinality']}", repeats(rk))
+        side.flush()
+        right = side.df
+        run.points += side.points
+    if op["cardinality"][0] == "1":
+        run.guard(at, "merge", f"left keys repeat under {op['cardinality']}", repeats(lk))
+    run.count(counts, "before", F.lit(True))
+    run.flush()
+    run.df = merge(run.df, right, lk, rk, op["how"])
+    if op["unmatched"] == "fail":
+        run.guard(at, "merge", "unmatched rows", ~F.col("_matched"))
+    run.count(counts, "after", F.lit(True))
+    run.count(counts, "lost", ~F.col("_matched"))
+    run.df = run.df.drop("_matched")
+    entry = run.log[-1]
+    run.then.append(lambda: entry.update(_merge_facts(op, counts["before"], counts["after"], counts["lost"])))
+    return {}
+
+
+def key_collisions(df: DataFrame, op: dict) -> int:
+    """Normalized keys that several originals share."""
+    c = F.col(op["column"])
+    return df.select(c.alias("o"), normalize_key(c.cast("string"), op["rules"], op.get("width")).alias("n")).where("n is not null").distinct().groupBy("n").count().where("count > 1").count()
 
 
 def apply(run: Run, frames: dict[str, DataFrame], op: dict, at: int) -> None:
@@ -108,8 +148,7 @@ def apply(run: Run, frames: dict[str, DataFrame], op: dict, at: int) -> None:
     elif kind == "normalize_key":
         run.flush()
         c = normalize_key(F.col(op["column"]).cast("string"), op["rules"], op.get("width"))
-        merged = run.df.select(F.col(op["column"]).alias("o"), c.alias("n")).where("n is not null").distinct().groupBy("n").count().where("count > 1").count()
-        if merged:
+        if run.mode == "eager" and (merged := key_collisions(run.df, op)):
             raise PlanFailure(at, kind, "normalized keys collide", merged)
         run.df = run.df.withColumn(op["column"], c)
     elif kind == "map_code":
@@ -134,6 +173,14 @@ def finish(df: DataFrame, sort_by: list[str] = ()) -> DataFrame:
     return df.orderBy(*keys) if keys else df
 
 
+def integral(df: DataFrame, log: list[dict]) -> DataFrame:
+    """Columns that were made integers are integral where every value is."""
+    for entry in log:
+        if entry.get("fractions") == 0 and entry["column"] in df.columns and dict(df.dtypes)[entry["column"]] == "double":
+            df = df.withColumn(entry["column"], F.col(entry["column"]).cast("long"))
+    return df
+
+
 def harmonize(plan: dict, frames: dict[str, DataFrame]) -> tuple[DataFrame, list[dict]]:
     """The harmonized frame and the log. The first input is the working frame.
 
@@ -146,7 +193,4 @@ def harmonize(plan: dict, frames: dict[str, DataFrame]) -> tuple[DataFrame, list
         for at, op in enumerate(plan["operations"]):
             apply(run, frames, op, at)
         run.flush()
-    for entry in run.log:  # integral where every value is
-        if entry.get("fractions") == 0 and entry["column"] in run.df.columns and dict(run.df.dtypes)[entry["column"]] == "double":
-            run.df = run.df.withColumn(entry["column"], F.col(entry["column"]).cast("long"))
-    return finish(run.df, plan.get("output", {}).get("sort_by", [])), run.log
+    return finish(integral(run.df, run.log), plan.get("output", {}).get("sort_by", [])), run.log

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -10,19 +11,25 @@ from panelkit.operators.construct import construct
 from panelkit.operators.guards import PlanFailure
 from panelkit.operators.harmonize import harmonize
 from panelkit.plans.canonical import content_hash
+from panelkit.plans.staged import publish, remove, staged
 from panelkit.sources.tables import write_log, write_table
 
 
 def execute(plan: dict, frames: dict[str, DataFrame] | DataFrame, out_path: str | None = None, log_path: str | None = None, fmt: str = "parquet") -> tuple[DataFrame | None, dict]:
     """Run a harmonize plan (a dict of frames) or a construct plan (a frame). The log is written either way.
 
-    A plan that fails has no output: nothing is written but the log, which names the op and the reason.
+    A plan that fails has no output: nothing is written but the log, which names the op and the reason. With
+    ``out_path`` the guards are counted while the output is written, see ``plans/staged.py``; a sorted output, a CSV and
+    columns that turn out integral are written from the staged rows.
     """
     many = isinstance(frames, dict)
     log = {"plan_id": plan.get("plan_id"), "plan_sha256": content_hash(plan), "operations": [], "warnings": [], "errors": [], "overall": "completed"}
-    made = None
+    made, staging = None, f"{out_path.rstrip('/')}.staging-{uuid.uuid4().hex}" if out_path is not None else None
     try:
-        made, log["operations"] = harmonize(plan, frames) if many else construct(plan, frames)
+        if staging is None:
+            made, log["operations"] = harmonize(plan, frames) if many else construct(plan, frames)
+        else:
+            made, log["operations"] = staged(plan, frames, staging)
     except PlanFailure as e:
         log |= {"operations": e.log, "errors": [{"op": e.op, "kind": e.kind, "reason": e.reason, "count": e.count}], "overall": "failed"}
     except ValueError as e:
@@ -31,8 +38,16 @@ def execute(plan: dict, frames: dict[str, DataFrame] | DataFrame, out_path: str
     log["warnings"] = [{"op": x["op"], "warning": x["warning"]} for x in log["operations"] if "warning" in x]
     if made is not None:
         log["cols_after"] = len(made.columns)
-        if out_path is not None:
-            write_table(made, out_path, plan.get("output", {}).get("sort_by", []), fmt)
+        if staging is not None:
+            spark, sort_by = made.sparkSession, [k for k in plan.get("output", {}).get("sort_by", []) if k in made.columns]
+            if sort_by or fmt != "parquet" or made.dtypes != spark.read.parquet(staging).dtypes:
+                try:
+                    write_table(made, out_path, sort_by, fmt)
+                finally:
+                    remove(spark, staging)
+            else:
+                publish(spark, staging, out_path)
+            made = spark.read.parquet(out_path) if fmt == "parquet" else spark.read.csv(out_path, header=True, schema=made.schema)
     if log_path is not None:
         write_log(log, log_path)
     return made, log
