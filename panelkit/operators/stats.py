@@ -28,23 +28,84 @@ def is_balanced(df: DataFrame, unit: str, period: str) -> bool:
     return r["n"] == r["c"] == r["u"] * r["p"]
 
 
-def demean_alternating(df: DataFrame, unit: str, period: str, columns: list[str], tolerance: float = 1e-12, rounds: int = 500) -> DataFrame:
-    """Unit and period means taken off in turn, to a fixpoint: for unbalanced panels.
+#: Periods up to which absorption solves their system at once; conjugate gradients beyond.
+DENSE = 512
 
-    The lineage is cut with checkpoint() every few rounds. Raises RuntimeError without a fixpoint.
+
+def absorb_two_way(df: DataFrame, unit: str, period: str, columns: list[str], dense: int | None = None) -> DataFrame:
+    """The residuals of columns on unit and period effects: exact for panels with gaps.
+
+    Units are eliminated, which leaves a system as large as there are periods: row counts of the periods less what the
+    units' means share. It is summed over units, each a pair of its periods at a time, and solved on the driver; with
+    more than ``dense`` periods it is never formed, but applied in turns (``_conjugate``). Where the panel falls
+    apart, the effects are not unique but the residuals are. The rows are written once and joined to unit means twice.
+    """
+    data = settled(df.select(unit, period, *columns))
+    mean = lambda of: of.groupBy(F.col(unit).alias("_u")).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
+
+    def within(of: DataFrame) -> DataFrame:
+        means = mean(of)
+        return of.join(means, of[unit] == means["_u"]).select(unit, period, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
+
+    sums = within(data).groupBy(period).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in columns]).orderBy(period).collect()
+    at = {r[period]: i for i, r in enumerate(sums)}
+    right = np.array([[r[c] for c in columns] for r in sums], float).reshape(len(sums), len(columns))
+    n = np.array([r["_n"] for r in sums], float)
+    cells = data.groupBy(unit, period).agg(F.count(F.lit(1)).alias("_n"))
+    if len(sums) <= (DENSE if dense is None else dense):
+        lists = cells.groupBy(unit).agg(F.collect_list(F.struct(F.col(period).alias("t"), F.col("_n").alias("n"))).alias("_v"), F.sum("_n").alias("_m"))
+        pairs = lists.select("_v", "_m", F.explode("_v").alias("_a")).select("_m", "_a", F.explode("_v").alias("_b")).where("_a.t <= _b.t")
+        system = np.diag(n)
+        for r in pairs.groupBy(F.col("_a.t").alias("a"), F.col("_b.t").alias("b")).agg(F.sum(F.col("_a.n") * F.col("_b.n") / F.col("_m")).alias("s")).collect():
+            system[at[r["a"]], at[r["b"]]] -= r["s"]
+            if r["a"] != r["b"]:
+                system[at[r["b"]], at[r["a"]]] -= r["s"]
+        effects = np.linalg.lstsq(system, right, rcond=1e-12)[0]
+    else:
+        effects = _conjugate(settled(cells), unit, period, list(at), n, right)
+    table = df.sparkSession.createDataFrame([(t, *map(float, effects[i])) for t, i in at.items()], [period, *[f"_e_{c}" for c in columns]]) if at else None
+    if table is None:
+        return data
+    table = table.select(F.col(period).cast(data.schema[period].dataType).alias("_t"), *[f"_e_{c}" for c in columns])
+    return within(data.join(table, data[period] == table["_t"]).select(unit, period, *[(F.col(c) - F.col(f"_e_{c}")).alias(c) for c in columns]))
+
+
+def _conjugate(cells: DataFrame, unit: str, period: str, periods: list, n: np.ndarray, right: np.ndarray, rounds: int = 2000) -> np.ndarray:
+    """Conjugate gradients on the periods' system, scaled by its diagonal; a product is two aggregations of the cells.
+
+    Vectors are as long as there are periods, and on the driver. Raises RuntimeError without convergence.
     """
-    scale = df.agg(*[F.max(F.abs(c)).alias(c) for c in columns]).first()
-    size = max([1e-300, *(abs(scale[c] or 0.0) for c in columns)])
-    for turn in range(rounds):
-        for key in (unit, period):
-            means = df.groupBy(F.col(key).alias("_k")).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-            df = df.join(means, df[key] == means["_k"]).select(unit, period, *[(F.col(c) - F.col(f"_m_{c}")).alias(c) for c in columns])
-        if turn % 3 == 2:
-            df = settled(df)
-            left = df.groupBy(unit).agg(*[F.avg(c).alias(c) for c in columns]).agg(*[F.max(F.abs(c)).alias(c) for c in columns]).first()
-            if max(abs(left[c] or 0.0) for c in columns) <= tolerance * size:
-                return df
-    raise RuntimeError("demeaning did not settle")
+    spark, k = cells.sparkSession, right.shape[1]
+    kind = cells.schema[period].dataType
+
+    def applied(v: np.ndarray) -> np.ndarray:
+        held = spark.createDataFrame([(t, *map(float, v[i])) for i, t in enumerate(periods)], [period, *[f"_v{j}" for j in range(k)]])
+        held = held.select(F.col(period).cast(kind).alias("_t"), *[f"_v{j}" for j in range(k)])
+        known = cells.join(held, cells[period] == held["_t"])
+        shares = known.groupBy(F.col(unit).alias("_u")).agg(*[(F.sum(F.col("_n") * F.col(f"_v{j}")) / F.sum("_n")).alias(f"_s{j}") for j in range(k)])
+        back = cells.join(shares, cells[unit] == shares["_u"]).groupBy(period).agg(*[F.sum(F.col("_n") * F.col(f"_s{j}")).alias(f"_s{j}") for j in range(k)]).collect()
+        place = {t: i for i, t in enumerate(periods)}
+        out = n[:, None] * v
+        for r in back:
+            out[place[r[period]]] -= [r[f"_s{j}"] for j in range(k)]
+        return out
+
+    x, r = np.zeros_like(right), right.copy()
+    z = r / n[:, None]
+    p, rz = z.copy(), (r * z).sum(0)
+    goal = 1e-26 * np.maximum(rz, 1e-300)
+    for _ in range(rounds):
+        if (rz <= goal).all():
+            return x
+        q = applied(p)
+        down = (p * q).sum(0)
+        a = np.where((down > 0) & (rz > goal), rz / np.where(down > 0, down, 1), 0)
+        x, r = x + a * p, r - a * q
+        z = r / n[:, None]
+        new = (r * z).sum(0)
+        p = z + np.where(rz > 0, new / np.where(rz > 0, rz, 1), 0) * p
+        rz = new
+    raise RuntimeError("conjugate gradients did not settle")
 
 
 def cross_products(df: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
@@ -93,7 +154,7 @@ def panel_fe(df: DataFrame, y: str, x: list[str], unit: str, period: str, covari
     data = df.select(F.col(unit).alias("_unit"), F.col(period).alias("_period"), *[F.col(c).cast("double").alias(c) for c in (y, *x)]).dropna()
     shape = data.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("_unit").alias("u"), F.countDistinct("_period").alias("p")).first()
     n, p = shape["n"], len(x)
-    take_off = demean_two_way if is_balanced(data, "_unit", "_period") else demean_alternating
+    take_off = demean_two_way if is_balanced(data, "_unit", "_period") else absorb_two_way
     within = take_off(data, "_unit", "_period", [y, *x]).persist()
     try:
         xx, xy = cross_products(within, x, x), cross_products(within, x, [y])[:, 0]
@@ -118,23 +179,31 @@ def panel_fe(df: DataFrame, y: str, x: list[str], unit: str, period: str, covari
 def iv_2sls(df: DataFrame, y: str, exogenous: list[str], endogenous: str, instruments: list[str]) -> Estimate:
     """2SLS with an intercept, homoskedastic, with the weak-instrument diagnostics.
 
-    One pass of cross-products; inference is normal. Over-identification is not applicable
+    One pass of centred cross-products; inference is normal. Over-identification is not applicable
     when there are as many instruments as endogenous variables.
     """
-    data = df.select(*[F.col(c).cast("double").alias(c) for c in {y, *exogenous, endogenous, *instruments}]).dropna().withColumn("_one", F.lit(1.0))
-    w, xs = ["_one", *exogenous], ["_one", *exogenous, endogenous]
-    z, everything = [*w, *instruments], ["_one", *exogenous, *instruments, endogenous, y]
-    m, at = cross_products(data, everything, everything), {c: i for i, c in enumerate(everything)}
+    names = list(dict.fromkeys([*exogenous, *instruments, endogenous, y]))
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in names]).dropna()
+    # Centred products, merged without cancellation however far the means lie from zero; the intercept is absorbed.
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    row = data.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(names)], *[F.covar_pop(names[i], names[j]).alias(f"s{i}_{j}") for i, j in pairs]).first()
+    n, at = row["n"], {c: i for i, c in enumerate(names)}
+    m = np.array([[row[f"s{min(i, j)}_{max(i, j)}"] * n for j in range(len(names))] for i in range(len(names))], float)
+    mean = np.array([row[f"m{i}"] for i in range(len(names))], float)
     pick = lambda a, b: m[np.ix_([at[c] for c in a], [at[c] for c in b])]
-    n, k, q = int(round(m[0, 0])), len(z), len(instruments)
+    w, xs, z = list(exogenous), [*exogenous, endogenous], [*exogenous, *instruments]
+    k, q = len(z) + 1, len(instruments)
     zx, zz, zy = pick(z, xs), pick(z, z), pick(z, [y])
     proj = np.linalg.solve(zz, zx)
     a = zx.T @ proj
     beta = np.linalg.solve(a, proj.T @ zy)[:, 0]
-    yy, xy, xx = pick([y], [y])[0, 0], pick(xs, [y])[:, 0], pick(xs, xs)
-    sigma = (yy - 2 * beta @ xy + beta @ xx @ beta) / n
+    sigma = (m[at[y], at[y]] - 2 * beta @ pick(xs, [y])[:, 0] + beta @ pick(xs, xs) @ beta) / n
+    cov, centre = sigma * np.linalg.inv(a), mean[[at[c] for c in xs]]
+    intercept, spread = mean[at[y]] - beta @ centre, sigma / n + centre @ cov @ centre
 
     def ssr(target: str, on: list[str]) -> float:
+        if not on:
+            return float(m[at[target], at[target]])
         b = np.linalg.solve(pick(on, on), pick(on, [target]))[:, 0]
         return float(m[at[target], at[target]] - b @ pick(on, [target])[:, 0])
 
@@ -151,7 +220,7 @@ def iv_2sls(df: DataFrame, y: str, exogenous: list[str], endogenous: str, instru
         ze = zy[:, 0] - zx @ beta
         facts["sargan"] = float(ze @ np.linalg.solve(zz, ze) / sigma)
         facts["sargan_df"] = q - 1
-    return Estimate(xs, beta, np.sqrt(np.diag(sigma * np.linalg.inv(a))), n, n, facts)
+    return Estimate(["_one", *xs], np.array([intercept, *beta]), np.sqrt(np.array([spread, *np.diag(cov)])), n, n, facts)
 
 
 def _beta_cf(a: float, b: float, x: float) -> float:

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelkit.engine_queries import _SUPPLIER_YEAR, _t, supplier_year
+from panelkit.operators import stats
+from panelkit.operators.asof import asof_join
 from panelkit.operators.did import Staggered
+from panelkit.operators.ranges import overlaps, points_in_intervals
+from panelkit.operators.scan import Scan, adjust_scanned, panel_shifts
 from panelkit.queries import query
 
 # ---- difference-in-differences ------------------------------------------------------------
@@ -44,3 +48,114 @@ i AS (
 SELECT CAST(target AS BIGINT) AS target, round(any_value(a.att), 6) AS att, round(sqrt(sum(x * x)) / any_value(n), 6) AS se FROM (SELECT target, nation, sum(x) AS x FROM i GROUP BY 1, 2) JOIN a USING (target), n GROUP BY target""")
 def did_event_study(spark, sf):
     return _discounts(spark, sf).aggregate("dynamic")[0].withColumns({"att": F.round("att", 6), "se": F.round("se", 6)})
+
+
+# ---- estimators on panels with gaps, and far from zero ---------------------------------------
+
+_GAPS = """
+WITH p AS (SELECT o_custkey AS u, year(o_orderdate) AS t, ln(sum(o_totalprice)) AS y, CAST(count(*) AS DOUBLE) AS x FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY 1, 2),
+e AS (SELECT u, t, y - avg(y) OVER w AS y, x - avg(x) OVER w AS x, (t = 1997)::INT - avg((t = 1997)::INT) OVER w AS d, (t = 1998)::INT - avg((t = 1998)::INT) OVER w AS f FROM p WINDOW w AS (PARTITION BY u)),
+s AS (SELECT count(*) AS n, count(DISTINCT u) AS g, sum(d * d) AS dd, sum(f * f) AS ff, sum(d * f) AS df, sum(d * x) AS dx, sum(f * x) AS fx, sum(d * y) AS dy, sum(f * y) AS fy FROM e),
+r AS (
+  SELECT u, n, g, x - ((ff * dx - df * fx) * d + (dd * fx - df * dx) * f) / (dd * ff - df * df) AS x, y - ((ff * dy - df * fy) * d + (dd * fy - df * dy) * f) / (dd * ff - df * df) AS y FROM e, s),
+b AS (SELECT sum(x * y) / sum(x * x) AS b, sum(x * x) AS xx FROM r),
+c AS (SELECT u, any_value(n) AS n, any_value(g) AS g, sum(x * (y - b * x)) AS s FROM r, b GROUP BY u)
+SELECT 'x' AS term, any_value(n) AS n, round(any_value(b), 8) AS estimate, round(sqrt(any_value(g) / (any_value(g) - 1) * (any_value(n) - 1) / (any_value(n) - 4) * sum(s * s)) / any_value(xx), 8) AS std_error FROM c, b"""
+
+
+@query("panel_fe_unbalanced", _GAPS)
+def panel_fe_unbalanced(spark, sf):
+    years = _t(spark, sf, "orders").select("o_custkey", F.year("o_orderdate").alias("t"), "o_totalprice").where("t BETWEEN 1996 AND 1998")
+    panel = years.groupBy("o_custkey", "t").agg(F.ln(F.sum("o_totalprice")).alias("y"), F.count(F.lit(1)).cast("double").alias("x"))
+    e = stats.panel_fe(panel, "y", ["x"], "o_custkey", "t")
+    return spark.createDataFrame([("x", e.n, float(e.beta[0]), float(e.se[0]))], "term string, n long, b double, s double").select("term", "n", F.round("b", 8).alias("estimate"), F.round("s", 8).alias("std_error"))
+
+
+@query("iv_diagnostics", """
+WITH d AS (SELECT l_extendedprice / 1000 AS y, l_quantity AS x, l_tax * 100 + l_quantity / 20 AS z FROM lineitem),
+m AS (SELECT CAST(count(*) AS DOUBLE) AS n, covar_pop(z, y) / covar_pop(z, x) AS b, covar_pop(z, x) AS zx, var_pop(z) AS zz, var_pop(y) AS yy, var_pop(x) AS xx, covar_pop(x, y) AS xy, corr(x, z) AS rx, corr(y, z) AS ry FROM d),
+f AS (SELECT *, rx * rx / (1 - rx * rx) * (n - 2) AS first, ry * ry / (1 - ry * ry) * (n - 2) AS reduced FROM m)
+SELECT round(b, 6) AS estimate, round(sqrt((yy - 2 * b * xy + b * b * xx) * zz / n) / abs(zx), 6) AS std_error, round(first, 6) AS cragg_donald_f, round(n * first / (first + n - 2), 6) AS anderson_lm,
+  round(reduced, 6) AS anderson_rubin_f, round(n * reduced / (reduced + n - 2), 6) AS stock_wright_s FROM f""")
+def iv_diagnostics(spark, sf):
+    # Far from zero, where sums of raw products lose their digits.
+    far = 1 << 20
+    df = _t(spark, sf, "lineitem").select((F.col("l_extendedprice") / 1000 + far).alias("y"), (F.col("l_quantity") + far).alias("x"), (F.col("l_tax") * 100 + F.col("l_quantity") / 20 + far).alias("z"))
+    e = stats.iv_2sls(df, "y", [], "x", ["z"])
+    names = ("cragg_donald_f", "anderson_lm", "anderson_rubin_f", "stock_wright_s")
+    row = (float(e.beta[-1]), float(e.se[-1]), *[float(e.facts[k]) for k in names])
+    columns = ("estimate", "std_error", *names)
+    return spark.createDataFrame([row], ", ".join(f"{c} double" for c in columns)).select(*[F.round(c, 6).alias(c) for c in columns])
+
+
+# ---- ordered functions over groups of any size ------------------------------------------------
+
+
+@query("scan_holm_bh", """
+WITH t AS (SELECT l_orderkey, l_linenumber, 1 / (1 + l_extendedprice) AS p FROM lineitem),
+r AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, l_orderkey, l_linenumber) AS i FROM t)
+SELECT l_orderkey, l_linenumber, round(least(1, max((m - i + 1) * p) OVER (ORDER BY i)), 9) AS holm, round(least(1, min(p * m / i) OVER (ORDER BY i DESC)), 9) AS bh FROM r""")
+def scan_holm_bh(spark, sf):
+    # One family of all rows.
+    tests = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (1 / (1 + F.col("l_extendedprice"))).alias("p"))
+    return adjust_scanned(tests, "p", [], ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", F.round("holm", 9).alias("holm"), F.round("bh", 9).alias("bh"))
+
+
+@query("scan_running", """
+SELECT event_id, CAST(row_number() OVER w AS BIGINT) AS number, max(value) OVER w AS top, round(sum(value) OVER w, 4) AS total, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER w AS last_purchase,
+  lag(value, 5) OVER w AS before, lead(value, 2) OVER w AS after FROM events WINDOW w AS (ORDER BY ts, event_id)""")
+def scan_running(spark, sf):
+    # One group of all events.
+    s = Scan(_t(spark, sf, "events"), [], ["ts", "event_id"]).number("number").running("top", "max", "value").running("total", "sum", "value")
+    s.running("last_purchase", "last", F.when(F.col("event_type") == "purchase", F.col("event_id"))).shifted("before", "value", 5).shifted("after", "value", -2)
+    return s.result().select("event_id", "number", "top", F.round("total", 4).alias("total"), "last_purchase", "before", "after")
+
+
+@query("scan_panel_shifts", """
+SELECT event_id, lag(value, 2) OVER w AS lag, lead(value, 2) OVER w AS lead, value - lag(value, 2) OVER w AS difference FROM (SELECT *, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS u FROM events)
+WINDOW w AS (PARTITION BY u ORDER BY event_id)""")
+def scan_panel_shifts(spark, sf):
+    # A third of all rows in one panel unit.
+    hot = _t(spark, sf, "events").withColumn("u", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+    return panel_shifts(hot, "value", "u", "event_id", 2).select("event_id", "lag", "lead", "difference")
+
+
+# ---- as-of and range joins ----------------------------------------------------------------------
+
+
+def _hot_events(spark, sf):
+    # A third of all rows in one key.
+    return _t(spark, sf, "events").withColumn("u", F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("user_id")))
+
+
+_HOT_EVENTS = "WITH h AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END AS u FROM events)"
+
+
+@query("asof_backward", _HOT_EVENTS + " SELECT p.event_id, c.event_id AS click_id, c.value AS click_value FROM (SELECT * FROM h WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM h WHERE event_type = 'click') c ON p.u = c.u AND p.ts >= c.ts")
+def asof_backward(spark, sf):
+    h = _hot_events(spark, sf)
+    clicks = h.where("event_type = 'click'").select("u", "ts", F.col("event_id").alias("click_id"), F.col("value").alias("click_value"))
+    return asof_join(h.where("event_type = 'purchase'").select("u", "ts", "event_id"), clicks, ["u"], "ts", "ts").select("event_id", "click_id", "click_value")
+
+
+@query("asof_forward_within", _HOT_EVENTS + " SELECT p.event_id, CASE WHEN c.ts - p.ts <= INTERVAL 2 DAY THEN c.event_id END AS error_id FROM (SELECT * FROM h WHERE event_type = 'signup') p ASOF LEFT JOIN (SELECT * FROM h WHERE event_type = 'error') c ON p.u = c.u AND p.ts < c.ts")
+def asof_forward_within(spark, sf):
+    h = _hot_events(spark, sf)
+    errors = h.where("event_type = 'error'").select("u", "ts", F.col("event_id").alias("error_id"))
+    found = asof_join(h.where("event_type = 'signup'").select("u", "ts", "event_id"), errors, ["u"], "ts", "ts", "forward", strict=True, tolerance=F.expr("INTERVAL '2' DAY"))
+    return found.select("event_id", "error_id")
+
+
+@query("range_points", _HOT_EVENTS + ", s AS (SELECT event_id, u, ts AS a, ts + to_seconds(CAST(60 * value AS BIGINT)) AS b FROM h WHERE event_type = 'error') SELECT s.event_id, count(*) AS n, min(p.event_id) AS first FROM s JOIN h p ON p.u = s.u AND p.ts >= s.a AND p.ts < s.b GROUP BY 1")
+def range_points(spark, sf):
+    h = _hot_events(spark, sf)
+    spans = h.where("event_type = 'error'").select("u", F.col("event_id").alias("span"), F.col("ts").alias("a"), (F.col("ts") + F.make_dt_interval(secs=(60 * F.col("value")).cast("long"))).alias("b"))
+    found = points_in_intervals(h.select("u", "ts", "event_id"), spans, "ts", "a", "b", ["u"])
+    return found.groupBy(F.col("span").alias("event_id")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"))
+
+
+@query("range_overlaps", "WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey, l_shipdate AS a, l_shipdate + to_days(CAST(l_quantity AS INTEGER)) AS b FROM lineitem) SELECT x.l_orderkey, x.l_linenumber, count(*) AS n, min(y.l_orderkey) AS first FROM s x JOIN s y ON x.l_suppkey = y.l_suppkey AND x.a < x.b AND y.a < y.b AND y.a < x.b AND x.a < y.b WHERE (y.l_orderkey, y.l_linenumber) <> (x.l_orderkey, x.l_linenumber) GROUP BY 1, 2")
+def range_overlaps(spark, sf):
+    s = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_shipdate").alias("a"), (F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_quantity").cast("int"))).alias("b"))
+    found = overlaps(s, s, ("a", "b"), ("a", "b"), ["l_suppkey"]).where("l_orderkey <> l_orderkey_r OR l_linenumber <> l_linenumber_r")
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey_r").alias("first"))
