@@ -227,32 +227,54 @@ def test_licence_siblings_are_told_apart(spark):
     assert got == {20: "cc-by,cc-by-sa", 21: "gpl", 22: "", 23: "lgpl", 24: "cc-by,cc-by-nc-sa", 25: "", 26: "mit"}
 
 
-def test_licence_base_and_templates(spark):
+def _plain_blocks(words, text, times, threshold):
+    """Of each stretch the best block that holds enough of a template's words: (containment, matched, start, width)."""
+    tokens = set(re.findall("[a-z0-9]+", text.lower()))
+    width = times * len(re.findall("[a-z0-9]+", text.lower()))
+    best = {}
+    for k, w in enumerate(words):
+        if w in tokens:
+            n = len(tokens & set(words[k : k + width]))
+            if n >= threshold * len(tokens) - 1e-9 and (n, -k) > best.get(k // width, (0, 0)):
+                best[k // width] = n, -k
+    return [(n / len(tokens), n, -k, width) for n, k in best.values()]
+
+
+LICENCES = [
+    (0, None), (1, ""), (2, "..."), (3, "Released under the MIT License."), (4, "mit-license MIT\tLicense, the apache license"), (5, "cc by-nc 4.0 cc  by"),
+    (6, "x\nThis work is licenced under GNU General Public License, version 3.\ny"), (7, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files to deal in the Software without restriction\n\nmore"),
+    (8, "the of and in to software license " * 8000), (9, "é apache licensed é apache license"), (None, "apache license"), (3, "Released under the MIT License."), (10, "Licensed under CC BY-NC 4.0."), *SIBLINGS,
+    (10030, " ".join(t.replace("\n", "\n * ") for _, t in licences.TEXTS)), (10031, "\n".join(t for _, t in licences.NOTICES)), (10032, "# " + licences.TEXTS[2][1] + " x" * 400 + licences.TEXTS[3][1]),
+    (10033, " ".join(licences.TEXTS[0][1].split()[:130])), (10034, " ".join(w for i, w in enumerate(licences.TEXTS[8][1].split()) if i % 7)), (10035, "licensed under the mo\u212ailla public license M\u212a"),
+    (10036, "Licensed under CC BY-NC-SA 4.0. " + "and " * 40 + "Licensed under CC BY-NC 4.0."),
+]
+
+
+def test_licence_blocks_equal_brute_force(spark):
     sep = re.compile(r"[\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-    rows = [
-        (0, None), (1, ""), (2, "..."), (3, "Released under the MIT License."), (4, "mit-license MIT\tLicense, the apache license"), (5, "cc by-nc 4.0 cc  by"),
-        (6, "x\nThis work is licenced under GNU General Public License, version 3.\ny"), (7, "Permission is hereby granted, free of charge,\nto any person obtaining a copy of this software\nand associated documentation files to deal in the Software without restriction\n\nmore"),
-        (8, "the of and in to " * 30000), (9, "é apache licensed é apache license"), (None, "apache license"), (3, "Released under the MIT License."), (10, "Licensed under CC BY-NC 4.0."), *SIBLINGS,
-    ]
+    rows = LICENCES
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
-    want = Counter()
+    sets = [set(re.findall("[a-z0-9]+", text.lower())) for _, text, _, _ in licences.TEMPLATES]
+    want, pairs = Counter(), Counter()
     for i, t in rows + docs:
         body = "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
         words = [w for w in sep.split(body) if w]
         places = sorted((p, label) for phrase, label in licences.BASE.items() for p in range(len(words)) if words[p : p + len(phrase.split())] == phrase.split())
-        labels, best = {label for _, label in places}, 1.0 if places else 0.0
-        own = set(labels)
-        for label, phrase, text in licences.TEMPLATES:
-            tokens, width = set(licences._words(text)), 2 * len(licences._split(text))
-            for k in range(len(words)):
-                part = len(tokens & set(words[k : k + width])) / len(tokens)
-                if part >= licences.THRESHOLD - 1e-12 and re.search(f" {phrase} ", " " + " ".join(words[k : k + width]) + " "):
-                    own.add(label)
-                    best = max(best, part)
+        labels, found = {label for _, label in places}, []
+        for k, (label, text, times, threshold) in enumerate(licences.TEMPLATES):
+            found += [(*x, k, label) for x in _plain_blocks(words, text, times, threshold)]
+        pairs.update((i, x[5], x[4], x[2], x[3], x[1]) for x in found)
+        beats = lambda y, x: y[:2] > x[:2] and y[5] != x[5] and y[2] < x[2] + x[3] and x[2] < y[2] + y[3] and 2 * len(sets[x[4]] & sets[y[4]]) >= max(len(sets[x[4]]), len(sets[y[4]]))
+        own = labels | {x[5] for x in found if not any(beats(y, x) for y in found)}
+        best = 1.0 if places else max((x[0] for x in found), default=0.0)
         want[i, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted(labels)), ",".join(sorted(own)), round(best, 9)] += 1
-    df = spark.createDataFrame([(i, t, 1) for i, t in rows + docs], "doc_id long, text string, score int")
+    df = spark.createDataFrame([(i, t, 1, "x", []) for i, t in rows + docs], "doc_id long, text string, score int, a string, at array<int>")
     got = Counter((*tuple(r)[:7], round(r["score"], 9)) for r in licences.scan(df).collect())
     assert got - want == Counter() and want - got == Counter()
+    found = Counter(tuple(r)[:6] for r in licences.matches(df).collect())
+    assert found == pairs and len({x[2] for x in found}) == len(licences.TEMPLATES)
+    told = {x[0]: x[6] for x in want}
+    assert told[10032] == "bsd-2-clause,bsd-3-clause" and told[10036] == "cc-by,cc-by-nc,cc-by-nc-sa" and "mit" in told[10033] and "apache" in told[10034]
 
 
 def test_empty_tables(spark):
