@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+
 import os
 import uuid
 
@@ -10,11 +10,9 @@ from pyspark.sql import functions as F
 
 from panelkit.engine_queries import _WITHIN, _t, supplier_year
 from panelkit.functions import text
-from panelkit.operators import artifacts, bundle, stats
+from panelkit.operators import bundle, stats
 from panelkit.operators.harmonize import harmonize
 from panelkit.operators.lineage import checkpoint_folder
-from panelkit.plans import resolver, study
-from panelkit.plans.canonical import content_hash
 from panelkit.queries import query
 from panelkit.sources import tables, works
 
@@ -65,26 +63,12 @@ def s_map_openalex(spark, sf):
     return works.map_openalex(items).select("title", "doi", F.col("authors")[0]["family"].alias("family"), "year", "source", "source_id", "venue")
 
 
-@query("s_search_status", """
-SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 'source_unavailable' WHEN 1 THEN 'malformed_response' WHEN 2 THEN 'success_zero_records' ELSE 'success' END AS status,
-  CASE n_nationkey % 4 WHEN 0 THEN 'transport' WHEN 1 THEN 'http_' || (400 + n_nationkey) END AS error_category, CASE WHEN n_nationkey % 4 = 3 THEN n_nationkey ELSE 0 END AS result_count FROM nation""")
-def s_search_status(spark, sf):
-    def answer(k: int):
-        return {0: (None, ""), 1: (400 + k, "x"), 2: (200, '{"results": []}'), 3: (200, '{"results": [' + ",".join(["{}"] * k) + "]}")}[k % 4]
-
-    rows = []
-    for r in _t(spark, sf, "nation").select("n_nationkey").collect():
-        got = works.search_openalex("q", lambda url, k=r[0]: answer(k))
-        rows.append((r[0], got["status"], got["error_category"], got["result_count"]))
-    return spark.createDataFrame(rows, "k int, status string, error_category string, result_count int")
-
-
 # ---- text -------------------------------------------------------------------------------
 
 
 @query("l_normal_text", r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents")
 def l_normal_text(spark, sf):
-    return _t(spark, sf, "documents").select("doc_id", text.normal_text(F.col("text"), compose=False).alias("t"))
+    return _t(spark, sf, "documents").select("doc_id", text.normal_text(F.col("text")).alias("t"))
 
 
 @query("l_family_key", "SELECT doc_id, lower(lang) || '|' || lower(source) AS k FROM documents")
@@ -114,12 +98,6 @@ def panel_fe_iid_se(spark, sf):
     return spark.createDataFrame([(n, round(float(s), p)) for n, s, p in zip(e.names, e.se, (5, 1))], "term string, std_error double")
 
 
-@query("panel_fe_variants", "SELECT v AS variant, round(sqrt(s), 9) AS scale FROM (VALUES ('A', 200.0 / 169), ('B', 200.0 / 169), ('C', 200.0 / 198), ('D', 200.0 / 171), ('E', 200.0 / 169 * 10 / 9 * 199 / 200), ('F', 200.0 / 198 * 10 / 9 * 199 / 200), ('canonical', 10.0 / 9 * 199 / 178)) t(v, s)")
-def panel_fe_variants(spark, sf):
-    rows = [(v or "canonical", round(math.sqrt(stats.cluster_factor(200, 2, 10, 20, v)), 9)) for v in (*stats.VARIANTS, None)]
-    return spark.createDataFrame(rows, "variant string, scale double")
-
-
 @query("iv_first_stage", "SELECT round(r * r / (1 - r * r) * (n - 2), 2) AS f FROM (SELECT corr(l_quantity, l_tax + l_quantity / 500) AS r, count(*) AS n FROM lineitem)")
 def iv_first_stage(spark, sf):
     df = _t(spark, sf, "lineitem").select((F.col("l_tax") + F.col("l_quantity") / 500).alias("z"), "l_extendedprice", "l_quantity")
@@ -127,11 +105,6 @@ def iv_first_stage(spark, sf):
     return spark.createDataFrame([(round(float(facts["cragg_donald_f"]), 2),)], "f double")
 
 
-@query("t_quantiles", "SELECT k, round(tan(pi() * (k / 100.0 - 0.5)), 7) AS df1, round((2 * k / 100.0 - 1) / sqrt(2 * k / 100.0 * (1 - k / 100.0)), 7) AS df2 FROM (SELECT unnest(range(5, 100, 5)) AS k)")
-def t_quantiles(spark, sf):
-    return spark.createDataFrame([(k, round(stats.t_quantile(k / 100, 1), 7) + 0.0, round(stats.t_quantile(k / 100, 2), 7) + 0.0) for k in range(5, 100, 5)], "k long, df1 double, df2 double")
-
-
 @query("tolerance_compare", "SELECT l_orderkey, l_linenumber, abs(l_tax - l_discount) <= greatest(1e-12, 1e-9 * greatest(abs(l_tax), abs(l_discount))) AS same FROM lineitem")
 def tolerance_compare(spark, sf):
     return _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", stats.close(F.col("l_tax"), F.col("l_discount")).alias("same"))
@@ -154,73 +127,4 @@ def i_family_problems(spark, sf):
     return bundle.item_problems(bundle.Bundle(spark, items={"multiple_testing": families, "estimates": estimates})).select("check", "item", "detail")
 
 
-@query("i_canonical_hash", """SELECT n_nationkey AS k, sha256('{"a":[' || n_nationkey || ',0.5,null,true],"name":"' || n_name || '"}') AS h FROM nation""")
-def i_canonical_hash(spark, sf):
-    rows = _t(spark, sf, "nation").select("n_nationkey", "n_name").collect()
-    return spark.createDataFrame([(r[0], content_hash({"name": r[1], "a": [float(r[0]), 0.5, None, True]})) for r in rows], "k int, h string")
-
-
-@query("r_markdown", """
-SELECT '| r_name | share |' AS line UNION ALL SELECT '|---|---|' UNION ALL SELECT '| ' || r_name || ' | ' || printf('%.4f', r_regionkey / 8.0) || ' |' FROM region""")
-def r_markdown(spark, sf):
-    rows = [{"r_name": r["r_name"], "share": r["r_regionkey"] / 8} for r in _t(spark, sf, "region").orderBy("r_regionkey").collect()]
-    return spark.createDataFrame([(x,) for x in artifacts.markdown_table(["r_name", "share"], rows).splitlines()], "line string")
-
-
 # ---- control ----------------------------------------------------------------------------
-
-
-@query("g_versions", "SELECT n_nationkey AS k, n_nationkey >= 9 AS at_least, n_nationkey = 9 AS same, n_nationkey > 9 AS above, n_nationkey < 9 AS below, false AS unknown FROM nation")
-def g_versions(spark, sf):
-    rows = [(r[0], *[resolver.satisfies(f"3.{r[0]}", c) for c in (">=3.9", "==3.9.0", ">3.9", "<3.9")], resolver.satisfies(None, ">=1")) for r in _t(spark, sf, "nation").select("n_nationkey").collect()]
-    return spark.createDataFrame(rows, "k int, at_least boolean, same boolean, above boolean, below boolean, unknown boolean")
-
-
-@query("g_resolution", """
-SELECT n_nationkey AS k, CASE WHEN n_nationkey % 5 = 0 THEN 'blocked' WHEN n_nationkey % 3 = 0 THEN 'blocked' WHEN n_nationkey % 2 = 0 THEN 'needs_decision' ELSE 'resolved' END AS status,
-  CASE WHEN n_nationkey % 5 = 0 THEN 'no_matching_instance' WHEN n_nationkey % 3 = 0 THEN 'risk_not_admitted' WHEN n_nationkey % 2 = 0 THEN 'decision_pending' ELSE 'admitted' END AS reason FROM nation""")
-def g_resolution(spark, sf):
-    def told(k: int) -> dict:
-        cap = {"risk": "high", "decisions": ["d"] if k % 2 == 0 else [], "implementations": [{"id": "i", "runtime": "r" if k % 5 == 0 else "python", "status": "tested" if k % 3 == 0 else "verified"}]}
-        return resolver.resolve(cap, [{"id": "x", "runtime": "python", "version": "3"}])
-
-    rows = [(r[0], told(r[0])) for r in _t(spark, sf, "nation").select("n_nationkey").collect()]
-    return spark.createDataFrame([(k, t["status"], t["reason"]) for k, t in rows], "k int, status string, reason string")
-
-
-@query("g_stages", """
-WITH RECURSIVE n AS (SELECT n_nationkey AS k, floor(log2(n_nationkey + 1)) AS stage FROM nation), b AS (SELECT 3 AS k UNION ALL SELECT n.k FROM n JOIN b ON (n.k - 1) // 2 = b.k AND n.k > 0)
-SELECT 'n' || lpad(CAST(k AS VARCHAR), 2, '0') AS node, CAST(stage AS INTEGER) AS stage, CASE WHEN k IN (SELECT k FROM b) THEN 'blocked' ELSE 'ready' END AS status FROM n""")
-def g_stages(spark, sf):
-    name = "n{:02d}".format
-    waits = {name(r[0]): [name((r[0] - 1) // 2)] if r[0] else [] for r in _t(spark, sf, "nation").select("n_nationkey").collect()}
-    status = resolver.propagate(waits, {name(3): "blocked"})
-    rows = [(n, i, status[n]) for i, level in enumerate(resolver.stages(waits)) for n in level]
-    return spark.createDataFrame(rows, "node string, stage int, status string")
-
-
-@query("g_scope", "SELECT DISTINCT p_brand AS b, p_brand LIKE 'Brand#1%' OR p_brand = 'Brand#23' AS inside FROM part")
-def g_scope(spark, sf):
-    dotted = lambda b: b.replace("#1", "#1.")
-    rows = [r[0] for r in _t(spark, sf, "part").select("p_brand").distinct().collect()]
-    return spark.createDataFrame([(b, resolver.in_scope(dotted(b), ["Brand#1.*", "Brand#23"])) for b in rows], "b string, inside boolean")
-
-
-@query("g_pending", """
-SELECT 'c' || n_nationkey AS capability, 'decision_requirement' AS kind, 'd' || n_regionkey AS field FROM nation WHERE n_regionkey > 1 UNION ALL
-SELECT 'c' || n_nationkey, 'manual_validation', 'm' || (n_nationkey % 3) FROM nation WHERE n_nationkey % 3 = 2""")
-def g_pending(spark, sf):
-    caps = {f"c{r[0]}": {"decision_requirements": f"d{r[1]}", "scientific_preconditions": [{"kind": "manual", "label": f"m{r[0] % 3}"}]} for r in _t(spark, sf, "nation").select("n_nationkey", "n_regionkey").collect()}
-    found = study.evaluate({"selected_capabilities": {"a": list(caps), "b": list(caps)[:3]}, "decisions": {"d0": 1, "d1": "x", "d2": ""}, "manual_validations": {"m0": True, "m1": False, "m2": None}}, caps)
-    return spark.createDataFrame([(u["capability"], u["kind"], u["field"]) for u in found["unresolved_decisions"]], "capability string, kind string, field string")
-
-
-@query("g_study_errors", """
-SELECT 'c' || n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN 'STUDY_ID_INVALID' WHEN n_nationkey % 3 = 1 THEN 'EXECUTION_MODE_INVALID' ELSE 'CAPABILITY_ID_UNKNOWN' END AS code FROM nation""")
-def g_study_errors(spark, sf):
-    schema = {"required": ["study_id"], "properties": {"study_id": {"type": "string", "minLength": 1}, "execution_context": {"type": "object", "properties": {"mode": {"enum": ["production", "test"]}}}}}
-    rows = []
-    for (k,) in _t(spark, sf, "nation").select("n_nationkey").collect():
-        doc = {"study_id": "" if k % 3 == 0 else "s", "execution_context": {"mode": "odd" if k % 3 == 1 else "test"}, "selected_capabilities": {"r": ["gone"] if k % 3 == 2 else []}}
-        rows += [(f"c{k}", e["code"]) for e in study.study_errors(doc, schema, {})]
-    return spark.createDataFrame(rows, "id string, code string")

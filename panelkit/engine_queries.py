@@ -310,12 +310,6 @@ def holm_bh(spark, sf):
     return stats.adjust(df, "p", ["p_brand"], ["p_partkey"]).withColumns({c: F.round(c, 9) for c in ("p", "holm", "bh")})
 
 
-@query("t_pvalue", "SELECT CAST(k AS INTEGER) AS k, round(1 - 2 / pi() * atan(CAST(k AS DOUBLE) / 4), 9) AS df1, round(1 - (k / 4.0) / sqrt(2 + (k / 4.0) * (k / 4.0)), 9) AS df2 FROM range(0, 40) t(k)")
-def t_pvalue(spark, sf):
-    rows = [(k, round(stats.t_pvalue(k / 4, 1), 9), round(stats.t_pvalue(k / 4, 2), 9)) for k in range(40)]
-    return spark.createDataFrame(rows, "k int, df1 double, df2 double")
-
-
 @query("a_condition_share", "SELECT round(count_if(event_type = 'purchase') / count(*), 9) AS share, CAST(count_if(event_type = 'purchase') AS BIGINT) AS count FROM events")
 def a_condition_share(spark, sf):
     return _t(spark, sf, "events").agg(*artifacts.share(F.col("event_type") == "purchase")).withColumn("share", F.round("share", 9))
@@ -411,7 +405,7 @@ SELECT array_to_string(ids, ',') AS record_ids, n AS member_count, rule, CASE WH
   ['authoritative_doi,core_fields_compatible', 'multiple_dois', 'doi_identity_conflict', 'multi_source_agreement,no_doi', 'single_source_or_incomplete,no_doi', 'insufficient_evidence,no_doi'][branch] AS reason_codes,
   CASE WHEN branch = 1 THEN dl[1] END AS doi, CASE WHEN branch IN (2, 3) THEN array_to_string(dl, ',') END AS dois, array_to_string(sl, ',') AS sources FROM d""")
 def l_groups(spark, sf):
-    found = linkage.verified(linkage.groups(linkage.normalize_records(_records(spark, sf), compose=False)))
+    found = linkage.verified(linkage.groups(linkage.normalize_records(_records(spark, sf))))
     lists = {"record_ids": "record_ids", "reason_codes": "reason_codes", "dois": "evidence.dois", "sources": "evidence.sources"}
     return found.select("member_count", "rule", "decision", "state", F.col("evidence.doi").alias("doi"), *[F.array_join(c, ",").alias(n) for n, c in lists.items()])
 

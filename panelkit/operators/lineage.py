@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,19 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table of its own in the shared checkpoint folder: for loops.
+
+    A checkpoint passes the planner's size estimate on, which joins multiply: after some rounds it has millions of
+    digits. A table's size is that of its files. Folders stay until the checkpoint folder is cleared, as checkpoints do.
+    """
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    path = os.path.join(spark.sparkContext.getCheckpointDir(), f"table-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def attach(df: DataFrame, facts: DataFrame, key: str | list[str], spread: list[str], how: str = "inner", salts: int = 64) -> DataFrame:
     """``df`` joined to ``facts`` (one row a key at most) without one task per key.
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.text import canonical_doi, family_key, normal_text, record_id, title_key
 
-from .lineage import attach, settled
+from .lineage import attach, settled, written
 
 
 def normalize_records(df: DataFrame, compose: bool = True) -> DataFrame:
@@ -54,16 +54,16 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 60) -> DataFram
 
     A hub's edges and a label's members meet their labels salted.
     """
-    both = settled(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
+    both = written(links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct())
     alone = nodes.select("record_id").distinct()
-    labels = settled(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("record_id"), F.least("u", "v").alias("label")))
+    labels = written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("record_id"), F.least("u", "v").alias("label")))
     for _ in range(rounds):
         near = attach(both, labels.withColumnRenamed("record_id", "v"), "v", ["u"]).groupBy(F.col("u").alias("record_id")).agg(F.min("label").alias("near"))
-        step = settled(labels.join(near, "record_id").select("record_id", "label", F.least("label", "near").alias("new")))
+        step = written(labels.join(near, "record_id").select("record_id", "label", F.least("label", "near").alias("new")))
         if step.where("label <> new").isEmpty():
             return alone.join(labels, "record_id", "left").select("record_id", F.coalesce("label", "record_id").alias("label"))
         jump = attach(step.select("record_id", "new"), labels.select(F.col("record_id").alias("new"), F.col("label").alias("further")), "new", ["record_id"])
-        labels = settled(jump.select("record_id", F.least("new", "further").alias("label")))
+        labels = written(jump.select("record_id", F.least("new", "further").alias("label")))
     raise RuntimeError("components did not settle")
 
 
@@ -102,14 +102,14 @@ def groups(records: DataFrame) -> DataFrame:
     return found.withColumn("decision", F.when(F.col("rule") == "single", "distinct").when(F.col("rule").endswith("conflict"), "conflict").otherwise("dedupe_same"))
 
 
-#: Verification's branches in their order: state, reason codes, note.
+#: Verification's branches in their order: state, reason codes (fixed values), note.
 _BRANCHES = (
-    ("verified", ("authoritative_doi", "core_fields_compatible"), "valid canonical DOI confirmed by authoritative metadata + compatible core identity"),
-    ("conflicting", ("multiple_dois",), "same/claimed DOI group has materially inconsistent bibliographic fields"),
-    ("conflicting", ("doi_identity_conflict",), "same/claimed DOI group has materially inconsistent bibliographic fields"),
-    ("verified", ("multi_source_agreement", "no_doi"), "two or more independent authoritative/stable identities agree strongly on the same work, no material conflict"),
-    ("partially_verified", ("single_source_or_incomplete", "no_doi"), "one authoritative source with coherent metadata but no independent confirmation (or incomplete but agreeing identity)"),
-    ("unresolved", ("insufficient_evidence", "no_doi"), "insufficient independent/consistent bibliographic identity evidence"),
+    ("verified", ("authoritative_doi", "core_fields_compatible"), "a registry confirms the DOI and the works agree"),
+    ("conflicting", ("multiple_dois",), "the works share a DOI but differ in title, year or authors"),
+    ("conflicting", ("doi_identity_conflict",), "the works share a DOI but differ in title, year or authors"),
+    ("verified", ("multi_source_agreement", "no_doi"), "without a DOI, but several sources agree on one work"),
+    ("partially_verified", ("single_source_or_incomplete", "no_doi"), "one source, or several that leave fields open, and nothing speaks against it"),
+    ("unresolved", ("insufficient_evidence", "no_doi"), "too little is known to tell the work"),
 )
 
 
