@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.lineage import attach, checkpoint_folder
+from panelkit.operators.lineage import attach, checkpoint_folder, written
 
-__all__ = ["attach", "cut", "gapless_rank", "min_label_components", "prepare", "read", "remove", "utf8_crc32"]
+__all__ = ["attach", "cut", "gapless_rank", "min_label_components", "prepare", "read", "remove", "utf8_crc32", "written"]
 
 
 def prepare(spark: SparkSession) -> None:
@@ -69,21 +69,21 @@ def min_label_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
     """Connected components of edges (u, v): one row (node, label) per linked node.
 
     ``label`` is the smallest node that is reachable. Each round takes the least label
-    among neighbours and then jumps to that label's own label; rounds are cut with
-    checkpoints and end when no label changes. Every aggregate is a min with map-side
+    among neighbours and then jumps to that label's own label; each round is a written
+    table, and they end when no label changes. Every aggregate is a min with map-side
     combining, and a hub's edges and a label's members meet their labels salted.
 
     Raises RuntimeError if ``max_rounds`` rounds don't reach the fixpoint, as a partial
     answer would be wrong.
     """
     both = nodes_edges.select("u", "v").unionByName(nodes_edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = cut(both.where("u <> v").distinct())
-    labels = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
+    both = written(both.where("u <> v").distinct())
+    labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     for _ in range(max_rounds):
         near = attach(both, labels.withColumnRenamed("node", "v"), "v", ["u"]).groupBy("u").agg(F.min("label").alias("near"))
-        step = cut(labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "label", F.least("label", "near").alias("new")))
+        step = written(labels.join(near.withColumnRenamed("u", "node"), "node").select("node", "label", F.least("label", "near").alias("new")))
         if step.where("label <> new").isEmpty():
             return labels
         jump = attach(step.select("node", "new"), labels.select(F.col("node").alias("new"), F.col("label").alias("further")), "new", ["node"])
-        labels = cut(jump.select("node", F.least("new", "further").alias("label")))
+        labels = written(jump.select("node", F.least("new", "further").alias("label")))
     raise RuntimeError("components did not settle")

@@ -59,9 +59,19 @@ class _Stock:
         #: pair[s]: ordered pairs of available lengths that sum to s.
         self.pair = np.rint(np.fft.irfft(np.fft.rfft(self.has.astype(float), 4 * len(counts)) ** 2, 4 * len(counts)))[: 2 * len(counts)].astype(np.int64)
 
+        # Triples by their sum, likewise: in how many ways three lengths that are left add up to it.
+        self.triple = np.rint(np.fft.irfft(np.fft.rfft(self.has.astype(float), 4 * len(counts)) ** 3, 4 * len(counts)))[: len(counts)].astype(np.int64)
+
     def take(self, length: int, n: int) -> None:
         self.left[length] -= n
         if self.left[length] == 0:
+            # (h - e)^3 = h^3 - 3 h^2 e + 3 h e^2 - e^3, where e is the length that goes.
+            size = len(self.triple)
+            self.triple[length:] -= 3 * self.pair[: size - length]
+            if 2 * length < size:
+                self.triple[2 * length :] += 3 * self.has[: size - 2 * length]
+            if 3 * length < size:
+                self.triple[3 * length] -= 1
             self.has[length] = False
             others = np.flatnonzero(self.has)
             self.pair[others + length] -= 2
@@ -78,6 +88,8 @@ class _Stock:
         two = self._pair(gap, (), enough)
         if two:
             return two
+        if gap >= len(self.triple) or not self.triple[gap]:
+            return None
         top = min(gap - 2, len(self.has) - 1)
         if top < 1:
             return None

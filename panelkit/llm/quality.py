@@ -182,7 +182,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that the classifier doesn't reject, with their columns. Training looks at the chosen rows' documents only."""
     rows = cut(chosen(labels, sample))
-    model = train(featurise(docs.join(F.broadcast(rows.select(F.col("doc_id").alias("_chosen"))), F.col("doc_id").cast("long") == F.col("_chosen"), "left_semi")), rows)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")  # whatever else the documents hold
+    model = train(featurise(texts.join(F.broadcast(rows.select("doc_id")), "doc_id", "left_semi")), rows)
     prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -9,12 +9,14 @@ bands of 5, such a pair shares none with a chance of (1 - 0.8^5)^36 < 1e-6.
 
 Those links only gather candidates: connected nodes go to one place, each set once, and there all
 pairs' shared shingles are counted; a pair of similarity 0.8 is a link. Groups too large for a task are
-dealt in pairs of chunks. Counting costs the square of a group of texts that are nearly alike, at
-some nanoseconds a pair and shared shingle; what is shuffled and returned grows with the texts alone.
+dealt in pairs of chunks. Loose links may chain texts that are not alike into one group: a group of more chunks than there are
+bands falls apart into the bands' buckets, whose members are nearly alike, so that no set is sent
+more often than that and no pair is counted for a chain's sake. Counting costs the square of a group of texts that are nearly alike,
+at some nanoseconds a pair and shared shingle; what is shuffled and returned grows with the texts alone.
 
 Defined cases: null texts and texts without a word are one group; fewer words than a shingle make one
-shingle of the whole sequence; null and repeated ids see ``simhash.keep_one``; other columns,
-whatever their names, are kept.
+shingle of the whole sequence; null and repeated ids see ``simhash.keep_one``; very long texts are hashed in portions;
+an empty table gives no rows; other columns, whatever their names, are kept.
 """
 
 from __future__ import annotations
@@ -185,6 +187,24 @@ def _confirmed(sets: DataFrame) -> DataFrame:
     return sets.repartition("label", "part").sortWithinPartitions("label", "part").mapInArrow(found, "u long, v long")
 
 
+def _dealt(near: DataFrame, met: DataFrame) -> DataFrame:
+    """(mark, label, parts): the groups in which sets are compared, and over how many chunks each is dealt.
+
+    near: (sid, mark, label, n), the candidates' groups; met: (sid, key), the bands' buckets.
+    """
+    def sized(groups: DataFrame) -> DataFrame:
+        parts = groups.groupBy("label").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("parts"))
+        return cut(attach(groups, cut(parts), "label", ["sid"]))
+
+    groups = sized(near.select("sid", "mark", "n", "label"))
+    large = groups.where(F.col("parts") > BANDS)
+    if large.isEmpty():
+        return groups.select("mark", "label", "parts")
+    buckets = attach(met, cut(large.select("sid", "mark", "n", "label")), "sid", ["key"])
+    buckets = sized(cut(buckets.select("sid", "mark", "n", F.xxhash64("label", "key").alias("label"))))
+    return groups.where(F.col("parts") <= BANDS).unionByName(buckets).select("mark", "label", "parts")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, mark of its text, sid, label (the component's least sid)."""
     prepare(docs.sparkSession)
@@ -199,8 +219,7 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     wide = marked.join(met.select("sid").distinct(), "sid", "left_semi").select("sid", *_WIDE).dropDuplicates(["sid"])
     near = min_label_components(bucket_links(attach(met, cut(wide), "sid", ["key"]), ["key"], "sid", _WIDE, DISTANCE))
     near = cut(near.withColumnRenamed("node", "sid").join(nodes, "sid"))
-    parts = near.groupBy("label").agg(F.ceil(F.sum("n") / CHUNK).cast("int").alias("parts"))
-    wanted = attach(near, cut(parts), "label", ["sid"]).select("mark", "label", "parts")
+    wanted = _dealt(near, met)
     labels = min_label_components(_confirmed(_sets(docs, cut(wanted), text_col))).withColumnRenamed("node", "sid")
     return attach(marked.select("doc_id", "mark", "sid"), labels, "sid", ["doc_id", "mark"], "left").select("doc_id", "mark", "sid", F.coalesce("label", "sid").alias("label"))
 

@@ -2,8 +2,8 @@
 
 Entities are found by one pattern. Each distinct entity (type and canonical form, so that
 spellings of one entity corefer) gets one surrogate over the whole corpus, drawn from a
-keyed hash: letters stay letters of their script, digits digits, marks stay where they are,
-card numbers keep their check digit's validity, names their honorific's gender and script.
+keyed hash: letters stay letters of their script, digits digits, marks stay where they are, valid
+card numbers and IBANs stay valid, names keep their honorific's gender and their script.
 Surrogates that collide, with each other or with an entity that occurs, are drawn again until none
 does, so different entities stay different; every type grows where its short forms run out.
 
@@ -17,12 +17,15 @@ Documents without an entity pass through as they are and are not shuffled. An en
 hold meets its surrogate salted, and a document is rebuilt by its own number.
 
 Defined cases: null and empty texts stay as they are; a document's other columns, whatever their
-names, are untouched; repeated rows get equal texts; whole texts are read whatever their length. The key has
-no default: whoever knows it can draw the surrogates again.
+names, are untouched; repeated rows get equal texts; whole texts are read whatever their length; an empty table gives no
+rows. The key has no default: whoever knows it can draw the surrogates again. It stands in no plan: keys of the types,
+derived from it, reach the entities by a join.
 """
 
 from __future__ import annotations
 
+import hashlib
+import hmac
 import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -74,6 +77,26 @@ PATTERNS = {
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
 _LATIN, _ACCENTED, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "áéíóúàèäöüñç", "абвгдежзиклмнопрстуфхцшэюя"
+
+
+def _between(first: int, last: int) -> str:
+    """The letters of a range of code points."""
+    return "".join(c for c in map(chr, range(first, last + 1)) if c.isalpha())
+
+
+#: Letters to draw from, by script: small ones where a script has two cases.
+_CASED = {"Greek": "αβγδεζηθικλμνξοπρστυφχψω", "Cyrillic": _CYRILLIC, "Armenian": _between(0x561, 0x586)}
+_UNCASED = {
+    "Arabic": _between(0x627, 0x64A), "Hebrew": _between(0x5D0, 0x5EA), "Devanagari": _between(0x915, 0x939), "Bengali": _between(0x995, 0x9A8), "Tamil": _between(0xB95, 0xBB9), "Thai": _between(0xE01, 0xE2E),
+    "Georgian": _between(0x10D0, 0x10F0), "Hiragana": _between(0x3042, 0x308D), "Katakana": _between(0x30A2, 0x30ED), "Hangul": _between(0xAC00, 0xACFF), "Han": _between(0x4E00, 0x4EFF),
+}
+#: What invented names are made of, by script: first letters, vowels, consonants, last letters, a woman's ending.
+_NAMES = {
+    "Latin": ("BDFGKLMNPRSTV", "aeiou", "bdgklmnprstvz", "lmnrst", "a"),
+    "Cyrillic": ("БДГКЛМНПРСТВ", "аеиоу", "бдгклмнпрст", "лмнрст", "а"),
+    "Greek": ("ΒΓΔΖΚΛΜΝΠΡΣΤΦ", "αεηιου", "βγδζκλμνπρτφ", "ν", "α"),
+    "Armenian": ("ԲԳԴԿԼՄՆՊՌՍՏ", "աեիոու", "բգդկլմնպռստ", "նրս", "ա"),
+}
 _DIGITS = "0123456789"
 ROUNDS = 64
 #: After so many attempts short forms grow: letters before e-mail addresses and secrets, digits behind numbers.
@@ -151,9 +174,21 @@ def _luhn(digits: Column, start: int) -> Column:
     return F.aggregate(places, F.lit(0), lambda a, x: a + x)
 
 
-def _stream(type_: Column, canon: Column, attempt: Column, key: str) -> Column:
+def type_keys(spark: SparkSession, key: str) -> DataFrame:
+    """(type, type_key): a row a type. The plans that read it show neither the key nor what is derived from it."""
+    rows = [(t, hmac.new(key.encode(), t.encode(), hashlib.sha256).hexdigest()) for t in (*PATTERNS, "initial")]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "type string, type_key string")
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder of an IBAN's number: letters count from 10 on."""
+    figures = F.transform(F.split(F.upper(text), ""), lambda c: F.when(c.rlike("[A-Z]"), (F.ascii(c) - 55).cast("string")).otherwise(c))
+    return F.aggregate(F.split(F.array_join(figures, ""), ""), F.lit(0), lambda a, c: (a * 10 + c.cast("int")) % 97)
+
+
+def _stream(type_: Column, canon: Column, attempt: Column, key: Column) -> Column:
     """Keyed hash digits, two for each letter of the canonical form and more, in parts of 64."""
-    seed = F.concat_ws("\x01", F.lit(key), type_, canon, attempt.cast("string"))
+    seed = F.concat_ws("\x01", key, type_, canon, attempt.cast("string"))
     letters = F.when(type_ == "name", 8).otherwise(32)  # a name's words may take more than a byte a letter
     return F.transform(F.sequence(F.lit(0), (F.length(canon) / letters).cast("int")), lambda j: F.sha2(F.concat_ws("\x01", seed, j.cast("string")), 256))
 
@@ -172,15 +207,15 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
 
     def shaped(c: Column, i: Column) -> Column:
         b = byte(i)
-        return (
-            F.when(c.rlike("[0-9]"), _pick(_DIGITS, b))
-            .when(c.rlike("[a-z]"), _pick(_LATIN, b))
-            .when(c.rlike("[A-Z]"), _pick(_LATIN.upper(), b))
-            .when(c.rlike(r"\p{IsCyrillic}"), _pick(_CYRILLIC, b))
-            .when(c.rlike(r"\p{Ll}"), _pick(_ACCENTED, b))
-            .when(c.rlike(r"\p{L}"), _pick(_ACCENTED.upper(), b))
-            .otherwise(c)
-        )
+        out = F.when(c.rlike("[0-9]"), _pick(_DIGITS, b)).when(c.rlike("[a-z]"), _pick(_LATIN, b)).when(c.rlike("[A-Z]"), _pick(_LATIN.upper(), b))
+        out = out.when(c.rlike(r"\p{IsLatin}"), F.when(c.rlike(r"\p{Lu}"), _pick(_ACCENTED.upper(), b)).otherwise(_pick(_ACCENTED, b)))
+        for script, alphabet in _CASED.items():
+            out = out.when(c.rlike(rf"[\p{{Is{script}}}&&\p{{L}}]"), F.when(c.rlike(r"\p{Lu}"), F.upper(_pick(alphabet, b))).otherwise(_pick(alphabet, b)))
+        for script, alphabet in _UNCASED.items():
+            out = out.when(c.rlike(rf"[\p{{Is{script}}}&&\p{{L}}]"), _pick(alphabet, b))
+        # A letter of another script: one of the same sixteen code points, if that is a letter.
+        near = F.decode(F.unhex(F.lpad(F.hex(F.ascii(c) - F.ascii(c) % 16 + b % 16), 8, "0")), "UTF-32")
+        return out.when(c.rlike(r"\p{L}") & near.rlike(r"^\p{L}$"), near).otherwise(c)
 
     # What reads the whole form stays out of the secrets' loop: they may be long.
     split = F.split(canon, "")
@@ -192,13 +227,20 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
         "",
     )
     shape = F.col("_shape")
-    # A card number that was valid stays valid.
-    head = F.substring(shape, F.lit(1), F.length(canon) - 1)
+    short = F.col("attempt") >= SHORT_ROUNDS
+    # Short forms have few surrogates: after some attempts they grow.
+    extra = F.sha2(F.array_join(stream, ""), 256)
+    long = F.col("attempt") - (SHORT_ROUNDS - 4)
+    figures = F.when(short, F.substring(F.translate(extra, "abcdef", "012345"), F.lit(1), long)).otherwise("")
+    # Card numbers and IBANs that were valid stay valid.
+    head = F.concat(F.substring(shape, F.lit(1), F.length(canon) - 1), figures)
     check = F.pmod(F.lit(10) - F.pmod(_luhn(head, 1), F.lit(10)), F.lit(10)).cast("string")
-    card = F.when(F.pmod(_luhn(canon, 0), F.lit(10)) == 0, F.concat(head, check)).otherwise(shape)
+    card = F.when(F.pmod(_luhn(canon, 0), F.lit(10)) == 0, F.concat(head, check)).otherwise(F.concat(shape, figures))
+    country, account = F.substring(canon, 1, 2), F.concat(F.substring(shape, F.lit(5), F.length(canon)), figures)
+    valid = _mod97(F.concat(F.substring(canon, F.lit(5), F.length(canon)), F.substring(canon, 1, 4))) == 1
+    iban = F.when(valid, F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)).otherwise(F.concat(shape, figures))
     ip = F.concat_ws(".", (byte(F.lit(0)) % 223 + 1).cast("string"), *[byte(F.lit(k)).cast("string") for k in (1, 2, 3)])
     # IPv6: groups that aren't zero; all of them once those run out.
-    short = F.col("attempt") >= SHORT_ROUNDS
     ip6 = F.array_join(
         F.transform(F.split(canon, ":"), lambda g, i: F.when((g == "0") & ~short, g).otherwise(F.regexp_replace(F.lower(F.concat(*[F.lpad(F.hex(byte(i * 2 + k)), 2, "0") for k in (0, 1)])), "^0+(?=.)", ""))), ":"
     )
@@ -213,29 +255,29 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
         made = F.transform(F.sequence(F.lit(1), F.greatest(more, F.lit(1))), lambda j: F.concat(_pick(consonants, byte(start + j * 2 - 2)), _pick(vowels, byte(start + j * 2 - 1))))
         return F.when(more > 0, F.array_join(made, "")).otherwise("")
 
-    latin_more, slavic_more = syllables("bdgklmnprstvz", "aeiou"), syllables("бдгклмнпрст", "аеиоу")
+    grown = {script: syllables(consonants, vowels) for script, (_, vowels, consonants, _, _) in _NAMES.items()}
 
     def word(w: Column, i: Column) -> Column:
         at, last = i * 5, i == final
-        cyrillic = w.rlike(r"\p{IsCyrillic}")
-        latin = (_pick("BDFGKLMNPRSTV", byte(at)), _pick("aeiou", byte(at + 1)), _pick("bdgklmnprstvz", byte(at + 2)), _pick("aeiou", byte(at + 3)), F.when(last, latin_more).otherwise(""), _pick("lmnrst", byte(at + 4)))
-        slavic = (_pick("БДГКЛМНПРСТВ", byte(at)), _pick("аеиоу", byte(at + 1)), _pick("бдгклмнпрст", byte(at + 2)), _pick("аеиоу", byte(at + 3)), F.when(last, slavic_more).otherwise(""), _pick("лмнрст", byte(at + 4)))
         female, letter = (F.substring(canon, 1, 1) == "f") & last, (F.length(w) == 1) & ~last
-        return (
-            F.when(letter & cyrillic, slavic[0])
-            .when(letter, latin[0])
-            .when(cyrillic, F.concat(*slavic, F.when(female, "а").otherwise("")))
-            .otherwise(F.concat(*latin, F.when(female, "a").otherwise("")))
-        )
+
+        def of(script: str) -> Column:
+            firsts, vowels, consonants, lasts, ending = _NAMES[script]
+            first = _pick(firsts, byte(at))
+            whole = F.concat(first, _pick(vowels, byte(at + 1)), _pick(consonants, byte(at + 2)), _pick(vowels, byte(at + 3)), F.when(last, grown[script]).otherwise(""), _pick(lasts, byte(at + 4)), F.when(female, ending).otherwise(""))
+            return F.when(letter, first).otherwise(whole)
+
+        out = None
+        for script in [s for s in _NAMES if s != "Latin"]:
+            here = w.rlike(rf"\p{{Is{script}}}")
+            out = F.when(here, of(script)) if out is None else out.when(here, of(script))
+        return out.otherwise(of("Latin"))
 
     name = F.concat(F.substring(canon, 1, 2), F.array_join(F.transform(parts, word), "'"))
-    made = F.when(type_ == "ip", ip).when(type_ == "ip6", ip6).when(type_ == "name", name).when(type_ == "card", card).otherwise(shape)
-    # Short forms have few surrogates: after some attempts they grow.
-    extra = F.sha2(F.array_join(stream, ""), 256)
-    long = F.col("attempt") - (SHORT_ROUNDS - 4)
-    figures = F.substring(F.translate(extra, "abcdef", "012345"), F.lit(1), long)
-    roomy = F.when(short & type_.isin("email", "secret"), F.concat(F.substring(extra, F.lit(1), long), made)).when(short & type_.isin("phone", "ssn", "card", "iban"), F.concat(made, figures)).otherwise(made)
-    hashed = entities.withColumn("_stream", _stream(type_, canon, F.col("attempt"), key))
+    made = F.when(type_ == "ip", ip).when(type_ == "ip6", ip6).when(type_ == "name", name).when(type_ == "card", card).when(type_ == "iban", iban).otherwise(shape)
+    roomy = F.when(short & type_.isin("email", "secret"), F.concat(F.substring(extra, F.lit(1), long), made)).when(type_.isin("phone", "ssn"), F.concat(made, figures)).otherwise(made)
+    keyed = entities.join(F.broadcast(type_keys(entities.sparkSession, key)), "type")  # a row a type
+    hashed = keyed.withColumn("_stream", _stream(type_, canon, F.col("attempt"), F.col("type_key")))
     return hashed.withColumn("_shape", letters).select("type", "canon", "attempt", roomy.alias("surrogate"))
 
 
@@ -296,8 +338,8 @@ def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame
 
 
 def session_key(spark: SparkSession) -> str:
-    """The key that ``spark.panelkit.surrogates.key`` names; where unset, one drawn for this call alone."""
-    return spark.conf.get("spark.panelkit.surrogates.key", None) or secrets.token_hex(32)
+    """The key that ``spark.panelkit.surrogates.secret`` holds, a name whose value Spark redacts; where unset, one drawn for this call alone."""
+    return spark.conf.get("spark.panelkit.surrogates.secret", None) or secrets.token_hex(32)
 
 
 def _words(named: Column) -> Column:
@@ -351,8 +393,11 @@ def replace(docs: DataFrame, key: str, text_col: str = "text", count_col: str |
     seen = dirty.select("id", F.posexplode("units").alias("pos", "u")).select("id", "pos", "u.surface", "u.type", "u.gender")
     seen = cut(seen.withColumn("canon", canonical(F.col("surface"), F.col("type"), F.col("gender"))))
     known = surrogates(seen.where("type <> 'initial'").select("type", "canon").distinct(), key)
-    drawn_letter = F.conv(F.substring(F.sha2(F.concat_ws("\x01", F.lit(key), "type", "canon"), 256), 1, 4), 16, 10).cast("int")
-    letter = F.when(F.col("surface").rlike(r"\p{IsCyrillic}"), _pick("БДГКЛМНПРСТВ", drawn_letter)).otherwise(_pick("BDFGKLMNPRSTV", drawn_letter))
+    seen = seen.join(F.broadcast(type_keys(docs.sparkSession, key)), "type", "left")  # a row a type
+    drawn_letter = F.conv(F.substring(F.sha2(F.concat_ws("\x01", "type_key", "canon"), 256), 1, 4), 16, 10).cast("int")
+    letter = _pick(_NAMES["Latin"][0], drawn_letter)
+    for script, (firsts, *_) in _NAMES.items():
+        letter = F.when(F.col("surface").rlike(rf"\p{{Is{script}}}"), _pick(firsts, drawn_letter)).otherwise(letter)
     told = attach(seen, known, ["type", "canon"], ["id", "pos"], "left")
     told = told.select("id", "pos", F.when(F.col("type") == "initial", letter).otherwise(rendered(F.col("surface"), F.col("type"), F.col("surrogate"))).alias("new"))
     told = told.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("news"))

@@ -404,6 +404,40 @@ def test_pipeline_links_every_pair_of_similarity_four_fifths(spark, odd):
     assert len(_similar_groups(list(enumerate(made)))) < 120
 
 
+def test_chained_groups_fall_apart_into_buckets(spark, monkeypatch):
+    """Texts that slide on: neighbours are candidates, few are alike. Groups are bounded, nothing is lost."""
+    r = random.Random(11)
+    made = []
+    for chain in range(3):
+        words = [f"c{chain}w{i}" for i in range(2000)]
+        at = 0
+        for _ in range(60):
+            made.append(" ".join(words[at : at + 60]))
+            at += r.choice([4, 5, 6, 7, 12])
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    want = Counter(map(_first, _similar_groups(list(enumerate(made)))))
+    assert 10 < len(want) < len(made)
+    monkeypatch.setattr(similar, "CHUNK", 64)  # a set or two a chunk: the chains' groups are over 36 chunks
+    dealt = []
+    plain = similar._dealt
+    monkeypatch.setattr(similar, "_dealt", lambda near, met: dealt.append((near.groupBy("label").sum("n").toPandas()["sum(n)"].max(), plain(near, met))) or dealt[-1][1])
+    assert Counter((x["doc_id"], x["text"]) for x in similar.keep_first(df).collect()) == want
+    largest, groups = dealt[0]
+    assert largest > 64 * similar.BANDS and max(x["parts"] for x in groups.collect()) <= similar.BANDS
+
+
+def test_triples_are_indexed_by_their_sums():
+    r = np.random.default_rng(3)
+    counts = np.zeros(65, np.int64)
+    counts[1:] = r.integers(0, 3, 64)
+    stock = packing._Stock(counts)
+    while stock.has.any():
+        left = np.flatnonzero(stock.has)
+        want = Counter(int(a + b + c) for a in left for b in left for c in left)
+        assert all(stock.triple[s] == want[s] for s in range(65))
+        stock.take(int(r.choice(left)), 1)
+
+
 @pytest.mark.parametrize("keep", [simhash.keep_first, similar.keep_first])
 def test_different_texts_under_null_and_repeated_ids_stay(spark, keep):
     words = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
