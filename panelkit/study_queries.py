@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from panelkit.engine_queries import _SUPPLIER_YEAR, _t, supplier_year
 from panelkit.operators import stats
 from panelkit.operators.asof import asof_join
 from panelkit.operators.did import Staggered
+from panelkit.operators.lineage import checkpoint_folder
 from panelkit.operators.ranges import overlaps, points_in_intervals
 from panelkit.operators.scan import Scan, adjust_scanned, panel_shifts
 from panelkit.queries import query
+from panelkit.streaming.panel import panel_stream, share_stream
 
 # ---- difference-in-differences ------------------------------------------------------------
 
@@ -159,3 +164,38 @@ def range_overlaps(spark, sf):
     s = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_shipdate").alias("a"), (F.col("l_shipdate") + F.make_dt_interval(days=F.col("l_quantity").cast("int"))).alias("b"))
     found = overlaps(s, s, ("a", "b"), ("a", "b"), ["l_suppkey"]).where("l_orderkey <> l_orderkey_r OR l_linenumber <> l_linenumber_r")
     return found.groupBy("l_orderkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.min("l_orderkey_r").alias("first"))
+
+
+# ---- streams --------------------------------------------------------------------------------------
+
+
+def _streamed(spark, folder, made):
+    """What a stream writes when all of its files are read, three at a time."""
+    q = made.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+    q.awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{folder}/out")
+
+
+def _arrivals(spark, sf):
+    """All events in files whose rows are in no order, and a last one, far ahead, that lets the others leave."""
+    checkpoint_folder(spark)
+    folder = os.path.join(spark.sparkContext.getCheckpointDir(), f"stream-{uuid.uuid4().hex}")
+    events = _t(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    events.repartition(6, F.xxhash64("event_id")).write.parquet(f"{folder}/in/a")
+    end = events.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), F.lit("end").alias("event_type"), (F.col("ts") + F.expr("INTERVAL '4000' DAY")).alias("ts"), F.lit(0.0).alias("value"))
+    end.write.parquet(f"{folder}/in/b")
+    return folder, spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in/*")
+
+
+@query("stream_panel", "SELECT event_id, l AS lag, value - l AS difference, CASE WHEN l <> 0 THEN (value - l) / l END AS growth, n <= 2 AS structural, false AS late FROM (SELECT event_id, value, lag(value, 2) OVER w AS l, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
+def stream_panel(spark, sf):
+    folder, stream = _arrivals(spark, sf)
+    found = _streamed(spark, folder, panel_stream(stream, "user_id", "ts", "value", 2, ["event_id"], "3650 days"))
+    return found.where("event_id >= 0").select("event_id", "lag", "difference", "growth", "structural", "late")
+
+
+@query("stream_shares", "SELECT date_trunc('hour', ts) AS hour, round(count_if(event_type = 'purchase') / count(*), 9) AS share, CAST(count_if(event_type = 'purchase') AS BIGINT) AS count, count(*) AS rows FROM events GROUP BY 1")
+def stream_shares(spark, sf):
+    folder, stream = _arrivals(spark, sf)
+    found = _streamed(spark, folder, share_stream(stream, "ts", F.col("event_type") == "purchase", "1 hour", "3650 days"))
+    return found.where(F.col("rows") > 0).where(F.col("start") <= _t(spark, sf, "events").agg(F.max("ts")).first()[0]).select(F.to_timestamp_ntz(F.col("start").cast("string")).alias("hour"), F.round("share", 9).alias("share"), "count", "rows")
