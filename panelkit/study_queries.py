@@ -5,16 +5,18 @@ from __future__ import annotations
 import os
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelkit.engine_queries import _SUPPLIER_YEAR, _t, supplier_year
-from panelkit.operators import stats
+from panelkit.operators import sketches, stats
 from panelkit.operators.asof import asof_join
 from panelkit.operators.did import Staggered
 from panelkit.operators.lineage import checkpoint_folder
 from panelkit.operators.ranges import overlaps, points_in_intervals
 from panelkit.operators.scan import Scan, adjust_scanned, panel_shifts
 from panelkit.queries import query
+from panelkit.sources import digest, layout
 from panelkit.streaming.panel import panel_stream, share_stream
 
 # ---- difference-in-differences ------------------------------------------------------------
@@ -199,3 +201,47 @@ def stream_shares(spark, sf):
     folder, stream = _arrivals(spark, sf)
     found = _streamed(spark, folder, share_stream(stream, "ts", F.col("event_type") == "purchase", "1 hour", "3650 days"))
     return found.where(F.col("rows") > 0).where(F.col("start") <= _t(spark, sf, "events").agg(F.max("ts")).first()[0]).select(F.to_timestamp_ntz(F.col("start").cast("string")).alias("hour"), F.round("share", 9).alias("share"), "count", "rows")
+
+
+# ---- sketches, digests, layout ----------------------------------------------------------------------
+
+
+@query("sketch_distinct", "SELECT l_returnflag, count(*) AS rows, count(DISTINCT l_orderkey) AS exact, true AS within FROM lineitem GROUP BY 1")
+def sketch_distinct(spark, sf):
+    # Sketched by ship date's year, merged over years; four standard errors.
+    lines = _t(spark, sf, "lineitem").withColumn("year", F.year("l_shipdate"))
+    told = sketches.merged(sketches.sketched(lines, ["l_returnflag", "year"], distinct=["l_orderkey"]), ["l_returnflag"]).withColumn("estimate", sketches.distinct_estimate("l_orderkey"))
+    exact = lines.groupBy("l_returnflag").agg(F.count_distinct("l_orderkey").alias("exact"))
+    near = F.abs(F.col("estimate") - F.col("exact")) <= 4 * sketches.distinct_error() * F.col("exact") + 1
+    return told.join(exact, "l_returnflag").select("l_returnflag", "rows", "exact", near.alias("within"))
+
+
+@query("sketch_quantiles", "SELECT event_type, count(*) AS rows, true AS within FROM events GROUP BY 1")
+def sketch_quantiles(spark, sf):
+    # The rank of each estimated quantile, counted exactly.
+    events = _t(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    told = sketches.merged(sketches.sketched(events, ["event_type", "day"], quantiles=["value"]), ["event_type"])
+    told = told.select("event_type", "rows", *[sketches.quantile_estimate("value", p / 10).alias(f"q{p}") for p in (1, 5, 9)])
+    ranks = events.join(F.broadcast(told), "event_type").groupBy("event_type", "rows").agg(*[(F.count_if(F.col("value") < F.col(f"q{p}")) / F.first("rows")).alias(f"below{p}") for p in (1, 5, 9)], *[(F.count_if(F.col("value") <= F.col(f"q{p}")) / F.first("rows")).alias(f"upto{p}") for p in (1, 5, 9)])
+    near = [(F.col(f"below{p}") <= p / 10 + 2 * sketches.RANK_ERROR) & (F.col(f"upto{p}") >= p / 10 - 2 * sketches.RANK_ERROR) for p in (1, 5, 9)]
+    return ranks.select("event_type", "rows", (near[0] & near[1] & near[2]).alias("within"))
+
+
+@query("table_digest", """
+WITH h AS (SELECT sha256(length(c_custkey || '') || ':' || c_custkey || ',' || coalesce(length(c_name) || ':' || c_name, '-') || ',' || length(c_nationkey || '') || ':' || c_nationkey) AS h FROM (SELECT c_custkey, CASE WHEN c_custkey % 7 <> 0 THEN c_name END AS c_name, c_nationkey FROM customer)),
+n AS (SELECT h, row_number() OVER (ORDER BY h) - 1 AS n FROM h), a AS (SELECT n // 1000 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM n GROUP BY 1),
+b AS (SELECT n // 1000 AS n, sha256(string_agg(h, '' ORDER BY n)) AS h FROM a GROUP BY 1)
+SELECT sha256('c_custkey,c_name,c_nationkey' || chr(10) || CASE WHEN (SELECT count(*) FROM a) = 1 THEN (SELECT max(h) FROM a) ELSE (SELECT max(h) FROM b) END) AS digest""")
+def table_digest_of_customers(spark, sf):
+    rows = _t(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 7 != 0, F.col("c_name")).alias("c_name"), "c_nationkey")
+    return spark.createDataFrame([(digest.table_digest(rows),)], "digest string")
+
+
+@query("layout_panel_ops", "SELECT event_id, lag(value) OVER w AS before, lead(value) OVER w AS after, round(value - avg(value) OVER (PARTITION BY user_id), 9) AS within FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def layout_panel_ops(spark, sf):
+    checkpoint_folder(spark)
+    table = f"panel_{uuid.uuid4().hex}"
+    layout.write_panel(_t(spark, sf, "events").select("event_id", "user_id", "ts", "value"), table, "user_id", "ts", 16, os.path.join(spark.sparkContext.getCheckpointDir(), table))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    found = layout.read_panel(spark, table).withColumns({"before": F.lag("value").over(order), "after": F.lead("value").over(order), "mean": F.avg("value").over(Window.partitionBy("user_id"))})
+    return found.select("event_id", "before", "after", F.round(F.col("value") - F.col("mean"), 9).alias("within"))
