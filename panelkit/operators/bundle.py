@@ -51,8 +51,13 @@ CANONICAL = "canonical_json_sha256_v1"
 TABLES = {
     "descriptive_facts": ("fact_id", "name", "value", "unit", "sample_id"),
     "diagnostics": ("diagnostic_id", "name", "value", "method", "model_id"),
+    "estimates": ("term", "estimate", "std_error", "p_value", "n"),
     "model_registry": ("model_id", "capability_id", "implementation_id", "runtime", "sample_id", "outcome", "specification", "fixed_effects", "vcov_spec", "clustering", "n"),
 }
+#: The only keys of a presentation manifest, of its views and of their references. Fixed values.
+PRESENTATION_KEYS = (*HEADER, "created_at", "inputs", "code_ref", "data_ref", "views")
+VIEW_KEYS = ("view_id", "view_type", "output_ref", "source_refs")
+REFERENCE_KEYS = ("artifact_id", "item_ids", "source_hash", "source_hash_mode")
 PROBLEM = "check string, artifact string, item string, detail string"
 
 
@@ -65,6 +70,8 @@ class Bundle:
     items: dict[str, DataFrame] = field(default_factory=dict)
     #: By artifact: the digest of the whole document.
     digests: dict[str, str] = field(default_factory=dict)
+    #: The presentation manifest's views as they stand, (at, j): a schema drops what it doesn't name.
+    views: DataFrame | None = None
 
 
 def bundle_of(spark: SparkSession, documents: dict[str, dict]) -> Bundle:
@@ -78,6 +85,8 @@ def bundle_of(spark: SparkSession, documents: dict[str, dict]) -> Bundle:
         out.headers[name] = {k: v for k, v in doc.items() if k != key}
         if key and isinstance(doc.get(key), list):
             rows = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(doc[key])], "at int, j string")
+            if name == "presentation_manifest":
+                out.views = rows
             out.items[name] = rows.select("at", F.from_json("j", SCHEMAS[key]).alias("x")).select("at", "x.*")
     return out
 
@@ -213,11 +222,22 @@ def _family_problems(families: DataFrame, estimates: DataFrame) -> list[DataFram
     return [_told(df, check, "multiple_testing", "family_id", "estimate_id") for check, df in found]
 
 
+def _key_problems(views: DataFrame) -> list[DataFrame]:
+    """Keys that a view or a reference may not have: a view binds numbers, it holds none."""
+    view = F.get_json_object("j", "$.view_id")
+    extra = lambda held, keys: F.explode(F.array_except(F.coalesce(F.json_object_keys(held), F.array().cast("array<string>")), F.array(*map(F.lit, keys))))
+    own = views.select(view.alias("view_id"), extra(F.col("j"), VIEW_KEYS).alias("key"))
+    refs = views.select(view.alias("view_id"), F.explode(F.from_json(F.get_json_object("j", "$.source_refs"), "array<string>")).alias("r"))
+    theirs = refs.select("view_id", extra(F.col("r"), REFERENCE_KEYS).alias("key"))
+    return [_told(df, check, "presentation_manifest", "view_id", "key") for check, df in (("view_key", own), ("reference_key", theirs))]
+
+
 def _view_problems(b: Bundle) -> list[DataFrame]:
-    """Views bind to documents that exist, as they are now, and to items that they hold."""
+    """Views bind to documents that exist, as they are now, and to items that they hold, and have no keys of their own."""
     views = b.items.get("presentation_manifest")
     if views is None:
         return []
+    strange = [("presentation_key", "presentation_manifest", k, None) for k in b.headers["presentation_manifest"] if k not in PRESENTATION_KEYS]
     known = [(h.get("artifact_id"), n, b.digests[n], n in ITEMS and n not in ("multiple_testing", "presentation_manifest", "variable_dictionary", "sample_flow")) for n, h in b.headers.items() if n in (*NEEDED, "presentation_manifest") and h.get("artifact_id")]
     known = b.spark.createDataFrame(known, "artifact_id string, type string, digest string, listed boolean")
     refs = views.select("view_id", F.explode("source_refs").alias("r")).select("view_id", "r.*")
@@ -232,6 +252,7 @@ def _view_problems(b: Bundle) -> list[DataFrame]:
         (F.col("item_ids").isNotNull() & ~F.col("listed"), "view_items_unsupported"),
     )
     out = [_told(bound.where(F.coalesce(c, F.lit(False))), name, "presentation_manifest", "view_id", item) for c, name in checks]
+    out += [b.spark.createDataFrame(strange, PROBLEM), *(_key_problems(b.views) if b.views is not None else [])]
     out.append(_told(views.where(F.coalesce(F.size("source_refs"), F.lit(0)) < 1), "view_unbound", "presentation_manifest", "view_id", F.lit(None)))
     out.append(_told(views.where(~F.col("view_type").isin("table", "figure")), "view_type", "presentation_manifest", "view_id", "view_type"))
     lists = [df.select(F.lit(b.headers[n].get("artifact_id")).alias("artifact_id"), F.col(ITEMS[n][1]).alias("item_id")) for n, df in b.items.items() if n in ("model_registry", "estimates", "diagnostics", "descriptive_facts")]

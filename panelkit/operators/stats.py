@@ -283,10 +283,11 @@ def adjust(df: DataFrame, p: str, family: list[str], order: list[str] = ()) -> D
     return raw.withColumns({"holm": F.least(F.lit(1.0), F.max("_h").over(rise)), "bh": F.least(F.lit(1.0), F.min("_b").over(fall))}).drop("_h", "_b", "_i")
 
 
-def adjusted_problems(raw: DataFrame, mine: DataFrame, theirs: DataFrame, keys: list[str], methods: tuple[str, ...] = ("holm", "bh")) -> DataFrame:
+def adjusted_problems(raw: DataFrame, mine: DataFrame, theirs: DataFrame, keys: list[str], methods: tuple[str, ...] = ("holm", "bh"), family: list[str] | None = None) -> DataFrame:
     """(keys, check, verdict) of adjusted p-values of two engines, p the raw value: E14.
 
-    Raw values agree; adjusted ones agree, lie in [0, 1] and are no smaller than the raw one.
+    Raw values agree; adjusted ones agree, lie in [0, 1] and are no smaller than the raw one. With ``family``, the columns
+    that tell families of tests apart, adjusted values must also rise with the raw ones.
     """
     a = mine.select(*keys, "p", *methods)
     b = theirs.select(*keys, F.col("p").alias("_p"), *[F.col(m).alias(f"_{m}") for m in methods])
@@ -296,6 +297,9 @@ def adjusted_problems(raw: DataFrame, mine: DataFrame, theirs: DataFrame, keys:
     for m in methods:
         checks[f"{m}_cross_engine"] = close(F.col(m), F.col(f"_{m}")) & unit(m) & unit(f"_{m}")
         checks[f"{m}_not_below_raw"] = F.col(m) >= F.col("_raw") - 1e-14
+        if family is not None:
+            both = both.withColumn(f"_before_{m}", F.lag(m).over(Window.partitionBy(*family).orderBy("_raw", m)))
+            checks[f"{m}_monotone"] = F.col(f"_before_{m}").isNull() | (F.col(m) >= F.col(f"_before_{m}") - 1e-14)
     told = F.explode(F.array(*[F.struct(F.lit(n).alias("check"), F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL").alias("verdict")) for n, ok in checks.items()]))
     return both.select(*keys, told.alias("c")).select(*keys, "c.*")
 
@@ -311,3 +315,20 @@ def compare_engines(mine: DataFrame, theirs: DataFrame, keys: list[str], value:
     error = F.abs(F.col(value) - F.col("_other")) / F.greatest(F.abs("_other"), F.lit(1e-300))
     verdict = F.when(~same_definition, "UNRESOLVED").when(F.coalesce(error <= tolerance, F.lit(False)), "PASS").otherwise("FAIL")
     return joined.select(*keys, error.alias("relative_error"), verdict.alias("verdict"))
+
+
+def overall_verdict(compared: DataFrame, engine: str, coefficients_agree: Column | None = None) -> DataFrame:
+    """engine, alignment, verdict: what comparisons with a reference engine come to, a row an engine and one (engine null) over all.
+
+    compared: rows (engine, verdict) of every engine but the reference. An engine is aligned if all of its rows pass, fails if
+    one fails, and is unresolved otherwise. Over all: FAIL if an engine fails or coefficients disagree; PASS if
+    there is an engine besides the reference and all are aligned; UNRESOLVED otherwise.
+    """
+    fine = F.coalesce(coefficients_agree, F.lit(False)) if coefficients_agree is not None else F.lit(True)
+    tally = compared.groupBy(engine).agg(F.count_if(F.col("verdict") == "FAIL").alias("f"), F.count_if(F.col("verdict") == "UNRESOLVED").alias("u"), F.bool_and(fine).alias("c"))
+    told = tally.select(engine, F.when(F.col("f") > 0, "FAIL").when(F.col("u") > 0, "UNRESOLVED").otherwise("ALIGNED").alias("alignment"), "c")
+    of = lambda x: F.count_if(F.col("alignment") == x)
+    whole = told.agg(of("FAIL").alias("f"), of("UNRESOLVED").alias("u"), of("ALIGNED").alias("a"), F.coalesce(F.bool_and("c"), F.lit(True)).alias("c"))
+    verdict = F.when((F.col("f") > 0) | ~F.col("c"), "FAIL").when((F.col("u") == 0) & (F.col("a") > 0), "PASS").otherwise("UNRESOLVED")
+    kind = compared.schema[engine].dataType
+    return told.select(engine, "alignment", F.lit(None).cast("string").alias("verdict")).unionByName(whole.select(F.lit(None).cast(kind).alias(engine), F.lit(None).cast("string").alias("alignment"), verdict.alias("verdict")))

@@ -245,3 +245,31 @@ def layout_panel_ops(spark, sf):
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     found = layout.read_panel(spark, table).withColumns({"before": F.lag("value").over(order), "after": F.lead("value").over(order), "mean": F.avg("value").over(Window.partitionBy("user_id"))})
     return found.select("event_id", "before", "after", F.round(F.col("value") - F.col("mean"), 9).alias("within"))
+
+
+# ---- verdicts over engines ----------------------------------------------------------------------------
+
+
+@query("engine_verdicts", """
+WITH s AS (SELECT l_suppkey AS k, l_returnflag AS engine, sum(l_quantity) AS a FROM lineitem GROUP BY 1, 2),
+v AS (SELECT engine, CASE WHEN engine = 'R' AND k % 5 = 0 THEN 'UNRESOLVED' WHEN engine = 'N' AND k % 7 = 0 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM s),
+e AS (SELECT engine, CASE WHEN count_if(verdict = 'FAIL') > 0 THEN 'FAIL' WHEN count_if(verdict = 'UNRESOLVED') > 0 THEN 'UNRESOLVED' ELSE 'ALIGNED' END AS alignment FROM v GROUP BY 1)
+SELECT engine, alignment, CAST(NULL AS VARCHAR) AS verdict FROM e UNION ALL
+SELECT NULL, NULL, CASE WHEN count_if(alignment = 'FAIL') > 0 THEN 'FAIL' WHEN count_if(alignment = 'UNRESOLVED') = 0 AND count(*) > 0 THEN 'PASS' ELSE 'UNRESOLVED' END FROM e""")
+def engine_verdicts(spark, sf):
+    lines = _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("k"), F.col("l_returnflag").alias("engine"))
+    mine, theirs = lines.agg(F.sum("l_quantity").alias("v")), lines.agg((F.avg("l_quantity") * F.count("l_quantity")).alias("v"))
+    off = (F.col("engine") == "N") & (F.col("k") % 7 == 0)
+    theirs = theirs.select("k", "engine", F.when(off, F.col("v") * 1.5).otherwise(F.col("v")).alias("v"))
+    compared = stats.compare_engines(mine, theirs, ["k", "engine"], "v", ~((F.col("engine") == "R") & (F.col("k") % 5 == 0)))
+    return stats.overall_verdict(compared, "engine")
+
+
+@query("adjusted_monotone", """
+WITH r AS (SELECT n_nationkey AS k, n_regionkey AS f, n_nationkey / 25.0 AS p FROM nation), s AS (SELECT k, f, p, CASE WHEN k % 6 = 1 THEN p / 2 ELSE p * 1.01 END AS holm FROM r),
+b AS (SELECT *, lag(holm) OVER (PARTITION BY f ORDER BY p, holm) AS before FROM s)
+SELECT k, f, CASE WHEN before IS NULL OR holm >= before - 1e-14 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM b""")
+def adjusted_monotone(spark, sf):
+    raw = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("f"), (F.col("n_nationkey") / 25.0).alias("p"))
+    mine = raw.withColumn("holm", F.when(F.col("k") % 6 == 1, F.col("p") / 2).otherwise(F.col("p") * 1.01))
+    return stats.adjusted_problems(raw, mine, mine, ["k", "f"], ("holm",), ["f"]).where("check = 'holm_monotone'").select("k", "f", "verdict")

@@ -159,7 +159,31 @@ def test_a_valid_bundle_is_written_read_and_rendered(spark, tmp_path):
     assert docs["artifact_manifest"] == manifest and bundle.problems(found, read).collect() == []
     out = bundle.render(found, "model_registry", read=read)
     assert out["ok"] and [line.split(" | ")[0] for line in out["output"].splitlines()[2:]] == ["| m2", "| m1"] and " | 50 |" in out["output"]
-    assert not bundle.render(found, "estimates")["ok"] and bundle.render(found, "diagnostics", read=read)["errors"] == ["no view names known items of diagnostics"]
+    assert bundle.render(found, "estimates", read=read)["errors"] == ["no view names known items of estimates"] and bundle.render(found, "diagnostics", read=read)["errors"] == ["no view names known items of diagnostics"]
+
+
+def _viewed(d, name, item_ids, **more):
+    refs = [{"artifact_id": d[name]["artifact_id"], "item_ids": item_ids, "source_hash": content_hash(d[name]), "source_hash_mode": bundle.CANONICAL, **more}]
+    return {"view_id": "w", "view_type": "table", "output_ref": "o", "source_refs": refs}
+
+
+def test_the_estimates_table_is_rendered_of_a_valid_bundle(spark):
+    d = documents(spark)
+    d["presentation_manifest"]["views"].append(_viewed(d, "estimates", ["e1"]))
+    read = lambda p: b"k,v\n" if p == "d.csv" else None
+    out = bundle.render(bundle.bundle_of(spark, d), "estimates", "w", read)
+    assert out == {"ok": True, "output": "| term | estimate | std_error | p_value | n |\n|---|---|---|---|---|\n| t | 1.0000 | 0.1000 | 0.0100 | 50 |\n"}
+    d["presentation_manifest"]["views"][-1] = _viewed(d, "estimates", ["gone"])
+    assert not bundle.render(bundle.bundle_of(spark, d), "estimates", "w", read)["ok"]
+
+
+def test_views_hold_no_keys_of_their_own(spark):
+    d = documents(spark)
+    d["presentation_manifest"] |= {"title": "x", "code_ref": "c"}
+    d["presentation_manifest"]["views"][0]["estimate"] = 1.0
+    d["presentation_manifest"]["views"].append(_viewed(d, "estimates", ["e1"], n=50))
+    found = {(r["check"], r["item"], r["detail"]) for r in bundle.view_problems(bundle.bundle_of(spark, d)).collect()}
+    assert found == {("presentation_key", "title", None), ("view_key", "v", "estimate"), ("reference_key", "w", "n")}
 
 
 BROKEN = [

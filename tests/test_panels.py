@@ -66,3 +66,26 @@ def test_2sls_keeps_its_digits_far_from_zero(spark):
     b = np.linalg.solve(hat.T @ xs, hat.T @ y)
     cov = ((y - xs @ b) ** 2).mean() * np.linalg.inv(hat.T @ hat)
     assert near.beta == pytest.approx(b, rel=1e-9) and near.se == pytest.approx(np.sqrt(np.diag(cov)), rel=1e-9)
+
+
+def test_t_tails_and_quantiles_have_closed_forms():
+    import math
+
+    for k in range(40):
+        t = k / 4
+        assert stats.t_pvalue(t, 1) == pytest.approx(1 - 2 / math.pi * math.atan(t), abs=1e-12)
+        assert stats.t_pvalue(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-12)
+    for p in (0.05, 0.5, 0.9, 0.99):
+        assert stats.t_quantile(p, 1) == pytest.approx(math.tan(math.pi * (p - 0.5)), abs=1e-9)
+        assert stats.t_quantile(p, 2) == pytest.approx((2 * p - 1) / math.sqrt(2 * p * (1 - p)), abs=1e-9)
+
+
+def test_the_overall_verdict_needs_a_second_aligned_engine(spark):
+    def told(rows):
+        got = stats.overall_verdict(spark.createDataFrame(rows, "engine string, verdict string"), "engine").collect()
+        return {r["engine"]: r["alignment"] or r["verdict"] for r in got}
+
+    assert told([]) == {None: "UNRESOLVED"}
+    assert told([("a", "PASS"), ("a", "PASS")]) == {"a": "ALIGNED", None: "PASS"}
+    assert told([("a", "PASS"), ("b", "UNRESOLVED"), ("b", "PASS")]) == {"a": "ALIGNED", "b": "UNRESOLVED", None: "UNRESOLVED"}
+    assert told([("a", "PASS"), ("b", "UNRESOLVED"), ("b", "FAIL")]) == {"a": "ALIGNED", "b": "FAIL", None: "FAIL"}
