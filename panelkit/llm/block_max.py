@@ -12,7 +12,8 @@ nearly every range is scored, and the result is the same.
 
 Defined cases: null vectors, vectors with null or non-finite components, and vectors of
 another length than the commonest take no part; equal rows count once; equal scores go to
-the smaller id; fewer candidates than k give fewer rows; other columns are not read. Components are taken as
+the smaller id; fewer candidates than k give fewer rows; rows without id can't be named and take no part; an empty table gives
+no rows; other columns are not read. Components are taken as
 floor(scale * x); scores must fit 64 bits.
 """
 

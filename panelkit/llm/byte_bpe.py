@@ -9,7 +9,7 @@ each block from its known first state. No regular expression is run. Slices betw
 boundaries are looked up in a bounded cache, and only new slices are merged.
 
 Defined cases: null counts as empty; empty gives no ids; any valid text decodes to its own
-bytes; repeated rows are encoded each; other columns stay as they are. A batch is worked on in runs of bounded
+bytes; repeated rows are encoded each; other columns stay as they are; an empty table gives no rows. A batch is worked on in runs of bounded
 length. A longer text is encoded in parts that begin with white space behind other text: a slice always begins
 there, whatever surrounds it. Only a text without such a place in reach makes longer parts.
 """

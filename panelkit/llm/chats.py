@@ -11,7 +11,8 @@ only those that stay are gathered, each into its row.
 
 Defined cases: turns go by number (nulls first), then role and text; equal rows of a
 conversation count once; a null role reads "unknown", a null text is empty; a row without conversation id
-is a conversation by itself, as nothing says that two such rows belong together; other columns are not read.
+is a conversation by itself, as nothing says that two such rows belong together; texts of any length are hashed and
+rendered whole; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ bounded block of the queries that visit it; a query meets rows of the cells it v
 
 Defined cases: null, zero and non-finite vectors, and vectors of another length than most
 (the commonest, the longer of two), take no part; fewer candidates than k give fewer rows;
-equal scores go to the smaller id; repeated ids count as one row per vector; other columns are not read.
+equal scores go to the smaller id; repeated ids count as one row per vector; rows without id can't be named and take no
+part; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ the pieces of the same length. The plan holds at most a few entries per length,
 the number of documents.
 
 Defined cases: null text is empty; an empty document is its end mark alone; repeated rows
-are packed each; a document over ``capacity`` tokens is cut into full pieces and a last one.
+are packed each; a document over ``capacity`` tokens is cut into full pieces and a last one, whatever its length; an empty
+table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ that are walked for a whole batch of documents at once.
 
 Defined cases: a null or empty text has all statistics 0 and still gets a score; without
 any labelled row, or with labels of one kind only, every score is that share (0.5 without rows); a null id
-gets a score and is never learnt from; repeated ids are scored each; other columns are not read.
+gets a score and is never learnt from; repeated ids are scored each; statistics are of whole texts whatever their
+length; an empty table gives no rows; ``classify`` doesn't read other columns, ``keep_good`` keeps them.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ another; it fills one shard after another. Links of a hub meet its state salted.
 
 Defined cases: null text counts as empty (all null and empty texts are one group); repeated rows are
 rows; fewer documents than shards leave shards empty; null ids are hashed like any value, and no link names
-them; links to unknown ids and to the same text are passed over; other columns are not read.
+them; links to unknown ids and to the same text are passed over; a text of any length is one row of its size; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,8 +11,8 @@ comes from that descent, however few members a node has.
 
 Defined cases: a null or empty text has no shingle and fingerprint 0, which links like any
 other; fewer words than a shingle make one shingle of the whole sequence; equal rows share
-a fingerprint; doc_id null stays a row, never a component's name unless all ids are null;
-other columns, whatever their names, are not read.
+a fingerprint; doc_id null stays a row, never a component's name unless all ids are null; very long texts are hashed
+in portions; an empty table gives no rows; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
