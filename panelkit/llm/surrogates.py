@@ -31,7 +31,7 @@ import secrets
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import attach, cut
+from .common import attach, cut, written
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _HEX = r"[0-9A-Fa-f]{1,4}"
@@ -318,19 +318,19 @@ def surrogates(entities: DataFrame, key: str, rounds: int = ROUNDS) -> DataFrame
     """(type, canon, surrogate) for distinct (type, canon), without collisions.
 
     A round draws for those that clashed in the one before; whoever is settled stays. Raises RuntimeError if
-    ``rounds`` attempts leave a clash.
+    ``rounds`` attempts leave a clash. Rounds are written tables: each joins what the one before made.
     """
-    waiting, done = cut(entities.withColumn("attempt", F.lit(0))), None
+    waiting, done = written(entities.withColumn("attempt", F.lit(0))), None
     taken = entities.select("type", F.col("canon").alias("surrogate"))
     for _ in range(rounds):
-        made = cut(drawn(waiting, key))
+        made = written(drawn(waiting, key))
         held = taken if done is None else taken.unionByName(done.select("type", "surrogate"))
         hit = held.join(made.select("type", "surrogate").distinct(), ["type", "surrogate"], "left_semi").distinct().withColumn("held", F.lit(True))
         order = Window.partitionBy("type", "surrogate").orderBy("canon")
         told = made.withColumn("turn", F.row_number().over(order)).join(hit, ["type", "surrogate"], "left")
-        told = cut(told.select("type", "canon", "surrogate", "attempt", ((F.col("turn") > 1) | F.col("held").isNotNull()).alias("clash")))
+        told = written(told.select("type", "canon", "surrogate", "attempt", ((F.col("turn") > 1) | F.col("held").isNotNull()).alias("clash")))
         fresh = told.where("not clash").select("type", "canon", "surrogate")
-        done = fresh if done is None else cut(done.unionByName(fresh))
+        done = fresh if done is None else written(done.unionByName(fresh))
         waiting = told.where("clash").select("type", "canon", (F.col("attempt") + 1).alias("attempt"))
         if waiting.isEmpty():
             return done
