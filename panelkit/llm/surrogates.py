@@ -207,15 +207,18 @@ def drawn(entities: DataFrame, key: str) -> DataFrame:
 
     def shaped(c: Column, i: Column) -> Column:
         b = byte(i)
-        out = F.when(c.rlike("[0-9]"), _pick(_DIGITS, b)).when(c.rlike("[a-z]"), _pick(_LATIN, b)).when(c.rlike("[A-Z]"), _pick(_LATIN.upper(), b))
-        out = out.when(c.rlike(r"\p{IsLatin}"), F.when(c.rlike(r"\p{Lu}"), _pick(_ACCENTED.upper(), b)).otherwise(_pick(_ACCENTED, b)))
-        for script, alphabet in _CASED.items():
-            out = out.when(c.rlike(rf"[\p{{Is{script}}}&&\p{{L}}]"), F.when(c.rlike(r"\p{Lu}"), F.upper(_pick(alphabet, b))).otherwise(_pick(alphabet, b)))
-        for script, alphabet in _UNCASED.items():
-            out = out.when(c.rlike(rf"[\p{{Is{script}}}&&\p{{L}}]"), _pick(alphabet, b))
+        alphabet = F.when(c.rlike("[0-9]"), _DIGITS).when(c.rlike("[A-Za-z]"), _LATIN).when(c.rlike(r"\p{IsLatin}"), _ACCENTED)
+        for script, letters in (_CASED | _UNCASED).items():
+            alphabet = alphabet.when(c.rlike(rf"[\p{{Is{script}}}&&\p{{L}}]"), letters)
         # A letter of another script: one of the same sixteen code points, if that is a letter.
         near = F.decode(F.unhex(F.lpad(F.hex(F.ascii(c) - F.ascii(c) % 16 + b % 16), 8, "0")), "UTF-32")
-        return out.when(c.rlike(r"\p{L}") & near.rlike(r"^\p{L}$"), near).otherwise(c)
+        other = F.when(c.rlike(r"\p{L}") & near.rlike(r"^\p{L}$"), near).otherwise(c)
+
+        def drawn_from(letters: Column) -> Column:
+            picked = F.substring(letters, b % F.length(letters) + 1, F.lit(1))
+            return F.when(letters.isNull(), other).when(c.rlike(r"\p{Lu}"), F.upper(picked)).otherwise(picked)
+
+        return F.get(F.transform(F.array(alphabet), drawn_from), F.lit(0))  # the alphabet is told once
 
     # What reads the whole form stays out of the secrets' loop: they may be long.
     split = F.split(canon, "")
