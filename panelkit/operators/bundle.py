@@ -237,7 +237,7 @@ def _view_problems(b: Bundle) -> list[DataFrame]:
     views = b.items.get("presentation_manifest")
     if views is None:
         return []
-    strange = [("presentation_key", "presentation_manifest", k, None) for k in b.headers["presentation_manifest"] if k not in PRESENTATION_KEYS]
+    strange = [("presentation_key", "presentation_manifest", k, None) for k in b.headers.get("presentation_manifest", {}) if k not in PRESENTATION_KEYS]
     known = [(h.get("artifact_id"), n, b.digests[n], n in ITEMS and n not in ("multiple_testing", "presentation_manifest", "variable_dictionary", "sample_flow")) for n, h in b.headers.items() if n in (*NEEDED, "presentation_manifest") and h.get("artifact_id")]
     known = b.spark.createDataFrame(known, "artifact_id string, type string, digest string, listed boolean")
     refs = views.select("view_id", F.explode("source_refs").alias("r")).select("view_id", "r.*")

@@ -186,6 +186,12 @@ def test_views_hold_no_keys_of_their_own(spark):
     assert found == {("presentation_key", "title", None), ("view_key", "v", "estimate"), ("reference_key", "w", "n")}
 
 
+def test_views_without_a_header_are_checked(spark):
+    views = spark.createDataFrame([("v", "table", "o", [("a0", None, "old", bundle.CANONICAL)])], "view_id string, view_type string, output_ref string, source_refs array<struct<artifact_id string, item_ids array<string>, source_hash string, source_hash_mode string>>")
+    b = bundle.Bundle(spark, {"estimates": {"artifact_id": "a0"}}, {"presentation_manifest": views}, {"estimates": "now"})
+    assert [tuple(r) for r in bundle.view_problems(b).collect()] == [("view_stale", "presentation_manifest", "v", "a0")]
+
+
 BROKEN = [
     (lambda d: d.pop("diagnostics"), {"missing_artifact"}),
     (lambda d: d["estimates"].pop("producer_role"), {"missing_field"}),
