@@ -76,8 +76,13 @@ def min_label_components(nodes_edges: DataFrame, max_rounds: int = 60) -> DataFr
     Raises RuntimeError if ``max_rounds`` rounds don't reach the fixpoint, as a partial
     answer would be wrong.
     """
-    both = nodes_edges.select("u", "v").unionByName(nodes_edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    both = written(both.where("u <> v").distinct())
+    # A node keeps the edge to its least neighbour; its other smaller neighbours are linked to that one, which many nodes say
+    # alike: the rounds join about as many edges as there are nodes, not each bucket's.
+    one = written(nodes_edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    least = one.groupBy("u").agg(F.min("v").alias("w"))
+    star = attach(one, least, "u", ["v"]).where("v <> w").select(F.col("v").alias("u"), "w").unionByName(least)
+    both = written(star.distinct())
+    both = both.select("u", F.col("w").alias("v")).unionByName(both.select(F.col("w").alias("u"), F.col("u").alias("v")))
     labels = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("label")))
     for _ in range(max_rounds):
         near = attach(both, labels.withColumnRenamed("node", "v"), "v", ["u"]).groupBy("u").agg(F.min("label").alias("near"))

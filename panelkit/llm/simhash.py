@@ -194,15 +194,19 @@ def spanning(n: int, found: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarr
 
 
 def local_links(names: np.ndarray, fps: np.ndarray, distance: int, bucket: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of links within buckets: (name, the name of its group's first).
+    """A spanning set of links within buckets: (name, its group's least name).
 
-    It keeps which fingerprints of a bucket are connected, and nothing is left out of that.
+    It keeps which fingerprints of a bucket are connected, and nothing is left out of that. Buckets that share a group
+    name one root, so that their links are the same ones.
     """
     index = GrayIndex(fps, bucket)
     label = spanning(len(names), (index.pairs(lo, hi, distance) for lo, hi in index.blocks()))
-    moved = np.flatnonzero(label != np.arange(len(names)))
     names = names[index.order]
-    return names[moved], names[label[moved]]
+    least = names.copy()
+    np.minimum.at(least, label, names)
+    least = least[label]
+    moved = np.flatnonzero(names != least)
+    return names[moved], least[moved]
 
 
 def block_keys(distance: int, count: int, width: int = 2048) -> list[np.ndarray]:

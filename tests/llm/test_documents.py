@@ -125,6 +125,25 @@ def test_every_link_comes_from_the_gray_index(monkeypatch):
     assert len(simhash.local_links(fps, fps, 4)[0]) == 0
 
 
+def test_buckets_of_one_group_make_few_edges(spark, monkeypatch):
+    """Sixty nodes of one group meet in twenty buckets in different company: rounds join few rows a node."""
+    from panelkit.llm import common
+
+    r = random.Random(3)
+    edges = [(m[0], x) for _ in range(20) for m in [r.sample(range(60), 40)] for x in m]
+    tables, held = [], common.written
+    monkeypatch.setattr(common, "written", lambda df: tables.append(held(df)) or tables[-1])
+    got = {x["node"]: x["label"] for x in min_label_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == dict.fromkeys(range(60), 0)
+    assert tables[0].count() > 400 and tables[1].count() <= 3 * 60
+
+
+def test_a_bucket_group_links_to_its_least_name():
+    fps = np.array([7, 3, 1, 5], np.uint64)
+    u, v = simhash.local_links(np.array([40, 10, 30, 20]), fps, 4)
+    assert sorted(zip(u.tolist(), v.tolist())) == [(20, 10), (30, 10), (40, 10)]
+
+
 def test_alike_sets_equal_brute_force():
     r = np.random.default_rng(4)
     for _ in range(20):
