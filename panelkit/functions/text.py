@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelkit.operators.lineage import bound_batches
+
 #: strptime directives and their date-pattern letters. Fixed values.
 DATE_DIRECTIVES = {"%Y": "yyyy", "%m": "M", "%d": "d", "%H": "H", "%M": "m", "%S": "s"}
 DATE_OUTPUTS = ("year", "year_month", "iso_date")
@@ -63,9 +65,12 @@ def nfkc(texts):
 
 
 def normal_text(c: Column, compose: bool = True) -> Column:
-    """NFKC, single spaces, trimmed; missing is empty. ASCII needs no composing."""
+    """NFKC, single spaces, trimmed; missing is empty. ASCII needs no composing and doesn't go to Python; the rest goes in bounded batches."""
     c = F.coalesce(c, F.lit(""))
-    c = nfkc(c) if compose else c
+    if compose:
+        bound_batches(SparkSession.active())
+        plain = F.octet_length(c) == F.length(c)
+        c = F.when(plain, c).otherwise(nfkc(F.when(~plain, c)))
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 

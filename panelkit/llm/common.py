@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelkit.operators.lineage import attach, checkpoint_folder, written
+from panelkit.operators.lineage import attach, bound_batches, checkpoint_folder, written
 
 __all__ = ["attach", "cut", "gapless_rank", "min_label_components", "prepare", "read", "remove", "utf8_crc32", "written"]
 
@@ -13,11 +13,7 @@ __all__ = ["attach", "cut", "gapless_rank", "min_label_components", "prepare", "
 def prepare(spark: SparkSession) -> None:
     """Make checkpoint() usable and bound the Arrow batches that reach Python; bounds are only ever lowered."""
     checkpoint_folder(spark)
-    # Texts may be long: a batch is bounded in rows and in bytes.
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
-        set_to = spark.conf.get(key, None) or ""
-        if not (set_to.isdigit() and 0 < int(set_to) <= most):
-            spark.conf.set(key, str(most))
+    bound_batches(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -24,6 +24,14 @@ def checkpoint_folder(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "panelkit-checkpoints"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that reach Python in rows and in bytes, as texts may be long; bounds are only ever lowered."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)):
+        set_to = spark.conf.get(key, None) or ""
+        if not (set_to.isdigit() and 0 < int(set_to) <= most):
+            spark.conf.set(key, str(most))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     checkpoint_folder(df.sparkSession)

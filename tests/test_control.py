@@ -224,3 +224,11 @@ def test_each_defect_of_a_bundle_is_told(spark, change, checks):
     d = json.loads(json.dumps(documents(spark)))
     change(d)
     assert _checks(spark, d) == checks
+
+
+def test_texts_reach_python_in_bounded_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    texts = ["plain  text ", None, "\u2460 \ufb01\u00a0 x", "e\u0301"]
+    made = spark.createDataFrame([(t,) for t in texts], "t string").select(text.normal_text(F.col("t")).alias("t"))
+    assert [r["t"] for r in made.collect()] == ["plain text", "", "1 fi x", "\u00e9"]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
