@@ -46,6 +46,19 @@ def test_any_order_of_arrival_gives_the_batch_plan(spark, tmp_path, k):
         assert one["growth"] == ((r["x"] - r["near"]) / r["near"] if both and r["near"] else None)
 
 
+def test_units_share_states(spark, tmp_path, monkeypatch):
+    """Of more units than buckets each keeps its own rows, and there are no more states than buckets."""
+    from panelkit.streaming import panel
+
+    monkeypatch.setattr(panel, "BUCKETS", 3)
+    rows = [(f"u{i % 40}", START + datetime.timedelta(minutes=i), float(i), i) for i in range(200)]
+    got = {r["id"]: r for r in _run(spark, tmp_path, [rows[120:], rows[:120]], lambda s: panel_stream(s, "u", "t", "x", 2, ["id"], "1 day")).collect()}
+    assert [(got[i]["lag"], got[i]["structural"]) for i in range(200)] == [(float(i - 80), False) if i >= 80 else (None, True) for i in range(200)]
+    q = panel_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in" / "*")), "u", "t", "x", 2, ["id"], "1 day").writeStream.format("noop").option("checkpointLocation", str(tmp_path / "d")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 3
+
+
 def test_late_rows_leave_marked_and_move_nothing(spark, tmp_path):
     hour = datetime.timedelta(hours=1)
     first = [("a", START + i * hour, float(i), i) for i in range(5)] + [("b", START + 50 * hour, 1.0, 90)]
